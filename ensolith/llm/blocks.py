@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ensolith.llm.textops import SEPARATOR
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def use_checkpoints(spark: SparkSession) -> None:

@@ -92,7 +92,7 @@ def _sum(rows: list[dict], tag: bytes, stats: bool) -> list[tuple]:
     return out
 
 
-def score_texts(docs: DataFrame, mu: float = 200.0, held_out_part: int | None = 1, parts: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, mu: float = 200.0, held_out_part: int | None = 1, parts: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 * B.BLOCK_BYTES) -> DataFrame:
     """One row per document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Documents whose crc32(doc_id as text) modulo ``parts`` is ``held_out_part`` are scored but
