@@ -1,6 +1,4 @@
 """All registered queries of the library proper, with their SQL."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ensolith.plans import calibration, knowledge, sequences  # noqa: F401  they register themselves
+from ensolith.plans.registry import ORACLES, QUERIES  # noqa: F401
