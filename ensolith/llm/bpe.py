@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 200_000
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
 
 
@@ -114,7 +114,7 @@ class WordEncoder:
                 left_limit, x = u[0], u[2]
             else:
                 right_limit, y = v[0], v[1]
-        if len(self.apart_cache) > 4_000_000:
+        if len(self.apart_cache) > 400_000:
             self.apart_cache.clear()
         self.apart_cache[a, b] = got
         return got

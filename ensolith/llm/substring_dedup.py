@@ -117,23 +117,24 @@ def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
     return pieces, hits.unionByName(repeats), marks
 
 
-def _kept(block, s, e, first, removed):
-    """The kept words of each document, joined by one space: one gather for the block."""
-    keep = np.flatnonzero(~removed)
-    starts, ends = s[keep], e[keep]
-    size = ends - starts + 1
-    total = int(size.sum())
-    src = np.ones(total, np.int64)
-    if len(keep):
-        at = np.cumsum(size) - size
-        src[at] = starts
-        src[at[1:]] -= ends[:-1]  # the step from a word's separator to the next word
-    buf = block.buf[np.cumsum(src)] if total else np.zeros(0, np.uint8)
-    if len(keep):
-        buf = buf.copy()
-        buf[np.cumsum(size) - 1] = 0x20
-    edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(keep, first)]
-    return buf, edge
+def _kept(block, s, e, first, removed) -> list[bytes | None]:
+    """The kept words of each document, joined by one space: a gather for some documents at a time."""
+    out: list[bytes | None] = []
+    for i, j in X.chunks_of(block.bounds):
+        keep = first[i] + np.flatnonzero(~removed[first[i] : first[j]])
+        starts, ends = s[keep], e[keep]
+        size = ends - starts + 1
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(keep) else 0
+        src = np.ones(total, np.int64)
+        if len(keep):
+            src[0] = starts[0]
+            src[stop[:-1]] = starts[1:] - ends[:-1]  # the step from a word's separator to the next word
+        buf = block.buf[np.cumsum(src)]
+        buf[stop - 1] = 0x20
+        edge = np.concatenate([[0], stop])[np.searchsorted(keep, first[i : j + 1])]
+        out += [buf[a : max(a, z - 1)].tobytes() if ok else None for a, z, ok in zip(edge[:-1].tolist(), edge[1:].tolist(), block.has_text[i:j])]
+    return out
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
@@ -150,9 +151,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
 
     def result(block, got):
         s, e, first, removed = marks(block, got)
-        buf, edge = _kept(block, s, e, first, removed)
         gone = np.concatenate([[0], np.cumsum(removed)])
-        texts = [buf[edge[d] : max(edge[d], edge[d + 1] - 1)].tobytes() if block.has_text[d] else None for d in range(len(block.ids))]
+        texts = _kept(block, s, e, first, removed)
         return pa.table({id_col: pa.array(block.id_list(), pa.int64()), "n_words": np.diff(first), "n_removed": gone[first[1:]] - gone[first[:-1]], "kept_text": pa.array(texts, pa.binary()).cast(pa.string())})
 
     return B.settle(pieces, answers, result, f"{id_col} long, n_words long, n_removed long, kept_text string")
@@ -166,8 +166,7 @@ def rewrite(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col:
 
     def result(block, got):
         s, e, first, removed = marks(block, got)
-        buf, edge = _kept(block, s, e, first, removed)
-        texts = [buf[edge[d] : max(edge[d], edge[d + 1] - 1)].tobytes() if block.has_text[d] else None for d in range(len(block.ids))]
+        texts = _kept(block, s, e, first, removed)
         rest = {c: block.rest[f"c{k}"] for k, c in enumerate(carry)}
         return pa.table({id_col: pa.array(block.id_list(), pa.int64()), text_col: pa.array(texts, pa.binary()).cast(pa.string()), **rest})
 

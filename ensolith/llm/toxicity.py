@@ -125,7 +125,7 @@ class Model:
             near = self.index.nearest(self.vector(counts), self.k)
             p = float(np.interp(self.raw(near), *self.knots)) if near else self.bare
             got = (min(1.0, max(0.0, p)), near)
-            if len(self.memo) > 100_000:
+            if len(self.memo) > 4096:
                 self.memo.clear()
             self.memo[key] = got
         return got
