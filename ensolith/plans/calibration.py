@@ -17,8 +17,15 @@ from ensolith.operators import screening as S
 from ensolith.operators import sensitivity as V
 from ensolith.plans.registry import query, table
 
-SIM = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-OBS = F.col("l_quantity") * 1500.0
+
+def _sim():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
+def _obs():
+    return F.col("l_quantity") * 1500.0
+
+
 _PAIR = "SELECT l_suppkey AS case_id, l_returnflag AS target, l_extendedprice * (1 - l_discount) AS s, l_quantity * 1500.0 AS o FROM lineitem"
 
 
@@ -122,26 +129,26 @@ def a3_ratio_reducer(spark, d):
 def a11_error_metrics(spark, d):
     """The error metrics of every case in one aggregation."""
     g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("case_id"))
-    return g.agg(*(F.round(M.metric(n, SIM, OBS), 6 if n.startswith("relative") else 4).alias(n) for n in ("relative_error", "relative_bias", "rmse", "mae", "bias")))
+    return g.agg(*(F.round(M.metric(n, _sim(), _obs()), 6 if n.startswith("relative") else 4).alias(n) for n in ("relative_error", "relative_bias", "rmse", "mae", "bias")))
 
 
 @query(f"WITH p AS ({_PAIR}), a AS (SELECT case_id, sqrt(avg((s - o) * (s - o))) AS e, max(o) - min(o) AS r, avg(o) AS m, stddev_pop(o) AS sd FROM p GROUP BY 1) SELECT case_id, round(e / CASE WHEN r <> 0 THEN r ELSE abs(m) END, 6) AS nrmse_range, round(e / abs(m), 6) AS nrmse_mean, round(e / CASE WHEN sd <> 0 THEN sd ELSE abs(m) END, 6) AS nrmse_std FROM a")
 def a14_nrmse(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("case_id"))
-    return g.agg(*(F.round(M.nrmse(SIM, OBS, k), 6).alias(f"nrmse_{k}") for k in ("range", "mean", "std")))
+    return g.agg(*(F.round(M.nrmse(_sim(), _obs(), k), 6).alias(f"nrmse_{k}") for k in ("range", "mean", "std")))
 
 
 @query(f"WITH p AS ({_PAIR}), a AS (SELECT case_id, 1 - sum((s - o) * (s - o)) / (var_pop(o) * count(*)) AS nse, corr(s, o) AS r, stddev_pop(s) / stddev_pop(o) AS al, avg(s) / avg(o) AS be FROM p GROUP BY 1) SELECT case_id, round(nse, 6) AS nse, round(r, 6) AS correlation, round(1 - sqrt((r - 1) * (r - 1) + (al - 1) * (al - 1) + (be - 1) * (be - 1)), 6) AS kge FROM a")
 def a15_skill_scores(spark, d):
     """Nash-Sutcliffe, correlation and Kling-Gupta, guarded for constant sides."""
     g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("case_id"))
-    return g.agg(*(F.round(f(SIM, OBS), 6).alias(n) for n, f in (("nse", M.nse), ("correlation", M.correlation), ("kge", M.kge))))
+    return g.agg(*(F.round(f(_sim(), _obs()), 6).alias(n) for n, f in (("nse", M.nse), ("correlation", M.correlation), ("kge", M.kge))))
 
 
 def _scored(spark, d):
     li = table(spark, d, "lineitem")
-    sim = li.groupBy(F.col("l_suppkey").alias("case_id"), F.col("l_returnflag").alias("target")).agg(F.avg(SIM).alias("sim"))
-    targets = li.groupBy(F.col("l_returnflag").alias("target")).agg(F.avg(OBS).alias("observed"), F.lit(0.05).alias("uncertainty"))
+    sim = li.groupBy(F.col("l_suppkey").alias("case_id"), F.col("l_returnflag").alias("target")).agg(F.avg(_sim()).alias("sim"))
+    targets = li.groupBy(F.col("l_returnflag").alias("target")).agg(F.avg(_obs()).alias("observed"), F.lit(0.05).alias("uncertainty"))
     return sim, targets
 
 
@@ -261,7 +268,7 @@ def m14_interval_coverage(spark, d):
 
 @query("SELECT l_suppkey AS case_id, round(1 - sum((l_extendedprice - l_quantity * 1500) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2, count(*) AS n FROM lineitem GROUP BY 1")
 def m17_case_r2(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("case_id"), "l_extendedprice", OBS.alias("p"))
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("case_id"), "l_extendedprice", _obs().alias("p"))
     return _r(V.r2(li, "l_extendedprice", "p", ["case_id"]), "r2", digits=6)
 
 

@@ -133,19 +133,18 @@ def k1_phase_events(spark, d):
     return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "assistant").alias("n_assistant"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"))
 
 
-@query("SELECT doc_id, coalesce(b.quality, a.quality) AS quality FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, 1 - quality AS quality FROM labels WHERE doc_id % 2 = 0) b USING (doc_id)")
+@query("SELECT doc_id, coalesce(l.quality, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END) AS quality, l.doc_id IS NOT NULL AS updated FROM documents FULL JOIN labels l USING (doc_id)")
 def k2_store_upsert(spark, d):
     """Knowledge store upsert: updates win, the rest stays."""
-    s = table(spark, d, "labels")
-    a = s.where("doc_id % 3 <> 0").select("doc_id", "quality")
-    b = s.where("doc_id % 2 = 0").select("doc_id", (1 - F.col("quality")).alias("new"))
-    return a.join(b, "doc_id", "full_outer").select("doc_id", F.coalesce("new", "quality").alias("quality"))
+    store = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("quality"))
+    updates = table(spark, d, "labels").select("doc_id", F.col("quality").alias("new"), F.lit(True).alias("updated"))
+    return store.join(updates, "doc_id", "full_outer").select("doc_id", F.coalesce("new", "quality").alias("quality"), F.coalesce("updated", F.lit(False)).alias("updated"))
 
 
-@query("SELECT item_id, doc_id FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS k FROM (SELECT item_id, split_part(lower(text), ' ', 3) AS w FROM benchmark WHERE item_id < 5) b JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS w FROM documents) d USING (w)) WHERE k <= 5")
+@query("SELECT item_id, doc_id FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS k FROM (SELECT item_id, split_part(lower(text), ' ', 3) AS w FROM benchmark) b JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS w FROM documents) d USING (w)) WHERE k <= 5")
 def j14_name_hits(spark, d):
     """Documents that hold a name as a word, the first five each; an equi join on words."""
-    b = table(spark, d, "benchmark").where("item_id < 5").select("item_id", F.split_part(F.lower("text"), F.lit(" "), F.lit(3)).alias("w"))
+    b = table(spark, d, "benchmark").select("item_id", F.split_part(F.lower("text"), F.lit(" "), F.lit(3)).alias("w"))
     w = table(spark, d, "documents").select("doc_id", F.explode(C.tokens(F.col("text"))).alias("w"))
     k = Window.partitionBy("item_id").orderBy("doc_id")
-    return w.join(F.broadcast(b), "w").withColumn("k", F.row_number().over(k)).where("k <= 5").select("item_id", "doc_id")
+    return w.join(b, "w").withColumn("k", F.row_number().over(k)).where("k <= 5").select("item_id", "doc_id")
