@@ -25,7 +25,9 @@ from ensolith.llm.simhash import union
 
 CELL_ROWS = 4096
 MAX_CENTRES = 20_000
-SLACK = 1e-7
+#: Above the rounding of a few distances of unit vectors.
+SLACK = 1e-6
+LEAST_BOUND = 1e-5
 
 
 class CoverTree:
@@ -38,7 +40,7 @@ class CoverTree:
         dist = _distances(unit, unit[:1])[:, 0]
         self.levels = [(points, np.zeros(1, np.int64), np.array([dist.max()]))]
         bound = 1.0
-        while self.levels[-1][2].max() > 0:
+        while self.levels[-1][2].max() > 0 and bound > LEAST_BOUND:
             centres, parents, radii = [], [], []
             new = np.empty(n, np.int64)
             order = np.argsort(member, kind="stable")
@@ -57,9 +59,7 @@ class CoverTree:
                     first = False
                     d = _distances(unit[left], unit[c : c + 1])[:, 0]
                     d[left == c] = 0.0
-                    near = d <= bound if bound > 1e-6 else d >= 0
-                    if bound <= 1e-6:
-                        d = np.zeros(len(left))
+                    near = d <= bound
                     new[left[near]] = len(centres)
                     centres.append(c)
                     parents.append(node)
@@ -68,7 +68,7 @@ class CoverTree:
             points, member = np.array(centres, np.int64), new
             self.levels.append((points, np.array(parents, np.int64), np.array(radii)))
             bound /= 2
-        #: Vectors of the last level's nodes (more than one only where they are equal but for rounding).
+        #: Vectors of the last level's nodes (more than one only where they are equal, or almost).
         self.order = np.argsort(member, kind="stable")
         self.edges = np.searchsorted(member[self.order], np.arange(len(points) + 1))
 
@@ -107,8 +107,9 @@ def close_pairs(a: CoverTree, b: CoverTree, reach: float, at_once: int = 1 << 20
             pair = np.repeat(np.arange(len(x)), n)
             k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             i, j = a.order[a.edges[x[pair]] + k // nb[pair]], b.order[b.edges[y[pair]] + k % nb[pair]]
-            if same:
-                i, j = i[i < j], j[i < j]
+            if same:  # two nodes' pairs come once, a node's own twice
+                once = (x[pair] != y[pair]) | (i < j)
+                i, j = i[once], j[once]
             yield i, j
             continue
         # pairs by their first node: the second nodes' children are compared with its children at once
@@ -183,7 +184,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     size = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     fit = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (size > 0)
     rows = cut(rows.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("dim", F.coalesce(F.size("vec"), F.lit(0))))
-    # A class's key and number: the first 96 bits of a digest of label and vector (equal vectors share it)
+    # A class's key and number: 60 bits of a digest of label and vector (equal vectors share it)
     keyed = rows.withColumn("h", F.sha2(F.to_json(F.struct("label", "vec")).cast("binary"), 256)).withColumn("key", F.conv(F.substring("h", 1, 15), 16, 10).cast("long"))
     classes = keyed.where("fit").groupBy("key", "label", "dim", "vec").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
     classes = cut(classes.withColumnRenamed("key", "class_id"))
