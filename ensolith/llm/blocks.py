@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ensolith.llm.textops import SEPARATOR
+from ensolith.llm.textops import SEPARATOR, give_back_memory
 
 BLOCK_BYTES = 8 << 20
 
@@ -96,6 +96,7 @@ def _pieces(batches):
             rows["body"].append(z.compress(b"".join(x or b"" for x in t)))
             rows["rest"].append(z.compress(_written(rest.take(take))) if rest is not None else None)
         yield pa.RecordBatch.from_arrays([pa.array(rows["grp"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("ids", "lens", "body", "rest"))], names=list(rows))
+    give_back_memory()
 
 
 def _written(batch: pa.RecordBatch) -> bytes:
@@ -154,14 +155,36 @@ def messages(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, MESSAGE.values())], schema=_arrow_schema(MESSAGE))
 
 
+def _group(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """fn of a group, with the memory it used given back afterwards."""
+
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            return fn(t)
+        finally:
+            give_back_memory()
+
+    return run
+
+
+def _cogroup(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return fn(left, right)
+        finally:
+            give_back_memory()
+
+    return run
+
+
 def ask(pieces: DataFrame, fn: Callable[[Block], list[tuple]]) -> DataFrame:
     """One round's messages of every block: fn gives rows (bucket, grp, a, b, c, n)."""
-    return pieces.groupBy("grp").applyInArrow(lambda t: messages(fn(block_of(t))), MESSAGE_DDL)
+    return pieces.groupBy("grp").applyInArrow(_group(lambda t: messages(fn(block_of(t)))), MESSAGE_DDL)
 
 
 def answer(asked: DataFrame, fn: Callable[[list[dict]], list[tuple]]) -> DataFrame:
     """Every bucket's answers; fn sees the bucket's messages in order of group and gives rows like them."""
-    return asked.groupBy("bucket").applyInArrow(lambda t: messages(fn(sorted(t.to_pylist(), key=lambda r: r["grp"]))), MESSAGE_DDL)
+    return asked.groupBy("bucket").applyInArrow(_group(lambda t: messages(fn(sorted(t.to_pylist(), key=lambda r: r["grp"])))), MESSAGE_DDL)
 
 
 def ask_again(pieces: DataFrame, answers: DataFrame, fn: Callable[[Block, dict], list[tuple]]) -> DataFrame:
@@ -170,7 +193,7 @@ def ask_again(pieces: DataFrame, answers: DataFrame, fn: Callable[[Block, dict],
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return messages(fn(block_of(left), {r["bucket"]: r for r in right.to_pylist()}) if left.num_rows else [])
 
-    return pieces.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, MESSAGE_DDL)
+    return pieces.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_cogroup(run), MESSAGE_DDL)
 
 
 def settle(pieces: DataFrame, answers: DataFrame, fn: Callable[[Block, dict], pa.Table], ddl) -> DataFrame:
@@ -182,7 +205,7 @@ def settle(pieces: DataFrame, answers: DataFrame, fn: Callable[[Block, dict], pa
             return names.empty_table()
         return fn(block_of(left), {(r["c"], r["bucket"]): r for r in right.to_pylist()}).cast(names)
 
-    return pieces.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, ddl)
+    return pieces.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_cogroup(run), ddl)
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}

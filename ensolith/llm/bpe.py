@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ensolith.llm.textops import give_back_memory
+
 MAX_CACHED_WORDS = 200_000
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
 
@@ -271,6 +273,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 rows = batch.slice(done, len(part))
                 done += len(part)
                 yield pa.RecordBatch.from_arrays([*rows.columns, ids, decode_ids(ids, tokens)], names=[*names, "token_ids", "decoded"])
+            give_back_memory()
 
     schema = own.select("*", F.lit(None).cast("array<int>").alias("token_ids"), F.lit(None).cast("string").alias("decoded")).schema
     return own.mapInArrow(run, schema)

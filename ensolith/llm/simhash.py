@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", out:
         for batch in batches:
             fp = [_signed(fingerprint(t, shingle)) for t in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp, pa.int64())], names=[*names, out])
+        X.give_back_memory()
 
     return ordered.mapInArrow(run, ordered.select(*names, F.lit(None).cast("long").alias(out)).schema)
 

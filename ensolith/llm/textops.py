@@ -7,7 +7,10 @@ documents is handled by a few numpy passes instead of a loop over words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
@@ -36,6 +39,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOWER_ARRAY = np.frombuffer(LOWER, np.uint8)
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system: a Python worker outlives its tasks, and what it keeps adds to the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER_ARRAY[buf]
 
@@ -202,3 +213,4 @@ def text_slices(column, size: int = 4 << 20):
     length = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) + 1
     for i, j in chunks_of(np.concatenate([[0], np.cumsum(length)]), size):
         yield i, j, *text_words(column[i:j].to_pylist())
+    give_back_memory()
