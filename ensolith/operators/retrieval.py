@@ -48,16 +48,30 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overla
     return cleaned.select(id_col, F.posexplode(split("_t")).alias("chunk_index", "chunk")).where(F.length("chunk") >= least)
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, prefilter: Column | None = None) -> DataFrame:
+def against_queries(queries: DataFrame, items: DataFrame, per_block: int = 512) -> DataFrame:
+    """Every item beside every query of a stated set, query block by query block.
+
+    Items are dealt over salts and queries repeated for each salt, so both sides meet by an equi
+    join on (block, salt): nothing is broadcast, and no task holds more than a block's queries.
+    """
+    n = max(1, -(-queries.count() // per_block))
+    salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("_salt"))
+    dealt = items.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("_block"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("_salt"))
+    return dealt.join(asked, ["_block", "_salt"]).drop("_block", "_salt")
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, prefilter: Column | None = None, digits: int | None = None) -> DataFrame:
     """The k items of largest cosine for each query (query_id, q) among items (item_id, v): ties by item_id.
 
-    The queries are a stated, small set; items are scanned once, filtered first, and ranked with a
-    limit in each partition before any shuffle.
+    Items are filtered first, and ranked with a limit in each partition before the shuffle by
+    query. With digits, similarities are rounded before they are ranked.
     """
     rows = items if prefilter is None else items.where(prefilter)
-    scored = rows.crossJoin(F.broadcast(queries)).select("query_id", "item_id", cosine(F.col("q"), F.col("v")).alias("similarity"))
+    similarity = cosine(F.col("q"), F.col("v"))
+    scored = against_queries(queries, rows).select("query_id", "item_id", (similarity if digits is None else F.round(similarity, digits)).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def first_seen(hits: DataFrame, by: str, order: list[str]) -> DataFrame:

@@ -78,9 +78,7 @@ def _vectors(spark, d):
 def t12_vector_search(spark, d):
     """Nearest items under a filter, for every query of a stated set."""
     q, items = _vectors(spark, d)
-    scored = items.where("label < 5").crossJoin(F.broadcast(q)).select("query_id", "item_id", F.round(C.cosine(F.col("q"), F.col("v")), 6).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
+    return R.nearest(q, items, 5, F.col("label") < 5, digits=6)
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
