@@ -56,8 +56,8 @@ def against_queries(queries: DataFrame, items: DataFrame, per_block: int = 512)
     """
     n = max(1, -(-queries.count() // per_block))
     salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("_salt"))
-    dealt = items.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("_block"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("_salt"))
+    asked = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+    dealt = items.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_block"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("_salt"))
     return dealt.join(asked, ["_block", "_salt"]).drop("_block", "_salt")
 
 
