@@ -61,7 +61,9 @@ class WordEncoder:
             x, y, z = self.ids[a], self.ids[b], self.ids[a + b]
             self.merges.setdefault((x, y), (rank, z))
             self.made.setdefault(z, (rank, x, y))
-        self.tails = {t[i:] for t in self.ids for i in range(len(t) - len(self.end) if t.endswith(self.end) else len(t))}
+        #: every end of a token, with the token's number where it is a token itself, else -1
+        self.tails = {t[i:]: -1 for t in self.ids for i in range(len(t) - len(self.end) if t.endswith(self.end) else len(t))}
+        self.tails |= self.ids
         self.apart_cache: dict[tuple[int, int], bool] = {}
         self.alone_cache: dict[int, bool] = {}
         self.names = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
@@ -123,16 +125,13 @@ class WordEncoder:
 
     def _last(self, w: str, d: int, path: list, suffix: str) -> tuple[int, int]:
         """(token, its length): the last token of the encoding of w[:d]; suffix marks a whole word."""
-        found, tails, ids = [], self.tails, self.ids
-        k = d - 1
-        while k >= 0:
-            s = w[k:d] + suffix
-            if s not in tails:
+        found, number = [], self.tails.get
+        for k in range(d - 1, -1, -1):
+            t = number(w[k:d] + suffix)
+            if t is None:
                 break
-            t = ids.get(s)
-            if t is not None:
+            if t >= 0:
                 found.append((t, d - k))
-            k -= 1
         for t, n in reversed(found):
             if n == d:
                 if self.alone(t):
@@ -172,8 +171,7 @@ class WordEncoder:
         if not new:
             return
         if len(self.cache) + len(new) > MAX_CACHED_WORDS:
-            self.cache.clear()
-            new = list(chunks)
+            self.cache = {c: self.cache[c] for c in chunks if c in self.cache}  # what this slice needs stays
         parts = {c: self.find(c) for c in new}
         spelled = {p: p.encode().decode("latin-1").translate(self.letters) for c in parts.values() for p in c}
         order = sorted(set(spelled.values()))
