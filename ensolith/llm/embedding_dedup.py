@@ -184,10 +184,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     size = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     fit = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (size > 0)
     rows = cut(rows.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("dim", F.coalesce(F.size("vec"), F.lit(0))))
-    # A class's key and number: 60 bits of a digest of label and vector (equal vectors share it)
-    keyed = rows.withColumn("h", F.sha2(F.to_json(F.struct("label", "vec")).cast("binary"), 256)).withColumn("key", F.conv(F.substring("h", 1, 15), 16, 10).cast("long"))
+    # Rows find their class by the whole digest of label and vector; the classes' numbers are fixed by the checkpoint
+    keyed = rows.withColumn("key", F.unhex(F.sha2(F.to_json(F.struct("label", "vec")).cast("binary"), 256)))
     classes = keyed.where("fit").groupBy("key", "label", "dim", "vec").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    classes = cut(classes.withColumnRenamed("key", "class_id"))
+    classes = cut(classes.withColumn("class_id", F.monotonically_increasing_id()))
     groups = classes.groupBy("label", "dim").count()
     sized = groups.select("label", "dim", F.ceil(F.col("count") / cell_rows).alias("cells"))
     n_centres = sized.agg(F.sum(F.when(F.col("cells") > 1, F.col("cells")))).first()[0] or 0
@@ -227,22 +227,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.aggregate(F.zip_with("x.centre", "y.centre", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p))))
     pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.node") <= F.col("y.node")))
     pairs = pairs.where((F.col("x.node") == F.col("y.node")) | (apart <= F.col("x.radius") + F.col("y.radius") + math.acos(min(1.0, threshold)) + 1e-6))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.xxhash64("x.node", "y.node").alias("visit"))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))
-    asked = pairs.select("visit", F.inline(F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)))
-    sent = asked.join(dealt.select("node", "class_id", "copies", "vec"), "node").select("visit", "side", "class_id", "copies", "vec")
+    asked = pairs.select("a", "b", F.inline(F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)))
+    sent = asked.join(dealt.select("node", "class_id", "copies", "vec"), "node").select("a", "b", "side", "class_id", "copies", "vec")
 
     def visit(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
         p, q = (t.filter(pa.array(side == k)) for k in (0, 1))
         return _visit(p, q if q.num_rows else None, threshold)
 
-    visits = cut(sent.groupBy("visit").applyInArrow(visit, "class_id long, links long, root long"))
+    visits = cut(sent.groupBy("a", "b").applyInArrow(visit, "class_id long, links long, root long"))
     reach = components(visits.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    first = classes.select("class_id", "copies", "first").join(reach, classes["class_id"] == reach["node"], "left").withColumn("component", F.coalesce("component", "class_id"))
+    first = classes.select("key", "class_id", "copies", "first").join(reach, classes["class_id"] == reach["node"], "left").withColumn("component", F.coalesce("component", "class_id"))
     first = first.join(visits.groupBy("class_id").agg(F.sum("links").alias("links")), "class_id", "left")
     named = first.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = first.join(named, "component").select(F.col("class_id").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    known = first.join(named, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = keyed.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     joined = keyed.where("fit").select("id", "key").join(known, "key").select("id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     both = joined.unionByName(alone)
