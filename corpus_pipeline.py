@@ -1,7 +1,7 @@
 """A corpus cleaned for training in five stages, each over all that the stage before kept.
 
 toxicity drops documents scored toxic; simhash keeps the smallest doc_id of each group of near
-copies (rows without an id stay); substring takes repeated 35-word windows out of the texts;
+copies (five-word shingles with a Jaccard similarity of 0.8; rows without an id stay); substring takes repeated 35-word windows out of the texts;
 decontaminate drops documents with a benchmark window; encode returns token ids.
 """
 
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ensolith.llm import bpe, decontamination, simhash, substring_dedup, toxicity
+from ensolith.llm import bpe, decontamination, near_copies, substring_dedup, toxicity
 from ensolith.llm.blocks import use_checkpoints
 from ensolith.llm.queries import tokenizer_path
 
@@ -25,7 +25,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
+    groups = near_copies.near_copies(docs, shingle=5, threshold=0.8)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
 

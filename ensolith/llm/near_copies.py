@@ -1,0 +1,233 @@
+"""Near copies by an exact set-similarity join of the texts' word shingles.
+
+Two texts are linked at a Jaccard similarity of ``threshold`` or more of their distinct shingles.
+Shingles are ordered, those held by few texts first; linked texts then share one of their
+|S| - ceil(t |S|) + 1 first shingles, so these alone are exchanged. Texts of one shingle set are
+one class from the start. Each class is first compared with one smallest class of the groups
+that share a shingle, which links large groups of near copies at a cost linear in them; then
+all pairs of a group that are not in one component yet are compared. Length and place filter
+pairs before the sets themselves decide, so no link between components is missed. The order
+comes from a sample and changes the cost alone.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ensolith.llm import textops as X
+from ensolith.llm.blocks import cut
+from ensolith.llm.components import components
+
+SAMPLE = 8192
+MAX_COMMON = 1 << 17
+SLICE_BYTES = 4 << 20
+BITMAP_BITS = 1 << 26
+_PREFIX = "node long, n int, key long, place int"
+
+
+def _sets(texts, shingle: int, common: np.ndarray, commonness: np.ndarray):
+    """(first, hashes, nodes) of an Arrow column: text d has the distinct shingles first[d]:first[d+1], in order."""
+    raw = [(t or "").encode() for t in texts.to_pylist()]
+    buf = np.frombuffer(b"".join(x + b"\n" for x in raw), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])]).astype(np.int64)
+    words, _, _, wf = X.words_of(buf, bounds, X.SPACE_WORDS, lower=True)
+    sums = X.prefix_sums(words)
+    at = np.flatnonzero(X.window_starts(wf, shingle))
+    short = np.flatnonzero((np.diff(wf) > 0) & (np.diff(wf) < shingle))  # one shingle of all their words
+    h = np.concatenate([X.span_hashes(sums, at, at + shingle), X.span_hashes(sums, wf[short], wf[short + 1])])
+    doc = np.concatenate([np.searchsorted(wf, at, "right") - 1, short])
+    order = np.lexsort((h, doc))
+    order = order[X.group_edges(doc[order], h[order])]
+    h, doc = h[order], doc[order]
+    if len(common):
+        k = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        order = np.lexsort((h, np.where(common[k] == h, commonness[k], 0), doc))
+        h = h[order]
+    first = np.searchsorted(doc, np.arange(len(raw) + 1))
+    return first, h, X.span_hashes(X.prefix_sums(h), first[:-1], first[1:])
+
+
+def _with_sets(docs: DataFrame, shingle: int, common, rows, schema) -> DataFrame:
+    """rows(batch slice, first, hashes, nodes, seen) of slices of docs (id, text), as a table of that schema."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64) + 1
+            for i, j in X.chunks_of(np.concatenate([[0], np.cumsum(size)]), SLICE_BYTES):
+                part = batch.slice(i, j - i)
+                yield rows(part, *_sets(part.column(1), shingle, *common), seen)
+                if len(seen) > 1 << 20:
+                    seen.clear()
+        X.give_back_memory()
+
+    return docs.mapInArrow(run, schema)
+
+
+def _first_seen(nodes: np.ndarray, seen: set) -> np.ndarray:
+    new = []
+    for d, v in enumerate(nodes.tolist()):
+        if v not in seen:
+            seen.add(v)
+            new.append(d)
+    return np.array(new, np.int64)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, steps): starts[i] + 0 .. sizes[i]-1, one after the other."""
+    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(starts, sizes) + step, step
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in a thousandth of a bounded sample of classes and 3 at least, sorted, and how many hold each."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n // SAMPLE))) == 0)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def rows(part, first, h, nodes, seen):
+        k, _ = _ranges(first[:-1], np.diff(first))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, np.diff(first)).view(np.int64)), pa.array(h[k].view(np.int64))], names=["node", "key"])
+
+    held = _with_sets(some, shingle, none, rows, "node long, key long").distinct().groupBy("key").count()
+    top = held.where(F.col("count") >= max(3, min(n, SAMPLE) // 1000)).orderBy(F.desc("count"), "key").limit(MAX_COMMON).collect()
+    if not top:
+        return none
+    keys, counts = np.array([r["key"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _members(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the hashes (column node): it admits all of them, and few others."""
+    at = F.pmod("node", F.lit(BITMAP_BITS))
+    words = nodes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(node, {BITMAP_BITS}) & 63 as int))").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _admits(bitmap: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = np.mod(nodes.view(np.int64), BITMAP_BITS)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _verified(pairs: DataFrame, sets_of, threshold: float) -> DataFrame:
+    """The pairs (a, b) of classes whose sets have that Jaccard similarity; sets_of(bitmap) gives sets by node."""
+    pairs = cut(pairs)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    used = sets_of(_members(ends)).dropDuplicates(["node"])  # its exchange serves both joins
+    both = pairs.join(used.select(F.col("node").alias("a"), F.col("keys").alias("s")), "a").join(used.select(F.col("node").alias("b"), F.col("keys").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    return cut(both.where(shared >= _least(F.size("s") + F.size("t"), threshold)).select("a", "b"))
+
+
+def _least(both: Column, threshold: float) -> Column:
+    """Shingles to share of two sets whose sizes add up to both."""
+    return F.ceil(both * threshold / (1 + threshold) - 1e-9)
+
+
+def _possible(shared: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, count) of the pairs that length and place allow, from rows (a, b, na, nb, pa, pb) for each first shingle they share.
+
+    Behind the last of these both have so many left; all they share before it are such rows.
+    """
+    near = shared.where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    pairs = near.groupBy("a", "b").agg(F.count("*").alias("count"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    room = F.col("count") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return pairs.where(room >= _least(F.col("na") + F.col("nb"), threshold)).select("a", "b", "count")
+
+
+def links(docs: DataFrame, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((id, node) of every row of docs (id, text), (node, component) of the classes linked to others)."""
+    common = _common(docs, shingle)
+
+    def prefixes(part, first, h, nodes, seen):
+        new = _first_seen(nodes, seen)
+        size = np.diff(first)[new]
+        take = np.where(size > 0, size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1, 0)
+        k, step = _ranges(first[new], take)
+        columns = [np.repeat(nodes[new], take).view(np.int64), np.repeat(size, take).astype(np.int32), h[k].view(np.int64), step.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "n", "key", "place"])
+
+    def whole(bitmap, part, first, h, nodes, seen):
+        new = _first_seen(nodes, seen)
+        new = new[_admits(bitmap, nodes[new])]
+        offsets = np.concatenate([[0], np.cumsum(np.diff(first)[new])]).astype(np.int32)
+        k, _ = _ranges(first[new], np.diff(first)[new])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[new].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[k].view(np.int64)))], names=["node", "keys"])
+
+    def named(part, first, h, nodes, seen):
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes.view(np.int64))], names=["id", "node"])
+
+    own = _with_sets(docs, shingle, common, named, "id long, node long")
+
+    def sets(bitmap):
+        return _with_sets(docs, shingle, common, functools.partial(whole, bitmap), "node long, keys array<long>")
+
+    group = Window.partitionBy("key")
+    held = _with_sets(docs, shingle, common, prefixes, _PREFIX)
+    held = held.withColumns({"first": F.min(F.struct("node", "n", "place")).over(group), "last": F.max("node").over(group)})
+    held = cut(held.where(F.col("first.node") < F.col("last")).select("key", "node", "n", "place", F.col("first.node").alias("node1"), F.col("first.n").alias("n1"), F.col("first.place").alias("place1")).distinct())
+    stars = held.where("node <> node1").select(F.col("node").alias("a"), F.col("node1").alias("b"), F.col("n").alias("na"), F.col("n1").alias("nb"), F.col("place").alias("pa"), F.col("place1").alias("pb"))
+    stars = _possible(stars, threshold).groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))  # the likeliest of each
+    found = _verified(stars, sets, threshold)
+    reach = cut(components(found))
+    # members of groups with several components, and the pairs of components in each
+    inside = held.select("key", "node", "n", "place").join(reach, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    inside = cut(inside.join(mixed, "key", "left_semi"))
+    left = inside.select("key", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "place", "component")))
+    right = inside.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "component")))
+    c1, c2 = left.select("key", "component1").distinct(), right.select("key", "component2").distinct()
+    others = c1.join(c2, "key").where("component1 < component2")
+    others = others.join(left, ["key", "component1"]).join(right, ["key", "component2"])
+    others = others.select(F.col("node1").alias("a"), F.col("node2").alias("b"), F.col("n1").alias("na"), F.col("n2").alias("nb"), F.col("place1").alias("pa"), F.col("place2").alias("pb"))
+    more = _verified(_possible(others, threshold).select("a", "b"), sets, threshold)
+    return own, components(found.union(more))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: (doc_id, component_id), the smallest doc_id it reaches over links.
+
+    Words are lower-cased (A to Z) and parted by ASCII white space; a text of fewer words than a
+    shingle is one shingle. Texts without words (null too) link with each other only. Shingles and
+    sets are compared by 64-bit hashes. Repeated rows stay rows; a null id counts for a
+    component's id only if no other is there. Other columns are ignored.
+    """
+    own, reach = links(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), shingle, threshold)
+    own = cut(own)
+    classes = own.groupBy("node").agg(F.min("id").alias("first"))
+    first = classes.join(cut(reach), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = first.groupBy("component").agg(F.min("first").alias("component_id"))
+    return own.join(first.join(smallest, "component").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def brute_force(rows: list[tuple], shingle: int = 5, threshold: float = 0.8) -> dict:
+    """{doc_id: component_id} by comparing all pairs, for tests."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().translate(X.LOWER).split()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    known = sorted(sets)
+    for k, i in enumerate(known):
+        for j in known[k + 1 :]:
+            shared, whole = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if shared >= threshold * whole - 1e-9 and (whole or not sets[i]) and bool(sets[i]) == bool(sets[j]):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    return {i: root(i) for i in sets}

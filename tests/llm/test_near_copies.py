@@ -1,0 +1,40 @@
+"""The pipeline's near copies against brute force Jaccard of five-word shingles."""
+
+import random
+
+import corpus_pipeline as P
+import pytest
+from ensolith.llm import near_copies
+
+
+def changed(r, words, n):
+    w = list(words)
+    for _ in range(n):
+        w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def family(seed):
+    """Copies with changes on both sides of 0.8, short and empty texts, and one line that most texts share."""
+    r = random.Random(seed)
+    texts = ["", None, " ", "one two", "One two", "one two three", "a b c d e", "a b c d e f"]
+    for size in (12, 60, 200):
+        for _ in range(6):
+            words = [f"w{r.randrange(300)}" for _ in range(size)]
+            texts += [changed(r, words, n) for n in (0, 0, 1, 1, 2, 3, size // 40, size // 30)]
+    line = " this line stands in nearly all of the texts here"
+    return [(i, t if t is None or i % 4 == 0 else t + line) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_match_brute_force(spark, seed):
+    rows = family(seed)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_copies.brute_force(rows)
+
+
+def test_the_stage_drops_what_brute_force_links(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    groups = near_copies.brute_force([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    kept = sorted(r["doc_id"] for r in P.drop_near_copies(spark, docs, sf_dir).collect())
+    assert kept == sorted(i for i, c in groups.items() if i == c)
