@@ -1,11 +1,13 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template matches a block that holds at least ``threshold`` of its
+A block is a line, or any run of consecutive words over line ends that is twice as long as the
+template, so a wrapped text is found too. A template matches a block that holds at least ``threshold`` of its
 distinct words (containment). Words are ordered by their frequency over all documents, the
 rarest first; a block that meets the threshold must share a word of the template's prefix, the
-|T| - ceil(t |T|) + 1 rarest. Lines with a prefix word join the templates on it, the length
-filter drops lines of too few template words, the positional filter those whose words left
-after the shared one cannot make up the rest, and the words themselves decide.
+|T| - ceil(t |T|) + 1 rarest. Lines with a prefix word join the templates on it; for the line the
+length filter drops those of too few template words, the positional filter those whose words
+left after the shared one cannot make up the rest. Runs are taken from the words around the
+line, if these hold enough of the template, and the words themselves decide.
 
 Only DataFrame functions run; templates and phrases are parameters of a few rows.
 """
@@ -59,7 +61,7 @@ def template_order(docs: DataFrame, templates: list[tuple], text_col: str = "tex
 
 
 def matches(docs: DataFrame, templates: list[tuple] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """(columns of docs but the text, block long, label, containment) of every matching line and template; lines from 0."""
+    """(columns of docs but the text, block long, label, containment) of every line, alone or in a run, and template that match; lines from 0."""
     order = template_order(docs, templates, text_col)
     place = {w: i for i, w in enumerate(order)}
     spark = docs.sparkSession
@@ -69,25 +71,47 @@ def matches(docs: DataFrame, templates: list[tuple] = TEMPLATES, threshold: floa
         need = math.ceil(threshold * len(own) - 1e-9)
         for w in own[: len(own) - need + 1]:
             prefixes.add(w)
-            rows.append(f"('{w}', '{label}', array({', '.join(repr(x) for x in own)}), {need})")
-    table = spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(w, label, template, need)")
+            rows.append(f"('{w}', '{label}', array({', '.join(repr(x) for x in own)}), {need}, {2 * len(t.split())})")
+    table = spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(w, label, template, need, span)")
     prefixes = sorted(prefixes)
     rest = [c for c in docs.columns if c != text_col]
-    lines = docs.where(F.col(text_col).rlike(_any_of(prefixes))).select(*rest, F.posexplode(F.split(text_col, "\n")).alias("_block", "_line"))
-    lines = lines.where(F.col("_line").rlike(_any_of(prefixes)))
+    lines = docs.where(F.col(text_col).rlike(_any_of(prefixes))).select(*rest, F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("line"))).alias("_lines"))
+    lines = lines.withColumn("_lines", F.filter("_lines", lambda x: x["line"].rlike(WORD)))
+    hits = F.filter(F.transform("_lines", lambda x, k: F.struct(x["block"].alias("_block"), x["line"].alias("_line"), k.alias("_k"))), lambda x: x["_line"].rlike(_any_of(prefixes)))
+    lines = lines.withColumn("_hits", hits).where(F.size("_hits") > 0).select(*rest, "_lines", F.inline("_hits"))
     # the line's words that any template has, in global order
-    lines = lines.select(*rest, "_block", F.array_intersect(_strings(order), F.split(_lower(F.col("_line")), NOT_WORD)).alias("_own"))
-    probes = lines.select(*rest, "_block", "_own", F.explode(F.array_intersect("_own", _strings(prefixes))).alias("w"))
-    pairs = probes.join(F.broadcast(table), "w").where(F.size("_own") >= F.col("need"))
-    p, q = F.array_position("_own", F.col("w")), F.array_position("template", F.col("w"))
-    room = F.least(p, q) + F.least(F.size("_own") - p, F.size("template") - q)
-    shared = F.size(F.array_intersect("template", "_own"))
-    pairs = pairs.where(room >= F.col("need")).withColumn("_shared", shared).where(F.col("_shared") >= F.col("need"))
+    lines = lines.select(*rest, "_block", "_line", "_lines", "_k", F.array_intersect(_strings(order), F.split(_lower(F.col("_line")), NOT_WORD)).alias("_own"))
+    probes = lines.select(*rest, "_block", "_line", "_lines", "_k", "_own", F.explode(F.array_intersect("_own", _strings(prefixes))).alias("w"))
+    pairs = probes.join(F.broadcast(table), "w")
     # a pair is found by each prefix word it shares: keep the find by the first of them
     pairs = pairs.where(F.col("w") == F.get(F.array_intersect("template", F.array_intersect("_own", _strings(prefixes))), F.lit(0)))
+    p, q = F.array_position("_own", F.col("w")), F.array_position("template", F.col("w"))
+    room = F.least(p, q) + F.least(F.size("_own") - p, F.size("template") - q)
+    alone = F.when((F.size("_own") >= F.col("need")) & (room >= F.col("need")), F.size(F.array_intersect("template", "_own"))).otherwise(0)
+    pairs = pairs.withColumn("_alone", alone)
+    shared = F.when(F.col("_alone") == F.size("template"), F.col("_alone")).otherwise(F.greatest("_alone", _best_window(_around())))
+    pairs = pairs.withColumn("_shared", shared).where(F.col("_shared") >= F.col("need"))
     return pairs.select(*rest, F.col("_block").cast("long").alias("block"), "label", (F.col("_shared") / F.size("template")).alias("containment"))
 
 
+def _around() -> Column:
+    """The words of line _k of _lines with span words before and after; each line has a word at least."""
+    k, span = F.col("_k"), F.col("span")
+    text = lambda start, n: _words(F.array_join(F.transform(F.slice("_lines", start + 1, n), lambda x: x["line"]), "\n"))
+    begin = F.greatest(k - span, F.lit(0))
+    tail = lambda w: F.slice(w, F.greatest(F.size(w) - span, F.lit(0)) + 1, span)
+    before = F.get(F.transform(F.array(text(begin, k - begin)), tail), F.lit(0))
+    return F.concat(before, _words(F.col("_line")), F.slice(text(k + 1, span), 1, span))
+
+
+def _best_window(words: Column) -> Column:
+    """Most distinct template words in any span consecutive words; 0 if all of them together hold too few."""
+    span = F.col("span")
+    held = lambda w: F.size(F.array_intersect(F.col("template"), w))
+    most = lambda w: F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - span, F.lit(0)) + 1), lambda s: held(F.slice(w, s, span))))
+    return F.get(F.transform(F.array(words), lambda w: F.when(held(w) >= F.col("need"), most(w)).otherwise(0)), F.lit(0))
+
+
 def _phrase_starts(words: Column, phrase: str) -> Column:
     p = phrase.split()
     last = F.size(words) - len(p)
@@ -126,7 +150,7 @@ def scan(docs: DataFrame, templates: list[tuple] = TEMPLATES, threshold: float =
 
 
 def oracle(templates: list[tuple] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same by plain comparison of every line with every template, for DuckDB."""
+    """The same by plain comparison of every line (not of runs over lines) with every template, for DuckDB."""
     lower = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     values = ", ".join(f"('{label}', string_split('{t}', ' '), {math.ceil(threshold * len(set(t.split())) - 1e-9)}, {len(set(t.split()))})" for label, t in templates)
