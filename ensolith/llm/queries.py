@@ -52,7 +52,7 @@ def op9_suffix_dedup(spark, sf_dir):
 
 
 def op10_simhash(spark, sf_dir):
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, distance=2, similarity=None)
 
 
 def pipeline(spark, sf_dir):

@@ -1,13 +1,19 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-Fingerprints are taken in the documents' tasks. Distinct ones are linked: 64 bits are cut into
-``distance + 2`` fields, and two fingerprints at that distance at most agree on two fields at
-least, so each goes to the groups of all its pairs of fields. A group of many fingerprints is
-cut once more by pairs of fields of the bits it has left, after which at most 2**16 distinct
-ones can share a group. In a group, fingerprints are sorted by Gray rank; runs of neighbours
-become nodes that hold the bits all members share (a mask and their values), level over level.
-Pairs of nodes are compared by the differences on bits both share, which only add up downwards,
-so a pair above the distance prunes all members' pairs at once.
+Fingerprints are taken in the documents' tasks and equal ones are one class from the start.
+Bits are cut into fields, and two fingerprints at the distance at most agree on some fields at
+least, so each goes to the groups of all such choices of fields. In a group, fingerprints are
+sorted by Gray rank; runs of neighbours become nodes that hold the bits all members share (a
+mask and their values), level over level. Pairs of nodes are compared by the differences on
+bits both share, which only add up downwards, so a pair above the distance prunes all members'
+pairs at once.
+
+Links are of two kinds. By fingerprints alone (``similarity`` None): groups give spanning
+stars of their links. By fingerprints and texts: fingerprints that agree in ``1 - distance/64``
+of their bits are candidates, and the Jaccard similarity of the texts' shingles decides. Then
+texts of one group are first held against their neighbours in Gray order, which joins great
+groups of near copies at a cost linear in them; after that all pairs within the distance are
+enumerated, but for those of one component, whose nodes are pruned as a whole.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensolith.llm import textops as X
@@ -25,26 +31,40 @@ from ensolith.llm.blocks import cut
 from ensolith.llm.components import components
 
 FAN = 8
+#: Changes the plan of ``linked``, not its result: larger groups are dealt once more.
 SPLIT_GROUPS_OVER = 4096
+#: Changes the plan of ``candidates``, not its result: rows of a group that one task takes at once.
+GROUP_ROWS = 1 << 17
+BITMAP_BITS = 1 << 26
+_ALL = (1 << 64) - 1
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned SimHash of one text."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the shingles of one text, repeats included: runs of words, or all words of a short text."""
     w = (text or "").encode().translate(X.LOWER).split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """Unsigned SimHash of shingle hashes; zero without any."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         votes += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned SimHash of one text."""
+    return fingerprint_of(shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", out: str = "fp") -> DataFrame:
     """docs without its text column, with the fingerprint as a (signed) long."""
     own = docs.drop(out)
@@ -68,30 +88,50 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of nodes over fingerprints sorted by group and Gray rank; level 0 are the fingerprints."""
+    """Levels of nodes over fingerprints sorted by group and Gray rank; level 0 are the fingerprints.
+
+    With sizes and components, nodes also hold their range of sizes and their one component (or
+    -1); members of one component that are many in a group stand together.
+    """
 
-    def __init__(self, group: np.ndarray, fp: np.ndarray):
-        order = np.lexsort((gray_rank(fp), group))
-        self.fp = fp[order]
+    def __init__(self, group: np.ndarray, fp: np.ndarray, size: np.ndarray | None = None, component: np.ndarray | None = None):
+        rank = gray_rank(fp)
+        if size is None:
+            order = np.lexsort((rank, group))
+        else:
+            by = np.lexsort((component, group))
+            edges = X.group_edges(group[by], component[by])
+            many = np.empty(len(fp), np.int64)
+            many[by] = np.repeat(np.diff(np.append(edges, len(fp))), np.diff(np.append(edges, len(fp))))
+            order = np.lexsort((rank, (np.log2(np.maximum(size, 1)) * 3).astype(np.int64), np.where(many >= FAN, component, -1), group))
+        self.order, self.fp = order, fp[order]
         key = group[order]
-        full = np.full(len(fp), np.uint64(0xFFFFFFFFFFFFFFFF))
+        full = np.full(len(fp), np.uint64(_ALL))
         self.levels = [(self.fp, full, None, None)]  # bits, mask, first child, end of children
+        self.ranges = None if size is None else [(size[order], size[order], component[order])]  # least and largest size, component
         while True:
             edges = X.group_edges(key)
             if len(edges) == len(key):
                 break
-            size = np.diff(np.append(edges, len(key)))
-            place = np.arange(len(key)) - np.repeat(edges, size)
+            count = np.diff(np.append(edges, len(key)))
+            place = np.arange(len(key)) - np.repeat(edges, count)
             heads = np.flatnonzero(place % FAN == 0)
             bits, mask = self.levels[-1][:2]
             ends = np.append(heads[1:], len(key))
             apart = np.bitwise_or.reduceat(bits ^ np.repeat(bits[heads], ends - heads), heads)
             shared = np.bitwise_and.reduceat(mask, heads) & ~apart
             self.levels.append((bits[heads] & shared, shared, heads, ends))
+            if self.ranges is not None:
+                low, high, one = self.ranges[-1]
+                same = np.logical_and.reduceat(one == np.repeat(one[heads], ends - heads), heads)
+                self.ranges.append((np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads), np.where(same, one[heads], -1)))
             key = key[heads]
 
-    def links(self, distance: int, at_once: int = 1 << 18):
-        """Chunks (i, j) of places of fingerprints of one group within the distance, i before j."""
+    def links(self, distance: int, ratio: float = 0.0, at_once: int = 1 << 18):
+        """Chunks (i, j) of places of fingerprints of one group within the distance, i before j.
+
+        With sizes: only of sizes whose ratio is ``ratio`` at least, and of different components.
+        """
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top][0]))
         todo = [(top, roots, roots)] if top else []
@@ -109,8 +149,13 @@ class GrayIndex:
             i, j = first[a[pair]] + k // nb[pair], first[b[pair]] + k % nb[pair]
             bits, mask = self.levels[level - 1][:2]
             ok = (i <= j) if level > 1 else (i < j)
-            ok &= np.bitwise_count((bits[i] ^ bits[j]) & mask[i] & mask[j]) <= distance
             i, j = i[ok], j[ok]
+            ok = np.bitwise_count((bits[i] ^ bits[j]) & mask[i] & mask[j]) <= distance
+            i, j = i[ok], j[ok]
+            if self.ranges is not None and len(i):
+                low, high, one = self.ranges[level - 1]
+                ok = (high[i] >= ratio * low[j]) & (high[j] >= ratio * low[i]) & ((one[i] != one[j]) | (one[i] < 0))
+                i, j = i[ok], j[ok]
             if not len(i):
                 continue
             if level == 1:
@@ -157,30 +202,58 @@ def linked(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_GROUP
     whole = F.array(F.struct(F.lit(-1).alias("k2"), F.lit(0).cast("long").alias("v2")))
     dealt = dealt.select("fp", "k", "v", F.inline(F.coalesce(finer, whole)))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("fp", F.xxhash64("k", "v", "k2", "v2").alias("key")).repartition(n, "key").sortWithinPartitions("key")
+    dealt = dealt.select("fp", F.xxhash64("k", "v", "k2", "v2").alias("key"))
+
+    def stars(part):
+        yield _stars(*(part.column(c).to_numpy().copy() for c in ("fp", "key")), distance)
+
+    return _by_group(dealt, stars, "a long, b long")
+
+
+def _by_group(dealt: DataFrame, links, ddl: str, group_rows: int | None = None) -> DataFrame:
+    """links(table of whole groups) over the groups of ``dealt`` (column key), many at a time.
+
+    With group_rows, a group of more rows is not taken: it gives a row of nulls with its key last.
+    """
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = dealt.columns
+    width = len(ddl.split(","))
 
     def run(batches):
-        """Groups of a partition, some at a time; a group stands in one piece as rows are sorted by key."""
+        """A group stands in one piece as rows are sorted by key."""
         held: list[pa.Table] = []
-        rows = 0
+        rows, refused = 0, None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                if not batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                if refused is not None:
+                    table = table.filter(pa.array(table.column("key").to_numpy() != refused))
+                if not table.num_rows:
                     continue
-                held.append(pa.Table.from_batches([batch]))
-                rows += batch.num_rows
+                held.append(table)
+                rows += table.num_rows
                 if rows < 200_000:
                     continue
             if not held:
                 continue
             table = pa.concat_tables(held)
-            fp, key = (table.column(c).to_numpy().copy() for c in ("fp", "key"))
+            key = table.column("key").to_numpy()
             stop = len(key) if batch is None else int(np.searchsorted(key, key[-1]))  # the last group may go on
-            held, rows = [table.slice(stop)], len(key) - stop
-            if stop:
-                yield _stars(fp[:stop].view(np.uint64), key[:stop], distance)
+            whole, rest = table.slice(0, stop), table.slice(stop)
+            if group_rows is not None:
+                edges = X.group_edges(key)
+                large = key[edges[np.diff(np.append(edges, len(key))) > group_rows]]
+                if len(large):
+                    whole = whole.filter(pa.array(~np.isin(key[:stop], large)))
+                    if key[-1] in large:
+                        refused, rest = key[-1], rest.slice(0, 0)
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(large), pa.int64())] * (width - 1), pa.array(large)], names=[x.split()[0] for x in ddl.split(", ")])
+            held, rows = ([rest], rest.num_rows) if rest.num_rows else ([], 0)
+            if whole.num_rows:
+                yield from links(whole)
+        X.give_back_memory()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.repartition(n, "key").sortWithinPartitions("key").select(*names).mapInArrow(run, ddl)
 
 
 def _stars(fp: np.ndarray, key: np.ndarray, distance: int) -> pa.RecordBatch:
@@ -192,43 +265,191 @@ def _stars(fp: np.ndarray, key: np.ndarray, distance: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(index.fp[k].view(np.int64)), pa.array(index.fp[labels[k]].view(np.int64))], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _choices(distance: int, agree: int) -> list[int]:
+    """Masks of ``agree`` of ``distance + agree`` fields: within the distance, some choice has equal bits."""
+    return [sum(c) for c in itertools.combinations(_fields(list(range(64)), distance + agree), agree)]
+
+
+def _dealt(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """nodes (node, fp, n, component) once for each mask, by a key of its bits."""
+    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)))
+    return nodes.select("node", "fp", "n", "component", F.explode(keys).alias("key"))
+
+
+def neighbours(nodes: DataFrame, distance: int, ratio: float) -> DataFrame:
+    """(a, b) of each node and the nearest of those before it in the Gray order of its groups, by disjoint pairs of fields."""
+    fields = _fields(list(range(64)), distance + 2)
+    masks = [a | b for a, b in zip(fields[::2], fields[1::2])]
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rank = F.col("fp")
+    for s in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
+    dealt = _dealt(nodes, masks).select("node", "fp", "n", "key").repartition(n, "key").sortWithinPartitions("key", rank)
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in ("node", "fp", "n", "key")]
+            if last is not None:
+                rows = [np.concatenate([[x], y]) for x, y in zip(last, rows)]
+            last = [x[-1] for x in rows]
+            node, fp, size, key = rows
+            apart = np.bitwise_count(fp[1:].view(np.uint64) ^ fp[:-1].view(np.uint64)).astype(np.int64)
+            ok = (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (apart <= distance) & (np.minimum(size[1:], size[:-1]) >= ratio * np.maximum(size[1:], size[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (node[1:], node[:-1], apart)], names=["a", "b", "apart"])
+
+    found = dealt.mapInArrow(run, "a long, b long, apart long")
+    return found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+
+
+def candidates(nodes: DataFrame, distance: int, ratio: float, agree: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(a, b): every pair of nodes (node, fp, n, component) within the distance, of sizes n in that ratio at least and of different components.
+
+    Groups of more than group_rows rows are cut into blocks, and every two blocks meet.
+    """
+    masks = _choices(distance, agree)
+
+    def pairs(part):
+        node, fp, size, component, key = (part.column(c).to_numpy().copy() for c in ("node", "fp", "n", "component", "key"))
+        index = GrayIndex(key, fp.view(np.uint64), size, component)
+        node = node[index.order]
+        for i, j in index.links(distance, ratio):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.nulls(len(i), pa.int64())], names=["a", "b", "key"])
+
+    dealt = _dealt(nodes, masks)
+    found = cut(_by_group(dealt, pairs, "a long, b long, key long", group_rows))
+    whole = found.where("key is null").select("a", "b")
+    large = found.where("key is not null").select("key").distinct()
+    if not large.isEmpty():
+        count = dealt.join(large, "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") * 2 / group_rows).alias("blocks"))
+        rows = dealt.join(cut(count), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        rows = rows.select("node", "fp", "n", "component", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        rows = rows.select("node", "fp", "n", "component", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+        whole = whole.unionByName(_by_group(rows, pairs, "a long, b long, key long").select("a", "b"))
+    return whole.distinct()
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the hashes (column t): it admits all of them, and few others."""
+    bit = F.pmod("t", F.lit(BITMAP_BITS))
+    words = hashes.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(t, {BITMAP_BITS}) & 63 as int))").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose texts have that Jaccard similarity of their distinct shingles."""
+    pairs = cut(pairs)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    used = cut(ends.join(classes.select("node", "t", "t2"), "node"))
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(used))
+
+    def sets(batches):
+        bitmap = shared.value
+        for batch in batches:
+            at = np.mod(batch.column(0).to_numpy(), BITMAP_BITS)
+            batch = batch.filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0))
+            held = [np.unique(shingles(t, shingle)) for t in batch.column(2).to_pylist()]
+            offsets = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
+            keys = pa.array(np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, keys)], names=["t", "t2", "keys"])
+        X.give_back_memory()
+
+    got = texts.select("t", "t2", "text").mapInArrow(sets, "t long, t2 long, keys array<long>").dropDuplicates(["t", "t2"])
+    got = used.join(got, ["t", "t2"]).select("node", "keys")
+    both = pairs.join(got.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a").join(got.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
+    same, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return cut(both.where((same >= similarity * (total - same) - 1e-9) & (total > 0)).select("a", "b"))
+
+
+def _classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows (id, t, t2, fp, n), texts (t, t2, text), classes (node, t, t2, fp, n, id)): equal texts are one class."""
+    texts = docs.select("id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+
+    def marks(batches):
+        for batch in batches:
+            held = [shingles(t, shingle) for t in batch.column(3).to_pylist()]
+            fp = pa.array([_signed(fingerprint_of(h)) for h in held], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fp, pa.array([len(np.unique(h)) for h in held], pa.int64())], names=["id", "t", "t2", "fp", "n"])
+        X.give_back_memory()
+
+    rows = cut(texts.mapInArrow(marks, "id long, t long, t2 long, fp long, n long"))
+    own = rows.groupBy("t", "t2").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("id").alias("id"))
+    return rows, texts.select("t", "t2", "text"), cut(own.withColumn("node", F.monotonically_increasing_id()))
+
+
+def _linked_classes(texts: DataFrame, classes: DataFrame, shingle: int, distance: int, similarity: float) -> DataFrame:
+    """(node, component) of the classes that link to others."""
+    nodes = classes.select("node", "fp", "n")
+    first = _verified(neighbours(nodes.withColumn("component", F.col("node")), distance, similarity), texts, classes, shingle, similarity)
+    reach = cut(components(first))
+    nodes = cut(nodes.join(reach, "node", "left").select("node", "fp", "n", F.coalesce("component", "node").alias("component")))
+    # as many agreeing fields as keep the mean group small; this changes the cost alone
+    count = nodes.count()
+    agree = next((k for k in (2, 3) if count / 2 ** (64 * k / (distance + k)) <= 4096), 4)
+    more = _verified(candidates(nodes, distance, similarity, agree), texts, classes, shingle, similarity)
+    return components(first.unionByName(more))
+
+
+def _text(text_col: str) -> Column:
+    """The text; empty for all texts without words."""
+    text = F.col(text_col).cast("string")
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), _text(text_col).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 12, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, fingerprint as 16 hex digits, component_id).
 
-    component_id is the smallest doc_id reachable over links of ``distance`` differing bits at
-    most. Null and empty texts, and those of white space, have fingerprint zero and link like
-    any other. Equal fingerprints are one class from the start, so copies cost nothing here.
-    Repeated rows stay rows; a null id is kept, and counts for a component's id only if no
-    other is there (then it is null). Other columns are ignored.
+    Texts link if their fingerprints differ in ``distance`` bits at most and, unless
+    ``similarity`` is None, the Jaccard similarity of their distinct shingles is that or more.
+    component_id is the smallest doc_id reachable over links. Words are lower-cased (A to Z) and
+    parted by ASCII white space; a text of fewer words than a shingle is one shingle. Null and
+    empty texts, and those of white space, have fingerprint zero; with a similarity they link
+    with each other only, else like any other. Very long texts are read whole. Equal texts are
+    one class from the start, so copies cost nothing here. Repeated rows stay rows; a null id is
+    kept, and counts for a component's id only if no other is there (then it is null). Other
+    columns are ignored; an empty table gives an empty result.
+    """
+    own = _own(docs, id_col, text_col)
+    if similarity is None:
+        rows = cut(fingerprints(own, shingle))
+        classes, key = rows.groupBy("fp").agg(F.min("id").alias("id")), ["fp"]
+        classes = classes.withColumn("node", F.col("fp"))
+        reach = components(linked(classes.select("fp"), distance))
+    else:
+        rows, texts, classes = _classes(own, shingle)
+        reach, key = _linked_classes(texts, classes, shingle, distance, similarity), ["t", "t2"]
+    first = classes.join(cut(reach), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = first.groupBy("component").agg(F.min("id").alias("component_id"))
+    known = first.join(named, "component").select(*key, "component_id")
+    return rows.join(known, key).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of ``near_duplicates``: that of the smallest id, rows without an id after all others.
+
+    Rows are told apart by id and text, not by id alone: of rows that share an id, those whose
+    texts are in different groups all stay. All columns are kept. Null and empty texts are one
+    group. An empty table gives an empty result.
     """
-    marked = cut(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle))
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("first"))
-    reach = cut(components(linked(distinct.select("fp"), distance)))
-    first = distinct.join(reach, distinct["fp"] == reach["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = first.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = first.join(named, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def brute_force(rows: list[tuple], distance: int = 2) -> dict:
-    """{doc_id: (fingerprint, component_id)} by comparing all pairs, for tests."""
-    import xxhash as xx
-
-    prints = {}
-    for i, t in rows:
-        w = (t or "").encode().translate(X.LOWER).split()
-        grams = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
-        h = [xx.xxh64_intdigest(g, 42) for g in grams]
-        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    group = {i: i for i in prints}
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i, j in itertools.combinations(sorted(prints), 2):
-        if (prints[i] ^ prints[j]).bit_count() <= distance:
-            a, b = sorted((root(i), root(j)))
-            group[b] = a
-    return {i: (f"{p:016x}", root(i)) for i, p in prints.items()}
+    _, texts, classes = _classes(_own(docs, id_col, text_col), shingle)
+    reach = cut(_linked_classes(texts, classes, shingle, distance, similarity))
+    inside = classes.join(reach, "node").select("t", "t2", "component", F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("t").alias("t"), F.col("t2").alias("t2")).alias("place"))
+    kept = inside.groupBy("component").agg(F.min("place").alias("best"))
+    gone = inside.join(kept, "component").where("place <> best").select("t", "t2")
+    names = docs.columns
+    text = _text(text_col)
+    row = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))
+    # of the rows of one text the first; copies fold before the exchange
+    best = docs.select(F.xxhash64(text).alias("_t"), F.xxhash64(F.lit(1), text).alias("_t2"), row.alias("_row"), F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long")).alias("_at"))
+    best = best.groupBy("_t", "_t2").agg(F.min_by("_row", "_at").alias("_row"))
+    left = best.join(gone.select(F.col("t").alias("_t"), F.col("t2").alias("_t2")), ["_t", "_t2"], "left_anti")
+    return left.select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(names)))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,15 +216,15 @@ def test_suffix_dedup_of_dense_repeats(spark, length):
 
 
 def test_simhash(docs, none):
-    got = simhash.near_duplicates(docs).collect()
+    got = simhash.near_duplicates(docs, 3, 2, None).collect()
     assert ids(got) == ALL_IDS
     by = {r["doc_id"]: r for r in got}
     assert {by[i]["fingerprint"] for i in (2, 3, 4)} == {"0" * 16} and {by[i]["component_id"] for i in (2, 3, 4)} == {2}
     assert by[6]["component_id"] == 5 and by[12]["component_id"] == 11
     known = dict(r for r in TEXTS if r[0] is not None)
-    want = simhash.brute_force(list(known.items()))
+    want = brute.simhash(list(known.items()))
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in by.items() if i is not None} == want
-    assert simhash.near_duplicates(none).count() == 0
+    assert simhash.near_duplicates(none, 3, 2, None).count() == 0
 
 
 @pytest.mark.parametrize("split_over", [1, 8, 4096])

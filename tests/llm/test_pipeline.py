@@ -1,7 +1,8 @@
 """Every stage of the pipeline against a plain version of it, on the documents that the stage got."""
 
+import brute
 import corpus_pipeline as P
-from ensolith.llm import bpe, decontamination, queries, simhash, substring_dedup, toxicity
+from ensolith.llm import bpe, decontamination, queries, substring_dedup, toxicity
 
 
 def pairs(df):
@@ -19,7 +20,7 @@ def test_stages_and_run(spark, sf_dir, tmp_path):
     assert all(sorted(d.columns) == sorted(kept[0].columns) for d in kept[:-1])
     toxic = {r["doc_id"] for r in toxicity.digest(kept[0], spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").collect()}
     assert pairs(kept[1]) == [r for r in pairs(kept[0]) if r[0] not in toxic]
-    groups = simhash.brute_force(pairs(kept[1]))
+    groups = brute.simhash(pairs(kept[1]), 5, 12, 0.8)
     assert pairs(kept[2]) == [r for r in pairs(kept[1]) if groups[r[0]][1] == r[0]]
     before, after = pairs(kept[2]), pairs(kept[3])
     cut = substring_dedup.brute_force([t for _, t in before])
@@ -39,8 +40,8 @@ def test_stages_and_run(spark, sf_dir, tmp_path):
 def test_pipeline_keeps_odd_rows_and_takes_an_empty_table(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a row without an id", "en", "s", 3), (None, "a row without an id", "en", "s", 3)]
-    for data, n in ((rows, 3), ([], 0)):
+    for data, n in ((rows, 2), ([], 0)):
         docs = spark.createDataFrame(data, schema)
         for _, stage in P.STAGES:
             docs = stage(spark, docs, sf_dir)
-        assert docs.count() == n  # null and empty texts share a fingerprint: one of them stays
+        assert docs.count() == n  # null and empty texts are one group, the two copies without an id another: one of each stays

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import brute
 import pytest
 
 from ensolith.llm import decontamination, embedding_dedup, lm_scoring, queries, simhash, substring_dedup, suffix_dedup, toxicity
@@ -84,4 +85,4 @@ def test_suffix_dedup_matches_brute_force(spark, sf_dir, documents):
 
 def test_simhash_matches_brute_force(spark, sf_dir, documents):
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op10_simhash(spark, sf_dir).collect()}
-    assert got == simhash.brute_force(documents)
+    assert got == brute.simhash(documents)
