@@ -1,8 +1,8 @@
 """A corpus cleaned for training in five stages, each over all that the stage before kept.
 
-toxicity drops documents scored toxic; simhash keeps the smallest doc_id of each group of near
-copies (five-word shingles with a Jaccard similarity of 0.8; rows without an id stay); substring takes repeated 35-word windows out of the texts;
-decontaminate drops documents with a benchmark window; encode returns token ids.
+toxicity drops documents scored toxic; simhash keeps one document of each group of near copies;
+substring takes repeated 35-word windows out of the texts; decontaminate drops documents with a
+benchmark window; encode returns token ids. All but the last keep every column of documents.
 """
 
 from __future__ import annotations
@@ -12,36 +12,48 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ensolith.llm import bpe, decontamination, near_copies, substring_dedup, toxicity
+from ensolith.llm import bpe, decontamination, simhash, substring_dedup, toxicity
 from ensolith.llm.blocks import use_checkpoints
 from ensolith.llm.queries import tokenizer_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with columns of other names than any operator adds."""
+    return docs.withColumnsRenamed({c: f"_c{k}" for k, c in enumerate(docs.columns) if c != "text"})
+
+
+def _back(docs: DataFrame, found: DataFrame) -> DataFrame:
+    return found.select(*(F.col("text" if c == "text" else f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.5, among them null and empty texts; repeated rows stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_texts(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
+    return _back(docs, toxicity.score_texts(_apart(docs), model).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_copies.near_copies(docs, shingle=5, threshold=0.8)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies: five-word shingles, fingerprints that agree in 0.8 of their bits, Jaccard of 0.8 or more.
+
+    The row of the smallest doc_id stays. Rows are told apart by id and text, so rows that
+    share an id lose nothing; null and empty texts are one group.
+    """
+    return simhash.drop_near_duplicates(docs, shingle=5, distance=12, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.rewrite(docs.select(*COLUMNS))
-    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+    """All rows, their texts without words of 35-word windows that start anywhere else; n_chars is that of the new text, null texts stay null."""
+    kept = substring_dedup.rewrite(docs)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.find_contamination(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("n_hit = 0").select(*COLUMNS)
+    """Documents without any word in a window of a benchmark item; null and empty texts stay."""
+    return _back(docs, decontamination.find_contamination(_apart(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, decoded_sha256)."""
+    """(doc_id, n_tokens, token_ids, decoded_sha256), a row for each row; null texts count as empty."""
     got = bpe.encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), tokenizer_path())
     return got.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
