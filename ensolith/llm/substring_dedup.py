@@ -3,14 +3,13 @@
 Every window of ``width`` words contains a whole block of ``width // 2`` words of its own
 document's non-overlapping blocks. So the blocks alone are indexed, every rolling window of
 that size probes the index, and a hit is extended on both sides to the full windows around
-it; those are compared by 64-bit hashes within hash buckets that a further hash picks. All
-comparing is by group, so a passage that thousands share costs what its occurrences cost.
+it. These are compared by 64-bit hashes, and those that repeat are joined to maximal repeats.
+A block of documents sends each hash once, so a passage that thousands share, or a word that a
+text repeats, costs a hash bucket as many entries as there are blocks at most.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,25 +32,49 @@ def _anchors(hashes: np.ndarray, first: np.ndarray, size: int):
     return at, X.span_hashes(X.prefix_sums(hashes), at, at + size), (at - doc_first[at]) % size == 0
 
 
-def _split(h: np.ndarray, buckets: int):
-    return X.fan_out((h >> np.uint64(32)) % np.uint64(buckets), buckets)
+class Folded:
+    """The distinct hashes of a block, in order of bucket, and where each item's stands among them.
 
+    A block sends a hash once however often it has it, so a bucket gets as many of one hash as
+    there are blocks at most.
+    """
 
-def _rows(order, bounds, grp, *columns):
-    for b in np.flatnonzero(np.diff(bounds)):
-        at = order[bounds[b] : bounds[b + 1]]
-        yield (int(b), grp, *(f(at) for f in columns), None, len(at))
+    def __init__(self, h: np.ndarray, buckets: int, dtype, by: np.ndarray | None = None):
+        kinds, index, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        fp = kinds.astype(dtype)
+        rising = np.argsort(fp, kind="stable")
+        deal = (kinds >> np.uint64(32) if by is None else by[index]) % np.uint64(buckets)
+        order, self.bounds = X.fan_out(deal[rising], buckets)
+        order = rising[order]
+        self.fp, self.count = fp[order], count[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.of = place[inverse]
+
+    def rows(self, grp: int, flags: np.ndarray | None = None):
+        """A message for each bucket: rising hashes, which stand here more than once, flags."""
+        for b in np.flatnonzero(np.diff(self.bounds)):
+            k = slice(self.bounds[b], self.bounds[b + 1])
+            yield (int(b), grp, X.pack(np.diff(self.fp[k], prepend=self.fp.dtype.type(0))), X.pack_mask(self.count[k] > 1), None if flags is None else X.pack_mask(flags[k]), int(self.bounds[b + 1] - self.bounds[b]))
+
+    def hits(self, answers: dict) -> np.ndarray:
+        """Mask over the items from the masks that the buckets gave."""
+        hit = np.zeros(len(self.fp), bool)
+        for b, r in answers.items():
+            hit[self.bounds[b] : self.bounds[b + 1]] = X.unpack_mask(r["a"], r["n"])
+        return hit[self.of]
 
 
 def _repeated(rows: list[dict], dtype, flagged: bool):
     """Messages with the mask of the fingerprints that stand at two places or more (one of them flagged, if asked)."""
-    fp = np.concatenate([X.unpack(r["a"], dtype) for r in rows])
+    fp = np.concatenate([np.cumsum(X.unpack(r["a"], dtype), dtype=dtype) for r in rows])
+    more = np.concatenate([X.unpack_mask(r["b"], r["n"]) for r in rows])
     order = np.argsort(fp, kind="stable")
     edges = X.group_edges(fp[order])
     sizes = np.diff(np.append(edges, len(fp)))
-    good = sizes > 1
+    good = (sizes > 1) | (np.logical_or.reduceat(more[order], edges) if len(edges) else sizes > 1)
     if flagged:
-        flags = np.concatenate([X.unpack_mask(r["b"], r["n"]) for r in rows])
+        flags = np.concatenate([X.unpack_mask(r["c"], r["n"]) for r in rows])
         good &= np.logical_or.reduceat(flags[order], edges) if len(edges) else good
     hit = np.zeros(len(fp), bool)
     hit[order] = np.repeat(good, sizes)
@@ -63,6 +86,14 @@ def _repeated(rows: list[dict], dtype, flagged: bool):
             yield (r["bucket"], r["grp"], X.pack_mask(own), None, b"2" if not flagged else b"1", r["n"])
 
 
+def maximal(starts: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of the maximal repeats that windows at the sorted starts make up, over n words."""
+    if not len(starts):
+        return starts, starts
+    edges = np.flatnonzero(np.diff(starts, prepend=-(n + width)) > width)
+    return starts[edges], starts[np.append(edges[1:], len(starts)) - 1] + width
+
+
 def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES, carry: list[str] | None = None):
     """(pieces, answers, marks): what ``remove_repeats`` and ``kept_texts`` settle from."""
     size = (width + 1) // 2
@@ -71,33 +102,31 @@ def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
 
     def probe(block):
         hashes, _, _, first = _words(block)
-        at, h, is_block = _anchors(hashes, first, size)
-        order, bounds = _split(h, n)
-        low = h.astype(np.uint32)
-        return list(_rows(order, bounds, block.group, lambda k: X.pack(low[k]), lambda k: X.pack_mask(is_block[k])))
+        _, h, is_block = _anchors(hashes, first, size)
+        folded = Folded(h, n, np.uint32)
+        flags = np.zeros(len(folded.fp), bool)
+        flags[folded.of[is_block]] = True
+        return list(folded.rows(block.group, flags))
 
     hits = B.cut(B.answer(B.ask(pieces, probe), lambda rows: list(_repeated(rows, np.uint32, True))))
 
     def candidates(hashes, first, answers):
-        """Starts of the full windows around the anchors hit, with their hashes and order by bucket."""
+        """Starts of the full windows around the anchors hit, and their distinct hashes (64 bits, and those that pick the bucket)."""
         at, h, _ = _anchors(hashes, first, size)
-        order, bounds = _split(h, n)
         hit = np.zeros(len(hashes), bool)
-        for b, r in answers.items():
-            hit[at[order[bounds[b] : bounds[b + 1]][X.unpack_mask(r["a"], r["n"])]]] = True
+        hit[at[Folded(h, n, np.uint32).hits(answers)]] = True
         ends = np.flatnonzero(hit)
         near = X.covered(np.maximum(ends - (width - size), 0), width - size + 1, len(hashes)) if len(ends) else hit
         start = np.flatnonzero(near & X.window_starts(first, width))
         strong = X.span_hashes(X.prefix_sums(hashes), start, start + width)
         other = X.span_hashes(X.prefix_sums(hashes, _SECOND), start, start + width, _SECOND)
-        return start, strong, *_split(other, n)
+        return start, Folded(strong, n, np.uint64, other)
 
     def verify(block, answers):
         if not answers:
             return []
         hashes, _, _, first = _words(block)
-        start, strong, order, bounds = candidates(hashes, first, answers)
-        return list(_rows(order, bounds, block.group, lambda k: X.pack(strong[k]), lambda k: None))
+        return list(candidates(hashes, first, answers)[1].rows(block.group))
 
     repeats = B.answer(B.ask_again(pieces, hits, verify), lambda rows: list(_repeated(rows, np.uint64, False)))
 
@@ -106,13 +135,12 @@ def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
         hashes, s, e, first = _words(block)
         one = {b: r for (tag, b), r in answers.items() if tag == b"1"}
         two = {b: r for (tag, b), r in answers.items() if tag == b"2"}
-        if not two:
-            return s, e, first, np.zeros(len(s), bool)
-        start, _, order, bounds = candidates(hashes, first, one)
-        again = np.zeros(len(start), bool)
-        for b, r in two.items():
-            again[order[bounds[b] : bounds[b + 1]][X.unpack_mask(r["a"], r["n"])]] = True
-        return s, e, first, X.covered(start[again], width, len(s))
+        removed = np.zeros(len(s), bool)
+        if two:
+            start, folded = candidates(hashes, first, one)
+            begins, ends = maximal(start[folded.hits(two)], width, len(s))
+            removed = X.covered_spans(begins, ends, len(s))
+        return s, e, first, removed
 
     return pieces, hits.unionByName(repeats), marks
 
@@ -176,22 +204,3 @@ def rewrite(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col:
 def digest(docs: DataFrame, width: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of remove_repeats."""
     return remove_repeats(docs, width).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list, width: int = 35) -> list[tuple]:
-    """The same by plain counting, for tests: [(n_words, n_removed, sha256)]."""
-    words = [[] if t is None else t.encode().split() for t in texts]
-    count: dict = {}
-    for w in words:
-        for i in range(len(w) - width + 1):
-            k = tuple(w[i : i + width])
-            count[k] = count.get(k, 0) + 1
-    out = []
-    for w in words:
-        gone = set()
-        for i in range(len(w) - width + 1):
-            if count[tuple(w[i : i + width])] > 1:
-                gone |= set(range(i, i + width))
-        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-    return out

@@ -144,6 +144,14 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
+def covered_spans(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Mask over n places that lie in any [begin, end)."""
+    d = np.zeros(n + 1, np.int32)
+    np.add.at(d, begins, 1)
+    np.add.at(d, ends, -1)
+    return np.cumsum(d[:n]) > 0
+
+
 def pack(a: np.ndarray) -> bytes:
     """An array as compressed byte planes."""
     a = np.ascontiguousarray(a)

@@ -1,5 +1,6 @@
 """Plain versions of the operators, by comparing everything with everything."""
 
+import hashlib
 import itertools
 
 import xxhash
@@ -42,3 +43,39 @@ def simhash(rows, shingle=3, distance=2, similarity=None):
 
     root = groups(prints, linked)
     return {i: (f"{p:016x}", root[i]) for i, p in prints.items()}
+
+
+def substring(texts, width=35):
+    """[(n_words, n_removed, sha256)] by plain counting."""
+    words = [[] if t is None else t.encode().split() for t in texts]
+    count = {}
+    for w in words:
+        for i in range(len(w) - width + 1):
+            k = tuple(w[i : i + width])
+            count[k] = count.get(k, 0) + 1
+    out = []
+    for w in words:
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if count[tuple(w[i : i + width])] > 1:
+                gone |= set(range(i, i + width))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def suffix(texts, length=100):
+    """[(n_bytes, n_removed, n_spans, sha256)] by a set of seen strings, texts in order of their ids."""
+    seen, out = set(), []
+    for t in texts:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            s = raw[i : i + length]
+            if s in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(s)
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        out.append((len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
