@@ -132,7 +132,7 @@ def test_decontamination_in_benchmark_blocks(docs, benchmark):
 def test_substring_dedup(docs, none):
     got = substring_dedup.digest(docs).collect()
     assert ids(got) == ALL_IDS
-    want = sorted(substring_dedup.brute_force([t for _, t in TEXTS]))
+    want = sorted(brute.substring([t for _, t in TEXTS]))
     assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == want
     assert substring_dedup.digest(none).count() == 0
     again = substring_dedup.rewrite(docs)
@@ -143,7 +143,7 @@ def test_substring_dedup(docs, none):
 def test_substring_dedup_of_dense_repeats(spark, width):
     texts = [" ".join(R.choice("ab c d e".split()) for _ in range(R.randint(0, 25))) for _ in range(40)]
     got = substring_dedup.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width).collect()
-    assert [tuple(r)[1:] for r in sorted(got)] == substring_dedup.brute_force(texts, width)
+    assert [tuple(r)[1:] for r in sorted(got)] == brute.substring(texts, width)
 
 
 def test_bpe(docs, none):
@@ -202,7 +202,7 @@ def test_suffix_dedup(docs, none):
     got = suffix_dedup.digest(docs).collect()
     assert ids(got) == ALL_IDS
     known = sorted((r for r in TEXTS if r[0] is not None), key=lambda r: r[0])
-    want = suffix_dedup.brute_force([t for _, t in known])
+    want = brute.suffix([t for _, t in known])
     mine = sorted(((r["doc_id"], r["n_removed"], r["n_bytes"], r["n_spans"], r["kept_sha256"]) for r in got if r["doc_id"] is not None))
     assert [(b, a, c, d) for _, a, b, c, d in mine] == want
     assert suffix_dedup.digest(none).count() == 0
@@ -212,7 +212,61 @@ def test_suffix_dedup(docs, none):
 def test_suffix_dedup_of_dense_repeats(spark, length):
     texts = ["".join(R.choice("abü") for _ in range(R.randint(0, 40))) for _ in range(40)]
     got = suffix_dedup.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length).collect()
-    assert [tuple(r)[1:] for r in sorted(got)] == suffix_dedup.brute_force(texts, length)
+    assert [tuple(r)[1:] for r in sorted(got)] == brute.suffix(texts, length)
+
+
+@pytest.mark.parametrize("hot_runs", [0, 2, 4096])
+def test_suffix_dedup_of_hot_strings_and_ties(spark, hot_runs):
+    phrase = "".join(R.choice("abcdefgh ") for _ in range(90))
+    texts = [f"{R.randint(0, 9)}{phrase}{R.choice('xyz')}{'q' * R.randint(0, 60)}" for _ in range(40)] + ["z" * 700, "z" * 650, "ab" * 300]
+    rows = list(enumerate(texts))
+    got = suffix_dedup.remove_later_copies(spark.createDataFrame(rows, "doc_id long, text string"), 40, hot_runs=hot_runs).collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in sorted(got, key=lambda r: r["doc_id"])] == brute.suffix(texts, 40)
+    tied = [(1, phrase + "one"), (1, phrase + "two"), (None, phrase + "three"), (None, phrase + "four")] * 2
+    outs = set()
+    for n in ("2", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = suffix_dedup.remove_later_copies(spark.createDataFrame(tied, "doc_id long, text string").repartition(int(n)), 40, hot_runs=hot_runs).collect()
+        outs.add(tuple(sorted((str(r["doc_id"]), r["kept"]) for r in got)))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(outs) == 1
+
+
+def test_suffix_dedup_of_a_text_cut_into_pieces(spark, monkeypatch):
+    from ensolith.llm import blocks
+
+    text = "".join(R.choice("abc") for _ in range(3000))
+    texts = [text + text[500:900], text[1000:1200] + "x" + text[1100:1300]]
+    bounds = [0, len(texts[0]) + 1, len(texts[0]) + len(texts[1]) + 2]
+    import numpy as np
+
+    block = blocks.Block(0, np.arange(2), np.ones(2, bool), np.ones(2, bool), np.array(bounds), np.frombuffer("\n".join([*texts, ""]).encode(), np.uint8))
+    whole = suffix_dedup.runs_of(block, 30, 10)
+    monkeypatch.setattr(suffix_dedup, "_PIECE", 64)
+    parts = suffix_dedup.runs_of(block, 30, 10)
+    starts = lambda runs: {(int(d), p, int(k)) for d, a, z, k, _ in zip(*runs) for p in range(a, z + 1)}
+    assert starts(whole) == starts(parts)
+
+
+def test_longest_previous_factors():
+    import numpy as np
+
+    for _ in range(50):
+        raw = [bytes(R.choice(b"ab\0") for _ in range(R.randint(1, 30))) for _ in range(R.randint(1, 6))]
+        buf = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(x) for x in raw])
+        place = np.arange(len(buf))
+        size = ends[np.searchsorted(ends, place, "right")] - place
+        got = suffix_dedup.previous_factors(buf, place, size, place)
+        body = bytes(buf)
+        for i in place:
+            best = 0
+            for j in range(i):
+                k = 0
+                while k < min(size[i], size[j]) and body[i + k] == body[j + k]:
+                    k += 1
+                best = max(best, k)
+            assert got[i] == best
 
 
 def test_simhash(docs, none):

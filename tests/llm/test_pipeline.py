@@ -2,7 +2,7 @@
 
 import brute
 import corpus_pipeline as P
-from ensolith.llm import bpe, decontamination, queries, substring_dedup, toxicity
+from ensolith.llm import bpe, decontamination, queries, toxicity
 
 
 def pairs(df):
@@ -23,7 +23,7 @@ def test_stages_and_run(spark, sf_dir, tmp_path):
     groups = brute.simhash(pairs(kept[1]), 5, 12, 0.8)
     assert pairs(kept[2]) == [r for r in pairs(kept[1]) if groups[r[0]][1] == r[0]]
     before, after = pairs(kept[2]), pairs(kept[3])
-    cut = substring_dedup.brute_force([t for _, t in before])
+    cut = brute.substring([t for _, t in before])
     assert [i for i, _ in before] == [i for i, _ in after]
     assert [(n - gone) for n, gone, _ in cut] == [len((t or "").encode().split()) for _, t in after]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]

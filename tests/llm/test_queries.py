@@ -52,7 +52,7 @@ def test_decontamination_matches_brute_force(spark, sf_dir, documents):
 
 
 def test_substring_dedup_matches_brute_force(spark, sf_dir, documents):
-    want = dict(zip([i for i, _ in documents], substring_dedup.brute_force([t for _, t in documents])))
+    want = dict(zip([i for i, _ in documents], brute.substring([t for _, t in documents])))
     got = by_id(queries.op6_substring_dedup(spark, sf_dir))
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == want
 
@@ -78,7 +78,7 @@ def test_embedding_dedup_matches_brute_force(spark, sf_dir):
 
 
 def test_suffix_dedup_matches_brute_force(spark, sf_dir, documents):
-    want = dict(zip([i for i, _ in documents], suffix_dedup.brute_force([t for _, t in documents])))
+    want = dict(zip([i for i, _ in documents], brute.suffix([t for _, t in documents])))
     got = by_id(queries.op9_suffix_dedup(spark, sf_dir))
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
 
