@@ -10,6 +10,7 @@ def clean_text(c: Column) -> Column:
     """Markup out (HTML comments, image links down to their alternative text), blank lines collapsed, trimmed."""
     c = F.regexp_replace(c, r"<!--[\s\S]*?-->", "")
     c = F.regexp_replace(c, r"!\[([^\]]*)\]\([^)]*\)", "$1")
+    c = F.regexp_replace(c, r"(?m)^\.\. (image|figure)::.*$", "")
     return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
@@ -33,12 +34,25 @@ def strip_group_suffix(c: Column) -> Column:
 
 
 def threshold_verdict(value: Column, limit: Column, kind: str = "above", upper: Column | None = None) -> Column:
-    """CONFIRMED, PARTIAL or REJECTED by how far a value is beyond a limit."""
+    """CONFIRMED, PARTIAL or REJECTED by how far a value is beyond a limit, above or below it, or between two.
+
+    Beyond half the limit again it is confirmed, beyond the limit or a fifth short of it partial.
+    """
+    if kind == "between":
+        if upper is None:
+            raise ValueError("between needs an upper limit")
+        return F.when(value.between(limit, upper), "CONFIRMED").when(value.between(limit * 0.8, upper * 1.2), "PARTIAL").otherwise("REJECTED")
     if kind == "above":
-        return F.when(value > limit, "CONFIRMED").when(value > limit * 0.8, "PARTIAL").otherwise("REJECTED")
-    if kind == "below":
-        return F.when(value < limit, "CONFIRMED").when(value < limit * 1.2, "PARTIAL").otherwise("REJECTED")
-    return F.when(value.between(limit, upper), "CONFIRMED").when(value.between(limit * 0.5, upper * 1.5), "PARTIAL").otherwise("REJECTED")
+        strong, weak = value > limit * 1.5, value > limit * 0.8
+    elif kind == "below":
+        strong, weak = value < limit * 0.5, value < limit * 1.2
+    else:
+        raise ValueError(f"no such kind of threshold: {kind}")
+    return F.when(strong, "CONFIRMED").when(weak, "PARTIAL").otherwise("REJECTED")
+
+
+def meets_threshold(value: Column, limit: Column, kind: str = "above", upper: Column | None = None) -> Column:
+    return {"above": value > limit, "below": value < limit, "between": value.between(limit, upper) if upper is not None else None}[kind]
 
 
 def outcome(met: Column, total: Column) -> Column:

@@ -35,8 +35,85 @@ def collapse(df: DataFrame, keys: list[str], order: list[str], value: str, back:
     return df.withColumn("loss_pct", F.when(peak > 0, 100 * (peak - F.col(value)) / peak).otherwise(0.0))
 
 
+def collapse_events(df: DataFrame, keys: list[str], order: list[str], at: str, value: str, back: int, limit: float) -> DataFrame:
+    """Runs of a loss above ``limit`` percent: start, end, n, largest loss, and whether they reach the last record."""
+    runs = islands(collapse(df, keys, order, value, back), keys, order, F.col("loss_pct") > limit)
+    return runs.groupBy(*keys, "island").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"), F.max("loss_pct").alias("loss_pct"), F.bool_or("_last").alias("ongoing")).drop("island")
+
+
+def exceedances(df: DataFrame, keys: list[str], order: list[str], at: str, value: str, spreads: float = 2.0) -> DataFrame:
+    """Runs above the mean plus ``spreads`` population standard deviations: start, end, n, peak, mean and peak over the deviation."""
+    limits = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    runs = islands(df.join(limits, keys), keys, order, F.col(value) > F.col("_m") + spreads * F.col("_s"))
+    severity = F.coalesce(F.try_divide(F.max(value), F.nullif(F.max("_s"), F.lit(0.0))), F.lit(0.0))
+    return runs.groupBy(*keys, "island").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"), F.max(value).alias("peak"), F.avg(value).alias("mean"), severity.alias("severity")).drop("island")
+
+
+def crossover(df: DataFrame, keys: list[str], order: list[str], at: Column, a: Column, b: Column) -> DataFrame:
+    """The first place at which the running sum of a exceeds that of b; null if it never does."""
+    r = running(running(df, keys, order, a, "_a"), keys, order, b, "_b")
+    return r.groupBy(*keys).agg(F.min(F.when(F.col("_a") > F.col("_b"), at)).alias("crossover"))
+
+
+def first_hit(df: DataFrame, keys: list[str], index: str, best: str, bar: Column) -> DataFrame:
+    """The smallest index at which a curve is at the bar or below; null if it never is."""
+    return df.groupBy(*keys).agg(F.min(F.when(F.col(best) <= bar, F.col(index))).alias("hit"))
+
+
+def carbon_balance(df: DataFrame, keys: list[str], doy: str, gain: str, loss: str, reference: int, late: int = 30, deficit: float = 10.0) -> DataFrame:
+    """Balance on the day nearest to a reference day, day of crossover, and whether growth is held up.
+
+    Held up: loss exceeds gain by more than ``deficit`` on that day, or running gain overtakes
+    running loss only more than ``late`` days after it, or never.
+    """
+    w = Window.partitionBy(*keys).orderBy(doy).rowsBetween(Window.unboundedPreceding, 0)
+    r = df.withColumns({"_g": F.sum(gain).over(w), "_l": F.sum(loss).over(w)})
+    near = F.struct(F.abs(F.col(doy) - reference), F.col(doy))
+    out = r.groupBy(*keys).agg(F.min_by(F.col(gain) - F.col(loss), near).alias("balance"), F.min(F.when(F.col("_g") > F.col("_l"), F.col(doy))).alias("crossover"))
+    held = (F.col("balance") < -deficit) | F.col("crossover").isNull() | (F.col("crossover") > reference + late)
+    return out.withColumn("bottleneck", held)
+
+
+def within_days(df: DataFrame, keys: list[str], doy: str, first: int, last: int, values: list[str]) -> DataFrame:
+    """Means of the values over a slice of days of the year, and the rows in it."""
+    return df.where(F.col(doy).between(first, last)).groupBy(*keys).agg(*(F.avg(v).alias(f"mean_{v}") for v in values), F.count("*").alias("n"))
+
+
+def causes_within(df: DataFrame, intervals: DataFrame, keys: list[str], at: str, cause: str, value: str) -> DataFrame:
+    """Statistics by cause of the rows inside each entity's intervals (start, end); a row in several counts in each."""
+    j = df.join(intervals.select(*keys, "start", "end"), keys).where(F.col(at).between(F.col("start"), F.col("end")))
+    return j.groupBy(*keys, "start", cause).agg(F.avg(value).alias("mean"), F.max(value).alias("high"), F.count("*").alias("n"))
+
+
+def cause_shares(df: DataFrame, keys: list[str], cause: str, value: str) -> DataFrame:
+    """Mean, largest, spread, total, share and rank of each cause, the dominant one marked; ties by cause."""
+    g = df.groupBy(*keys, cause).agg(F.avg(value).alias("mean"), F.max(value).alias("high"), F.stddev_pop(value).alias("sd"), F.sum(value).alias("total"))
+    w = Window.partitionBy(*keys)  # a few causes each
+    rank = F.row_number().over(w.orderBy(F.desc_nulls_last("total"), cause))
+    return g.withColumn("share", F.try_divide(F.col("total"), F.sum("total").over(w))).withColumn("rank", rank).withColumn("dominant", F.col("rank") == 1)
+
+
+def warnings(df: DataFrame, signs: list[Column], critical: int = 3, least: int = 2) -> DataFrame:
+    """df with the number of signs that hold and a level: critical, warning or none."""
+    n = sum((F.when(s, 1).otherwise(0) for s in signs), F.lit(0))
+    return df.withColumn("n_signs", n).withColumn("level", F.when(n >= critical, "critical").when(n >= least, "warning").otherwise("none"))
+
+
+def depletion(df: DataFrame, keys: list[str], order: list[str], value: str, ends: int = 12) -> DataFrame:
+    """Means of the first and the last ``ends`` records and the change in percent."""
+    w = Window.partitionBy(*keys)
+    n = df.withColumn("_a", F.row_number().over(w.orderBy(*order))).withColumn("_z", F.row_number().over(w.orderBy(*(F.col(o).desc() for o in order))))
+    g = n.groupBy(*keys).agg(F.avg(F.when(F.col("_a") <= ends, F.col(value))).alias("first"), F.avg(F.when(F.col("_z") <= ends, F.col(value))).alias("last"))
+    return g.withColumn("change_pct", F.try_divide(100 * (F.col("last") - F.col("first")), F.col("first")))
+
+
+def supply_band(ratio: Column) -> Column:
+    """severe below 0.5 of the demand, moderate below 0.8, mild below 0.95, else met."""
+    return F.when(ratio < 0.5, "severe").when(ratio < 0.8, "moderate").when(ratio < 0.95, "mild").when(ratio.isNotNull(), "met")
+
+
 def interpolate_at(simulated: DataFrame, observed: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """Simulated series interpolated linearly at the observed times; outside it, its end value."""
+    """Simulated series interpolated linearly at the observed times; null outside its own span."""
     both = observed.select(*keys, F.col(time).alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_ask"))
     both = both.unionByName(simulated.groupBy(*keys, F.col(time).alias("_t")).agg(F.avg(value).alias("_v")).withColumn("_ask", F.lit(0)))
     w = Window.partitionBy(*keys).orderBy("_t", "_ask")
@@ -46,4 +123,4 @@ def interpolate_at(simulated: DataFrame, observed: DataFrame, keys: list[str], t
     part = F.try_divide(F.col("_t") - F.col("_a._t"), F.col("_b._t") - F.col("_a._t"))
     exact = F.when(F.col("_a._t") == F.col("_t"), F.col("_a._v"))
     inner = F.col("_a._v") + (F.col("_b._v") - F.col("_a._v")) * part
-    return r.select(*keys, F.col("_t").alias(time), F.coalesce(exact, inner, F.col("_a._v"), F.col("_b._v")).alias(value))
+    return r.select(*keys, F.col("_t").alias(time), F.coalesce(exact, inner).alias(value))

@@ -33,6 +33,8 @@ def _history(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("case_id"), F.col("l_linestatus").alias("grp"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("rec"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("value"))
 
 
+#: Rows of complete years: the case's record does not end in them before their last day.
+_W = "w AS (SELECT h.* FROM h JOIN (SELECT case_id, max(ts) AS z FROM h GROUP BY 1) USING (case_id) WHERE year(ts) < year(z) OR strftime(z, '%m-%d') = '12-31')"
 _H = "SELECT l_suppkey AS case_id, l_linestatus AS grp, l_shipdate AS ts, l_orderkey AS rec, l_linenumber AS n, l_quantity AS value FROM lineitem"
 
 
@@ -62,30 +64,30 @@ def s16_chunk_bounds(spark, d):
     return spark.range(1, last + 1).groupBy(F.floor((F.col("id") - 1) / 500).alias("chunk")).agg(F.min("id").alias("first"), F.max("id").alias("last"))
 
 
-@query(f"WITH h AS ({_H}), s AS (SELECT case_id, year(ts) AS y, month(ts) AS m, sum(value) AS v FROM h GROUP BY ALL), a AS (SELECT case_id, y, max(v) AS v FROM s GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years FROM a GROUP BY 1")
+@query(f"WITH h AS ({_H}), {_W}, s AS (SELECT case_id, year(ts) AS y, month(ts) AS m, sum(value) AS v FROM w GROUP BY ALL), a AS (SELECT case_id, y, max(v) AS v FROM s GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years, 'OK' AS status FROM a GROUP BY 1")
 def a2_group_sum_peak(spark, d):
     """A2 sum_pft_peak: groups summed at each step, the year's peak, its mean."""
-    return _r(R.peak_of_group_sum(_history(spark, d), ["case_id"], F.month("ts")), "value").drop("status")
+    return _r(R.peak_of_group_sum(_history(spark, d), ["case_id"], F.month("ts")), "value")
 
 
-@query(f"WITH h AS ({_H}), a AS (SELECT case_id, year(ts) AS y, avg(abs(value)) AS v FROM h WHERE month(ts) BETWEEN 5 AND 9 GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years FROM a GROUP BY 1")
+@query(f"WITH h AS ({_H}), {_W}, a AS (SELECT case_id, year(ts) AS y, avg(abs(value)) AS v FROM w WHERE month(ts) BETWEEN 5 AND 9 GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years, 'OK' AS status FROM a GROUP BY 1")
 def a2_season_mean_abs(spark, d):
     """Mean of absolute values in season months, per year, then over years."""
-    return _r(R.season_mean_abs(_history(spark, d), ["case_id"]), "value").drop("status")
+    return _r(R.season_mean_abs(_history(spark, d), ["case_id"]), "value")
 
 
-@query(f"WITH h AS ({_H}), a AS (SELECT case_id, year(ts) AS y, sum(value) * 24 AS v FROM h GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years FROM a GROUP BY 1")
+@query(f"WITH h AS ({_H}), {_W}, a AS (SELECT case_id, year(ts) AS y, sum(value) * 24 AS v FROM w GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years, 'OK' AS status FROM a GROUP BY 1")
 def a2_annual_integral(spark, d):
-    return _r(R.annual_integral(_history(spark, d), ["case_id"]), "value").drop("status")
+    return _r(R.annual_integral(_history(spark, d), ["case_id"]), "value")
 
 
-@query(f"WITH h AS ({_H}), a AS (SELECT case_id, year(ts) AS y, arg_max(value, (ts, rec, n)) AS v FROM h GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years FROM a GROUP BY 1")
+@query(f"WITH h AS ({_H}), {_W}, a AS (SELECT case_id, year(ts) AS y, arg_max(value, (ts, rec, n)) AS v FROM w GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years, 'OK' AS status FROM a GROUP BY 1")
 def a2_year_end(spark, d):
     """A2 year_end: each year's last record."""
-    return _r(R.year_end(_history(spark, d), ["case_id"], ["ts", "rec", "n"]), "value").drop("status")
+    return _r(R.year_end(_history(spark, d), ["case_id"], ["ts", "rec", "n"]), "value")
 
 
-@query(f"WITH h AS ({_H}), a AS (SELECT case_id, year(ts) AS y, CASE WHEN month(ts) IN (12, 1, 2) THEN 'DJF' WHEN month(ts) < 6 THEN 'MAM' WHEN month(ts) < 9 THEN 'JJA' ELSE 'SON' END AS season, sum(value) AS v FROM h GROUP BY ALL) SELECT case_id, season, round(avg(v), 4) AS value FROM a GROUP BY ALL")
+@query(f"WITH h AS ({_H}), {_W}, a AS (SELECT case_id, year(ts) AS y, CASE WHEN month(ts) IN (12, 1, 2) THEN 'DJF' WHEN month(ts) < 6 THEN 'MAM' WHEN month(ts) < 9 THEN 'JJA' ELSE 'SON' END AS season, sum(value) AS v FROM w GROUP BY ALL) SELECT case_id, season, round(avg(v), 4) AS value FROM a GROUP BY ALL")
 def a2_season_sums(spark, d):
     """A2 season_sum: December belongs to the winter of its own year."""
     return _r(R.season_sums(_history(spark, d), ["case_id"]), "value")
@@ -97,25 +99,50 @@ def w8_decumulate(spark, d):
     return R.decumulate(_history(spark, d), ["case_id"], ["ts", "rec", "n"]).select("case_id", "rec", "n", "ts", "step")
 
 
-@query(f"WITH h AS ({_H}), c AS (SELECT case_id, year(ts) AS year, max(dayofyear(ts)) >= 360 AS complete, count(*) AS n FROM h GROUP BY ALL) SELECT case_id, count(*) FILTER (complete) AS n_complete, count(*) FILTER (NOT complete) AS n_partial FROM c GROUP BY 1")
+@query(f"WITH h AS ({_H}), c AS (SELECT DISTINCT case_id, year(ts) AS year FROM h), e AS (SELECT case_id, max(ts) AS z FROM h GROUP BY 1) SELECT case_id, count(*) FILTER (year < year(z) OR strftime(z, '%m-%d') = '12-31') AS n_complete, count(*) FILTER (year = year(z) AND strftime(z, '%m-%d') <> '12-31') AS n_partial FROM c JOIN e USING (case_id) GROUP BY 1")
 def a5_coverage_guard(spark, d):
     """A5: years that a case's record does not cover are named, not averaged."""
     y = R.complete_years(_history(spark, d), ["case_id"]).select("case_id", "year", "complete").distinct()
     return y.groupBy("case_id").agg(F.count_if("complete").alias("n_complete"), F.count_if(~F.col("complete")).alias("n_partial"))
 
 
-@query(f"WITH h AS ({_H}), a AS (SELECT case_id, year(ts) AS y, sum(value) AS v FROM h WHERE year(ts) BETWEEN 1996 AND 1999 GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years, CASE WHEN count(*) = 4 THEN 'OK' ELSE 'PARTIAL' END AS status FROM a GROUP BY 1")
+@query(f"WITH h AS ({_H}), {_W}, a AS (SELECT case_id, year(ts) AS y, avg(abs(value)) AS v FROM w WHERE month(ts) BETWEEN 5 AND 9 AND hour(ts) IN (0, 6, 12) GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years, 'OK' AS status FROM a GROUP BY 1")
+def a6_daytime_season_mean_abs(spark, d):
+    """A2 growing season by daytime, A6."""
+    return _r(R.daytime_season_mean_abs(_history(spark, d), ["case_id"], [0, 6, 12]), "value")
+
+
+@query("SELECT o_orderkey, CAST(year(t) AS INT) AS year, CAST(month(t) AS INT) AS month, CAST(hour(t) AS INT) AS hour FROM (SELECT o_orderkey, TIMESTAMP '2000-01-01' + to_hours(CAST(o_orderkey AS INT)) AS t FROM orders)")
+def w9_hourly_tags(spark, d):
+    """Year, month and hour of hourly record numbers."""
+    return R.hourly_tags(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 2000)
+
+
+@query("SELECT y AS year, CAST(dayofyear(make_date(y, 5, 1)) - 1 AS INT) AS first_day, CAST(dayofyear(make_date(y, 10, 1)) - 1 AS INT) AS end_day FROM (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS y FROM lineitem)")
+def w9_season_days(spark, d):
+    """The season's days of the year."""
+    return R.season_days(table(spark, d, "lineitem").select(F.year("l_shipdate").alias("year")).distinct(), "year")
+
+
+@query("WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders), y AS (SELECT CAST(y AS INT) AS year, CAST(date_diff('day', DATE '1992-01-01', make_date(y, 1, 1)) AS BIGINT) AS lo, CAST(date_diff('day', DATE '1992-01-01', make_date(y + 1, 1, 1)) AS BIGINT) AS hi FROM (SELECT unnest(range(1992, 1992 + (SELECT n FROM n) // 365 + 2)) AS y)) SELECT year, lo, hi FROM y, n WHERE hi <= n")
+def w9_year_blocks(spark, d):
+    """Whole calendar years of a daily record."""
+    return R.year_blocks(table(spark, d, "orders"), "o_orderkey", 1992)
+
+
+@query(f"WITH h AS ({_H}), {_W}, a AS (SELECT case_id, year(ts) AS y, sum(value) AS v FROM w WHERE year(ts) BETWEEN 1996 AND 1999 GROUP BY ALL) SELECT case_id, round(avg(v), 4) AS value, count(*) AS n_years, CASE WHEN count(*) = 4 THEN 'OK' ELSE 'PARTIAL' END AS status FROM a GROUP BY 1")
 def a55_annual_mean_sum(spark, d):
     """Mean over a window of years of the sum within each."""
-    h = _history(spark, d).where(F.year("ts").between(1996, 1999))
-    return _r(R.mean_over_years(R.by_year(h, ["case_id"], F.sum("value")), ["case_id"], 1996, 1999), "value")
+    years = R.by_year(_history(spark, d), ["case_id"], F.sum("value"), where=F.year("ts").between(1996, 1999))
+    return _r(R.mean_over_years(years, ["case_id"], 1996, 1999), "value")
 
 
-@query("SELECT l_suppkey AS case_id, arg_max(l_quantity, (l_orderkey, l_linenumber)) AS last, round(avg(l_quantity), 4) AS mean, max(l_quantity) AS high FROM lineitem WHERE l_orderkey BETWEEN 100 AND 4000 GROUP BY 1")
+@query("WITH n AS (SELECT l_suppkey AS case_id, l_quantity AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS r FROM lineitem) SELECT case_id, arg_max(v, r) AS last, round(avg(v), 4) AS mean, max(v) AS high, min(v) AS low, round(sum(v), 4) AS total FROM n WHERE r BETWEEN 100 AND 400 GROUP BY 1")
 def a1_window_reducers(spark, d):
-    """Last, mean and max over an inclusive index window."""
-    li = table(spark, d, "lineitem").where(F.col("l_orderkey").between(100, 4000))
-    return li.groupBy(F.col("l_suppkey").alias("case_id")).agg(F.max_by("l_quantity", F.struct("l_orderkey", "l_linenumber")).alias("last"), F.round(F.avg("l_quantity"), 4).alias("mean"), F.max("l_quantity").alias("high"))
+    """Last, mean, max, min and sum over an inclusive window of record numbers."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("case_id"), F.col("l_quantity").alias("value"), "l_orderkey", "l_linenumber")
+    h = R.numbered(li, ["case_id"], ["l_orderkey", "l_linenumber", "value"])
+    return _r(R.window_reductions(h, ["case_id"], "record", 100, 400, {"last": "last", "mean": "mean", "high": "max", "low": "min", "total": "sum"}), "mean", "total")
 
 
 @query("SELECT l_suppkey AS case_id, round(avg(CASE WHEN l_tax <> 0 THEN l_discount / (l_tax / 1000.0 * 1000) END) FILTER (l_linenumber BETWEEN 2 AND 5), 6) AS value, CASE WHEN max(l_linenumber) >= 2 AND max(l_linenumber) < 5 THEN 'PARTIAL' ELSE 'OK' END AS status FROM lineitem GROUP BY 1")
@@ -219,7 +246,7 @@ def p22_parameters_at_edge(spark, d):
     return j.select("p_partkey", F.round(100 * C.to_unit(F.col("p_size"), F.col("lo"), F.col("hi")), 4).alias("pct"), F.when(F.col("p_size") <= F.col("lo") + near, "low").otherwise("high").alias("edge"))
 
 
-@query("WITH c AS (SELECT l_suppkey AS case_id, avg(l_discount) * 100 AS v, count(*) FILTER (l_returnflag = 'R') AS met, count(*) AS total FROM lineitem GROUP BY 1) SELECT case_id, CASE WHEN v > 5 THEN 'CONFIRMED' WHEN v > 4 THEN 'PARTIAL' ELSE 'REJECTED' END AS verdict, CASE WHEN met >= total THEN 'SUCCESS' WHEN met >= 0.75 * total THEN 'PARTIAL_SUCCESS' WHEN met <= 0.25 * total THEN 'FAILED' ELSE 'MARGINAL' END AS outcome FROM c")
+@query("WITH c AS (SELECT l_suppkey AS case_id, avg(l_discount) * 100 AS v, count(*) FILTER (l_returnflag = 'R') AS met, count(*) AS total FROM lineitem GROUP BY 1) SELECT case_id, CASE WHEN v > 7.5 THEN 'CONFIRMED' WHEN v > 4 THEN 'PARTIAL' ELSE 'REJECTED' END AS verdict, CASE WHEN met >= total THEN 'SUCCESS' WHEN met >= 0.75 * total THEN 'PARTIAL_SUCCESS' WHEN met <= 0.25 * total THEN 'FAILED' ELSE 'MARGINAL' END AS outcome FROM c")
 def p24_verdicts(spark, d):
     """Threshold verdicts and outcome classes."""
     c = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("case_id")).agg((F.avg("l_discount") * 100).alias("v"), F.count_if(F.col("l_returnflag") == "R").alias("met"), F.count("*").alias("total"))
