@@ -90,9 +90,17 @@ def test_license_scan(docs, none):
 
 
 def test_license_templates_by_containment(spark):
-    d = spark.createDataFrame([(1, "x\nReleased under the MIT licence terms"), (2, "mit under released the"), (3, "released the")], "doc_id long, text string")
+    texts = [
+        "x\nReleased under the MIT-license terms", "license mit the under released", "released under the gpl license", "Licensed under the gnu license version 2.0",
+        "released under " + "z " * 10 + "the mit license", " ".join(w for i, w in enumerate(license_scan.TEXTS[0][1].split()) if i not in (3, 7)),
+        "the the the a a of of to in " * 3000 + "permission hereby granted", *(t for _, t in license_scan.TEXTS),
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(d).collect()}
-    assert got == {1: ("mit-notice", 0.8), 2: ("mit-notice", 0.8), 3: ("", 0.0)}
+    assert [got[k] for k in range(5)] == [("mit,mit-notice", 1.0), ("mit-notice", 1.0), ("", 0.0), ("", 0.0), ("mit", 1.0)]
+    assert got[5][0] == "mit-grant" and 0.8 <= got[5][1] < 1 and got[6] == ("", 0.0)
+    for k, (label, _) in enumerate(license_scan.TEXTS):
+        assert label in got[7 + k][0].split(",") and got[7 + k][1] == 1.0
 
 
 def test_preference_format(spark):
