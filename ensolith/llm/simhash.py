@@ -11,9 +11,9 @@ pairs at once.
 Links are of two kinds. By fingerprints alone (``similarity`` None): groups give spanning
 stars of their links. By fingerprints and texts: fingerprints that agree in ``1 - distance/64``
 of their bits are candidates, and the Jaccard similarity of the texts' shingles decides. Then
-texts of one group are first held against their neighbours in Gray order, which joins great
-groups of near copies at a cost linear in them; after that all pairs within the distance are
-enumerated, but for those of one component, whose nodes are pruned as a whole.
+texts of one group are first held against their neighbours in Gray order, in some rounds, which
+joins great groups of near copies at a cost linear in them; after that all pairs within the
+distance are enumerated, but for those of one component, whose nodes are pruned as a whole.
 """
 
 from __future__ import annotations
@@ -35,8 +35,12 @@ FAN = 8
 SPLIT_GROUPS_OVER = 4096
 #: Changes the plan of ``candidates``, not its result: rows of a group that one task takes at once.
 GROUP_ROWS = 1 << 17
+#: Changes the plan, not the result: rounds in which texts are held against neighbours alone.
+TURNS = 2
 BITMAP_BITS = 1 << 26
 _ALL = (1 << 64) - 1
+#: A class of equal texts: its number, fingerprint, distinct shingles, sketch and component.
+_NODE = ["node", "fp", "n", "odd", "odd2", "component"]
 
 
 def _signed(x: int) -> int:
@@ -60,6 +64,23 @@ def fingerprint_of(h: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def odd_sketch(h: np.ndarray) -> tuple[int, int]:
+    """128 parities of the distinct shingle hashes by seven of their bits.
+
+    Two texts' sketches differ in no more bits than their sets of shingles differ in members.
+    """
+    odd = np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    a, b = np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+    return int(a), int(b)
+
+
+def may_be_similar(size: tuple, odd: tuple, odd2: tuple, similarity: float) -> np.ndarray:
+    """Mask of the pairs that sizes and sketches of both sides allow to have that Jaccard similarity."""
+    n, m = size
+    apart = np.bitwise_count(odd[0] ^ odd[1]).astype(np.int64) + np.bitwise_count(odd2[0] ^ odd2[1])
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9)
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Unsigned SimHash of one text."""
     return fingerprint_of(shingles(text, shingle))
@@ -265,58 +286,80 @@ def _stars(fp: np.ndarray, key: np.ndarray, distance: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(index.fp[k].view(np.int64)), pa.array(index.fp[labels[k]].view(np.int64))], names=["a", "b"])
 
 
-def _choices(distance: int, agree: int) -> list[int]:
-    """Masks of ``agree`` of ``distance + agree`` fields: within the distance, some choice has equal bits."""
-    return [sum(c) for c in itertools.combinations(_fields(list(range(64)), distance + agree), agree)]
-
+def _dealt(nodes: DataFrame, masks: list[int], *more: str) -> DataFrame:
+    """nodes once for each mask, with its number k and a key of it and its bits."""
+    bits = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))
+    return nodes.select(*_NODE, *more, F.posexplode(bits).alias("k", "bits")).select(*_NODE, *more, "k", F.xxhash64("k", "bits").alias("key"))
 
-def _dealt(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """nodes (node, fp, n, component) once for each mask, by a key of its bits."""
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)))
-    return nodes.select("node", "fp", "n", "component", F.explode(keys).alias("key"))
 
+def neighbours(nodes: DataFrame, distance: int, similarity: float, turn: int = 0) -> DataFrame:
+    """(a, b) of each node and two of each of its groups, where these are near and in another component.
 
-def neighbours(nodes: DataFrame, distance: int, ratio: float) -> DataFrame:
-    """(a, b) of each node and the nearest of those before it in the Gray order of its groups, by disjoint pairs of fields."""
-    fields = _fields(list(range(64)), distance + 2)
+    These are the one before it and the first of the group, in the order of falling degree
+    (column degree: links known by now) and Gray rank. Groups are of disjoint pairs of fields;
+    another turn deals the bits otherwise. They are read row by row, so they may be of any size.
+    """
+    bits = [(x * (1, 5, 11, 23)[turn % 4] + 7 * turn) % 64 for x in range(64)]
+    fields = _fields(bits, distance + 2)
     masks = [a | b for a, b in zip(fields[::2], fields[1::2])]
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rank = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
-    dealt = _dealt(nodes, masks).select("node", "fp", "n", "key").repartition(n, "key").sortWithinPartitions("key", rank)
+    dealt = _dealt(nodes, masks, "degree").repartition(n, "key").sortWithinPartitions("key", F.desc("degree"), rank)
 
     def run(batches):
-        last = None
+        last = head = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy() for c in ("node", "fp", "n", "key")]
+            rows = np.stack([batch.column(c).to_numpy() for c in (*_NODE, "key")])
             if last is not None:
-                rows = [np.concatenate([[x], y]) for x, y in zip(last, rows)]
-            last = [x[-1] for x in rows]
-            node, fp, size, key = rows
-            apart = np.bitwise_count(fp[1:].view(np.uint64) ^ fp[:-1].view(np.uint64)).astype(np.int64)
-            ok = (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (apart <= distance) & (np.minimum(size[1:], size[:-1]) >= ratio * np.maximum(size[1:], size[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (node[1:], node[:-1], apart)], names=["a", "b", "apart"])
+                rows = np.concatenate([head, last, rows], axis=1)
+            key = rows[-1]
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            first = np.repeat(heads, np.diff(np.append(heads, len(key))))
+            last, head = rows[:, -1:], rows[:, first[-1:]]
+            i = np.concatenate([np.arange(1, len(key)), np.arange(len(key))])
+            j = np.concatenate([np.arange(len(key) - 1), first])
+            node, fp, size, odd, odd2, own, _ = rows
+            bits = [x.view(np.uint64) for x in (fp, odd, odd2)]
+            ok = (key[i] == key[j]) & (own[i] != own[j]) & (np.bitwise_count(bits[0][i] ^ bits[0][j]) <= distance)
+            i, j = i[ok], j[ok]
+            ok = may_be_similar((size[i], size[j]), (bits[1][i], bits[1][j]), (bits[2][i], bits[2][j]), similarity)
+            a, b = node[i[ok]], node[j[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    found = dealt.mapInArrow(run, "a long, b long, apart long")
-    return found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def candidates(nodes: DataFrame, distance: int, ratio: float, agree: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): every pair of nodes (node, fp, n, component) within the distance, of sizes n in that ratio at least and of different components.
+def candidates(nodes: DataFrame, distance: int, similarity: float, agree: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(a, b): every pair of nodes within the distance, of different components, whose sizes and sketches allow that Jaccard similarity.
 
-    Groups of more than group_rows rows are cut into blocks, and every two blocks meet.
+    Within the distance, ``agree`` of ``distance + agree`` fields at least are equal; a pair is
+    given by the group of the first of these only. Groups of more than group_rows rows are cut
+    into blocks, and every two blocks meet.
     """
-    masks = _choices(distance, agree)
+    fields = np.array(_fields(list(range(64)), distance + agree), np.uint64)
+    masks = [int(sum(int(fields[f]) for f in c)) for c in itertools.combinations(range(len(fields)), agree)]
+    wanted = np.array(masks, np.uint64)
 
     def pairs(part):
-        node, fp, size, component, key = (part.column(c).to_numpy().copy() for c in ("node", "fp", "n", "component", "key"))
+        node, fp, size, odd, odd2, component, k, key = (part.column(c).to_numpy().copy() for c in (*_NODE, "k", "key"))
         index = GrayIndex(key, fp.view(np.uint64), size, component)
-        node = node[index.order]
-        for i, j in index.links(distance, ratio):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.nulls(len(i), pa.int64())], names=["a", "b", "key"])
+        node, size, odd, odd2, k = (x[index.order] for x in (node, size, odd.view(np.uint64), odd2.view(np.uint64), k))
+        for i, j in index.links(distance, similarity):
+            ok = may_be_similar((size[i], size[j]), (odd[i], odd[j]), (odd2[i], odd2[j]), similarity)
+            i, j = i[ok], j[ok]
+            apart, seen, first = index.fp[i] ^ index.fp[j], np.zeros(len(i), np.int64), np.zeros(len(i), np.uint64)
+            for field in fields:
+                equal = (apart & field == 0) & (seen < agree)
+                first[equal] |= field
+                seen += equal
+            own = first == wanted[k[i]]
+            i, j = i[own], j[own]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.nulls(len(i), pa.int64())], names=["a", "b", "key"])
 
     dealt = _dealt(nodes, masks)
     found = cut(_by_group(dealt, pairs, "a long, b long, key long", group_rows))
@@ -325,10 +368,10 @@ def candidates(nodes: DataFrame, distance: int, ratio: float, agree: int = 2, gr
     if not large.isEmpty():
         count = dealt.join(large, "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") * 2 / group_rows).alias("blocks"))
         rows = dealt.join(cut(count), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        rows = rows.select("node", "fp", "n", "component", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("node", "fp", "n", "component", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-        whole = whole.unionByName(_by_group(rows, pairs, "a long, b long, key long").select("a", "b"))
-    return whole.distinct()
+        rows = rows.select(*_NODE, "k", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        rows = rows.select(*_NODE, "k", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+        whole = whole.unionByName(_by_group(rows, pairs, "a long, b long, key long").select("a", "b").distinct())
+    return whole
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -367,32 +410,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: i
 
 
 def _classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows (id, t, t2, fp, n), texts (t, t2, text), classes (node, t, t2, fp, n, id)): equal texts are one class."""
+    """(rows (id, t, t2, fp and more), texts (t, t2, text), classes (node, t, t2, fp, n, sketch, id)): equal texts are one class."""
     texts = docs.select("id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
 
     def marks(batches):
         for batch in batches:
             held = [shingles(t, shingle) for t in batch.column(3).to_pylist()]
-            fp = pa.array([_signed(fingerprint_of(h)) for h in held], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fp, pa.array([len(np.unique(h)) for h in held], pa.int64())], names=["id", "t", "t2", "fp", "n"])
+            fp = [_signed(fingerprint_of(h)) for h in held]
+            held = [np.unique(h) for h in held]
+            odd = [tuple(map(_signed, odd_sketch(h))) for h in held]
+            columns = [fp, [len(h) for h in held], [a for a, _ in odd], [b for _, b in odd]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], names=["id", "t", "t2", "fp", "n", "odd", "odd2"])
         X.give_back_memory()
 
-    rows = cut(texts.mapInArrow(marks, "id long, t long, t2 long, fp long, n long"))
-    own = rows.groupBy("t", "t2").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("id").alias("id"))
+    rows = cut(texts.mapInArrow(marks, "id long, t long, t2 long, fp long, n long, odd long, odd2 long"))
+    own = rows.groupBy("t", "t2").agg(*(F.min(c).alias(c) for c in ("fp", "n", "odd", "odd2", "id")))
     return rows, texts.select("t", "t2", "text"), cut(own.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _linked_classes(texts: DataFrame, classes: DataFrame, shingle: int, distance: int, similarity: float) -> DataFrame:
     """(node, component) of the classes that link to others."""
-    nodes = classes.select("node", "fp", "n")
-    first = _verified(neighbours(nodes.withColumn("component", F.col("node")), distance, similarity), texts, classes, shingle, similarity)
-    reach = cut(components(first))
-    nodes = cut(nodes.join(reach, "node", "left").select("node", "fp", "n", F.coalesce("component", "node").alias("component")))
+    nodes, links = classes.select(*_NODE[:-1]), None
+    placed = nodes.select("*", F.col("node").alias("component"), F.lit(0).cast("long").alias("degree"))
+    for turn in range(TURNS):
+        found = _verified(neighbours(placed, distance, similarity, turn), texts, classes, shingle, similarity)
+        links = found if links is None else links.unionByName(found)
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        reach = components(links).join(degree, "node")
+        placed = cut(nodes.join(reach, "node", "left").select(*_NODE[:-1], F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
     # as many agreeing fields as keep the mean group small; this changes the cost alone
     count = nodes.count()
     agree = next((k for k in (2, 3) if count / 2 ** (64 * k / (distance + k)) <= 4096), 4)
-    more = _verified(candidates(nodes, distance, similarity, agree), texts, classes, shingle, similarity)
-    return components(first.unionByName(more))
+    more = _verified(candidates(placed, distance, similarity, agree), texts, classes, shingle, similarity)
+    return components(links.unionByName(more))
 
 
 def _text(text_col: str) -> Column:

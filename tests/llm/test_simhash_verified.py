@@ -43,7 +43,7 @@ def test_candidates_are_all_pairs_within_the_distance(spark, group_rows, agree):
     base = [R.getrandbits(64) for _ in range(3)]
     prints = [b ^ sum(1 << R.randrange(64) for _ in range(R.randint(0, 8))) & (2**64 - 1) for b in base for _ in range(60)]
     rows = [(k, simhash._signed(p), R.randint(5, 12), k if R.random() < 0.5 else 1000 + k % 3) for k, p in enumerate(prints)]
-    nodes = spark.createDataFrame(rows, "node long, fp long, n long, component long")
+    nodes = spark.createDataFrame([(*r[:3], 0, 0, r[3]) for r in rows], "node long, fp long, n long, odd long, odd2 long, component long")
     got = {tuple(r) for r in simhash.candidates(nodes, 8, 0.8, agree, group_rows).collect()}
     want = {(i, j) for i, _, n, c in rows for j, _, m, d in rows if i < j and c != d and min(n, m) >= 0.8 * max(n, m) and (prints[i] ^ prints[j]).bit_count() <= 8}
     assert got == want
