@@ -1,16 +1,22 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a bigram model over words, learnt from every training document. Each word is a
-state; a state has an arc for every word seen after it, weighted log10 p(word | state), and one
-failure arc to the root state, weighted log10 mu / (c(state) + mu); the root has an arc for
-every word, weighted log10 p(word). Smoothing:
-
-    p(w)     = (c(w) - D) / N, and D * V / N for the class of unknown words
-    p(w | h) = (c(h w) + mu * p(w)) / (c(h) + mu)      (Dirichlet prior from the root)
-
-D is the absolute discount n1 / (n1 + 2 n2) of the counts of counts. Counts live in hash
-buckets and grow with the corpus; a block of documents gets the counts of its own words and
-word pairs, which is the part of the automaton that its texts can reach, and traverses it.
+The model is a trigram model over words, learnt from every training document. The last two
+words, the last one and none are states; a state has an arc for every word seen after it and
+one failure arc to the state of one word less. Smoothing (a Dirichlet prior from the state
+below; mu and mu3 are parameters):
+
+    p(w)       = (c(w) - D) / N, and D * V / N for the class of unknown words
+    p(w | v)   = (c(v w) + mu * p(w)) / (c(v) + mu)
+    p(w | u v) = (c(u v w) + mu3 * p(w | v)) / (c(u v) + mu3)
+
+An arc of a word seen weighs log10 of its p, the failure arc of a state of count c log10
+mu / (c + mu). D is the absolute discount n1 / (n1 + 2 n2) of the counts of counts. Counts
+live in hash buckets and grow with the corpus; a block of documents gets the counts of its own
+words, pairs and triples, which is the part of the automaton that its texts can reach. The
+state before a word is what its last two words make of it, so a block's texts are traversed
+left to right at once: each token takes the arc of its longest state that has one, behind the
+failure arcs of the longer ones. A triple is asked for only if its first two words stand in
+several blocks; else the block has all its counts itself.
 """
 
 from __future__ import annotations
@@ -28,7 +34,6 @@ from ensolith.llm import textops as X
 
 END = np.uint64(0x5851F42D4C957F2D)
 BEGIN = np.uint64(0x14057B7EF767814F)
-_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def remainder(doc_id, parts: int = 5) -> int:
@@ -55,12 +60,23 @@ def _pairs(kinds, number, bounds):
     return h, left, pair
 
 
-def _layout(h: np.ndarray, n: int, low: np.uint64 | None):
-    """(order by bucket and fingerprint, bounds, fingerprints)."""
-    fp = h if low is None else h & low
-    by = np.argsort(fp, kind="stable")
+def _triples(kinds, number, bounds, h, pair):
+    """(hashes, pair of the first two words, pair of the last two, triple number of each token or -1): documents' first tokens have none."""
+    inner = np.ones(len(number), bool)
+    inner[bounds[:-1]] = False
+    at = np.flatnonzero(inner)
+    code, index, inverse = np.unique(pair[at - 1] * len(kinds) + number[at], return_index=True, return_inverse=True)
+    left = code // max(1, len(kinds))
+    of = np.full(len(number), -1, np.int64)
+    of[at] = inverse
+    return X.mix(h[left] * np.uint64(0x9FB21C651E98DF25) + X.mix(kinds[code % max(1, len(kinds))] + np.uint64(1))), left, pair[at][index], of
+
+
+def _layout(h: np.ndarray, n: int):
+    """(order by bucket and fingerprint, bounds)."""
+    by = np.argsort(h, kind="stable")
     order, bounds = X.fan_out(X.mix(h[by] ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(n), n)
-    return by[order], bounds, fp
+    return by[order], bounds
 
 
 def _send(grp, order, bounds, fp, counts):
@@ -72,14 +88,15 @@ def _send(grp, order, bounds, fp, counts):
 
 
 def _sum(rows: list[dict], tag: bytes, stats: bool) -> list[tuple]:
-    """Every fingerprint's training count in the corpus, for each block that asked."""
+    """Every fingerprint's training count in the corpus, doubled, and 1 more if several blocks have it; for each block that asked."""
     fp = np.concatenate([np.cumsum(X.unpack(r["a"], np.uint64), dtype=np.uint64) for r in rows])
     count = np.concatenate([X.unpack(r["b"], np.uint32) for r in rows]).astype(np.int64)
     order = np.argsort(fp, kind="stable")
     edges = X.group_edges(fp[order])
     total = np.add.reduceat(count[order], edges)
     all_ = np.empty(len(fp), np.int64)
-    all_[order] = np.repeat(total, np.diff(np.append(edges, len(fp))))
+    blocks = np.diff(np.append(edges, len(fp)))
+    all_[order] = np.repeat(2 * total + (blocks > 1), blocks)
     out, at = [], 0
     for r in rows:
         own = all_[at : at + r["n"]]
@@ -92,27 +109,25 @@ def _sum(rows: list[dict], tag: bytes, stats: bool) -> list[tuple]:
     return out
 
 
-def score_texts(docs: DataFrame, mu: float = 200.0, held_out_part: int | None = 1, parts: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 * B.BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, mu: float = 200.0, mu3: float = 50.0, held_out_part: int | None = 1, parts: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 * B.BLOCK_BYTES) -> DataFrame:
     """One row per document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Documents whose crc32(doc_id as text) modulo ``parts`` is ``held_out_part`` are scored but
-    not learnt from. Null text counts as empty: its one token is the end. A row without an id is
-    not held out. Repeated rows count as often as they stand. With no training tokens at all
-    every score is 0. Other columns are ignored; an empty table gives an empty result.
+    not learnt from. Words are told apart by 64-bit hashes, and so are pairs and triples. Null
+    text counts as empty: its one token is the end. A row without an id is not held out. Repeated
+    rows count as often as they stand. With no training tokens at all every score is 0. Other
+    columns are ignored; an empty table gives an empty result.
     """
     n = B.n_blocks(docs, text_col, block_bytes)
     pieces = B.deal(docs, n, id_col, text_col)
 
-    def training(block):
-        return np.array([remainder(i, parts) != held_out_part for i in block.id_list()], bool)
-
     def trained(block, bounds):
-        return np.repeat(training(block), np.diff(bounds))
+        return np.repeat([remainder(i, parts) != held_out_part for i in block.id_list()], np.diff(bounds)).astype(bool)
 
     def words(block):
         kinds, number, bounds = _tokens(block)
-        order, at, fp = _layout(kinds, n, None)
-        return _send(block.group, order, at, fp, np.bincount(number[trained(block, bounds)], minlength=len(kinds)))
+        order, at = _layout(kinds, n)
+        return _send(block.group, order, at, kinds, np.bincount(number[trained(block, bounds)], minlength=len(kinds)))
 
     counts = B.cut(B.answer(B.ask(pieces, words), lambda rows: _sum(rows, b"1", True)))
     stats = {bytes(r["c"]): r["s"] for r in counts.where("grp = -1").groupBy("c").agg(F.sum("n").alias("s")).collect()}
@@ -123,63 +138,59 @@ def score_texts(docs: DataFrame, mu: float = 200.0, held_out_part: int | None =
     def pairs(block):
         kinds, number, bounds = _tokens(block)
         h, _, pair = _pairs(kinds, number, bounds)
-        order, at, fp = _layout(h, n, _LOW48)
-        return _send(block.group, order, at, fp, np.bincount(pair[trained(block, bounds)], minlength=len(h)))
+        order, at = _layout(h, n)
+        return _send(block.group, order, at, h, np.bincount(pair[trained(block, bounds)], minlength=len(h)))
 
-    pair_counts = B.answer(B.ask(pieces, pairs), lambda rows: _sum(rows, b"2", False))
+    pair_counts = B.cut(B.answer(B.ask(pieces, pairs), lambda rows: _sum(rows, b"2", False)))
 
-    def placed(order, at, answers, tag, size):
-        out = np.zeros(size, np.int64)
-        for (t, b), r in answers.items():
-            if t == tag:
-                out[order[at[b] : at[b + 1]]] = X.unpack(r["a"], np.int64)
+    def placed(h, answers):
+        """The answers to all hashes."""
+        order, at = _layout(h, n)
+        out = np.zeros(len(h), np.int64)
+        for b, r in answers.items():
+            out[order[at[b] : at[b + 1]]] = X.unpack(r["a"], np.int64)
         return out
 
+    def triples(block, answers):
+        kinds, number, bounds = _tokens(block)
+        h, _, pair = _pairs(kinds, number, bounds)
+        h3, left, _, of = _triples(kinds, number, bounds, h, pair)
+        shared = (placed(h, answers)[left] & 1) > 0
+        order, at = _layout(h3[shared], n)
+        own = np.bincount(of[trained(block, bounds) & (of >= 0)], minlength=len(h3))
+        return _send(block.group, order, at, h3[shared], own[shared])
+
+    triple_counts = B.answer(B.ask_again(pieces, pair_counts, triples), lambda rows: _sum(rows, b"3", False))
+
     def traverse(block, answers):
+        one, two, three = ({b: r for (t, b), r in answers.items() if t == tag} for tag in (b"1", b"2", b"3"))
         kinds, number, bounds = _tokens(block)
-        order, at, _ = _layout(kinds, n, None)
-        c = placed(order, at, answers, b"1", len(kinds))
+        c = placed(kinds, one) >> 1
         h, left, pair = _pairs(kinds, number, bounds)
-        order, at, _ = _layout(h, n, _LOW48)
-        seen = placed(order, at, answers, b"2", len(h))
+        twice = placed(h, two)
+        c2 = twice >> 1
+        h3, left3, right3, of = _triples(kinds, number, bounds, h, pair)
+        c3 = np.bincount(of[trained(block, bounds) & (of >= 0)], minlength=len(h3))
+        shared = (twice[left3] & 1) > 0
+        c3[shared] = placed(h3[shared], three) >> 1
         base = np.log10((c + 0.5) / (total + 0.5 * (kinds_all + 1)))
-        root = np.where(c > 0, c - discount, discount * kinds_all) / total if total else np.ones(len(kinds))
+        root = np.log10(np.where(c > 0, c - discount, discount * kinds_all) / total) if total else np.zeros(len(kinds))
         end = np.flatnonzero(kinds == END)
         state = np.append(c, c[end[0]] if len(end) else 0)[left]  # as often as a text begins, one ends
         right = np.empty(len(h), np.int64)
         right[pair] = number
-        failure = np.log10(mu / (state + mu))
-        arc = np.where(seen > 0, np.log10((seen + mu * root[right]) / (state + mu)), failure + np.log10(root[right]))
+        weight = root[right]
+        weight = np.where(c2 > 0, np.log10((c2 + mu * 10**weight) / (state + mu)), np.log10(mu / (state + mu)) + weight)
+        arc = weight[pair]
+        longer = np.where(c3 > 0, np.log10((c3 + mu3 * 10 ** weight[right3]) / (c2[left3] + mu3)), np.log10(mu3 / (c2[left3] + mu3)) + weight[right3])
+        inner = of >= 0
+        arc[inner] = longer[of[inner]]
         sums = lambda v: np.add.reduceat(v, bounds[:-1]) if len(v) else np.zeros(0)
         return pa.table({
             id_col: pa.array(block.id_list(), pa.int64()), "held_out": [remainder(i, parts) == held_out_part for i in block.id_list()],
             "n_tokens": np.diff(bounds), "n_known": sums((c > 0)[number].astype(np.int64)), "train_tokens": np.full(len(block.ids), total, np.int64),
-            "base_score": sums(base[number]), "score": sums(arc[pair]),
+            "base_score": sums(base[number]), "score": sums(arc) if total else np.zeros(len(block.ids)),
         })
 
-    return B.settle(pieces, counts.where("grp >= 0").unionByName(pair_counts), traverse, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def brute_force(rows: list[tuple], mu: float = 200.0) -> dict:
-    """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score, score)} of (doc_id, text), for tests."""
-    uni: dict = {}
-    bi: dict = {}
-    texts = {i: [*(t or "").encode().translate(X.LOWER).split(), None] for i, t in rows}
-    for i, w in texts.items():
-        if remainder(i) != 1:
-            for a, b in zip(["<s>", *w], w):
-                uni[b] = uni.get(b, 0) + 1
-                bi[a, b] = bi.get((a, b), 0) + 1
-    n, v = sum(uni.values()), len(uni)
-    ones, twos = (sum(c == k for c in uni.values()) for k in (1, 2))
-    d = ones / (ones + 2 * twos) if ones and twos else 0.5
-    p = lambda w: ((uni[w] - d) if w in uni else d * v) / n if n else 1.0
-    out = {}
-    for i, w in texts.items():
-        base = sum(math.log10((uni.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        score = 0.0
-        for a, b in zip(["<s>", *w], w):
-            c = uni.get(None if a == "<s>" else a, 0)
-            score += math.log10((bi.get((a, b), 0) + mu * p(b)) / (c + mu))
-        out[i] = (remainder(i) == 1, len(w), sum(x in uni for x in w), n, base, score)
-    return out
+    answers = counts.where("grp >= 0").unionByName(pair_counts).unionByName(triple_counts)
+    return B.settle(pieces, answers, traverse, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

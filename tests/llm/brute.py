@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import math
+import zlib
 
 import xxhash
 
@@ -79,3 +81,27 @@ def suffix(texts, length=100):
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         out.append((len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def language_model(rows, mu=200.0, mu3=50.0):
+    """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score, score)} of (doc_id, text)."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    uni, bi, tri = {}, {}, {}
+    texts = {i: ["<s>", *(t or "").encode().translate(LOWER).split(), None] for i, t in rows}
+    for i, w in texts.items():
+        if not held(i):
+            for k in range(1, len(w)):
+                for counts, key in ((uni, w[k]), (bi, (w[k - 1], w[k])), (tri, tuple(w[k - 2 : k + 1]) if k > 1 else None)):
+                    counts[key] = counts.get(key, 0) + 1
+    n, v = sum(uni.values()), len(uni)
+    ones, twos = (sum(c == k for c in uni.values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+    p = lambda w: ((uni[w] - d) if w in uni else d * v) / n if n else 1.0
+    p2 = lambda a, w: (bi.get((a, w), 0) + mu * p(w)) / (uni.get(None if a == "<s>" else a, 0) + mu)
+    p3 = lambda a, b, w: (tri.get((a, b, w), 0) + mu3 * p2(b, w)) / (bi.get((a, b), 0) + mu3)
+    out = {}
+    for i, w in texts.items():
+        base = sum(math.log10((uni.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w[1:])
+        score = sum(math.log10(p2(w[k - 1], w[k]) if k == 1 else p3(*w[k - 2 : k + 1])) for k in range(1, len(w)))
+        out[i] = (held(i), len(w) - 1, sum(x in uni for x in w[1:]), n, base, score)
+    return out

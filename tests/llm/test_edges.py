@@ -74,7 +74,7 @@ def test_lm_scoring(docs, none, spark):
     assert ids(got) == ALL_IDS
     assert {r["n_tokens"] for r in got if r["doc_id"] in (2, 3, 4)} == {1}
     once = [(i, t) for i, t in dict(TEXTS).items() if i is not None]
-    want = lm_scoring.brute_force(once)
+    want = brute.language_model(once)
     for r in lm_scoring.score_texts(spark.createDataFrame(once, "doc_id long, text string")).collect():
         assert tuple(r)[1:] == pytest.approx(want[r["doc_id"]], rel=1e-9)
     assert lm_scoring.score_texts(none).count() == 0

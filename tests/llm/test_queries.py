@@ -34,7 +34,7 @@ def test_toxicity_ranks_held_out_documents(spark, sf_dir):
 
 
 def test_lm_scores_match_brute_force(spark, sf_dir, documents):
-    want = lm_scoring.brute_force(documents)
+    want = brute.language_model(documents)
     got = by_id(queries.op2_lm_scoring(spark, sf_dir))
     assert len(got) == len(want)
     for i, (held, n, known, total, base, score) in want.items():
