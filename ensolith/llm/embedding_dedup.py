@@ -1,9 +1,10 @@
 """Embedding near-dedup by cover-tree dual traversal.
 
 Equal vectors of a label are one class from the start. Classes of a label are dealt into
-cells of nearest centres (a centre for every ``cell_rows`` classes, while all centres stay
-below a fixed number; else by hash), cells into nodes of ``cell_rows`` rows at most. A pair of
-nodes is only visited if their centres are close enough for their covering radii. A visit
+cells level by level: a cell of more than ``cell_rows`` classes gets up to FAN centres of its
+own, and its classes go to the nearest one, until cells are small or split no further (these are
+cut by hash). Centres travel to the classes by the cells' key, never through the driver. A pair
+of cells is only visited if their centres are close enough for their covering radii. A visit
 builds a cover tree over each node's unit vectors, nested levels whose radii halve, and walks
 both trees together: a pair of tree nodes further apart than both radii and the threshold is
 dropped with all below. Pairs left at the leaves are compared by cosine in double precision.
@@ -24,7 +25,10 @@ from ensolith.llm.components import components
 from ensolith.llm.simhash import union
 
 CELL_ROWS = 4096
-MAX_CENTRES = 20_000
+#: Centres of a cell that is split, rows of a cell that one task routes at once, and levels at most.
+FAN = 64
+ROUTED_ROWS = 1 << 16
+LEVELS = 6
 #: Above the rounding of a few distances of unit vectors.
 SLACK = 1e-6
 LEAST_BOUND = 1e-5
@@ -188,36 +192,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     keyed = rows.withColumn("key", F.unhex(F.sha2(F.to_json(F.struct("label", "vec")).cast("binary"), 256)))
     classes = keyed.where("fit").groupBy("key", "label", "dim", "vec").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
     classes = cut(classes.withColumn("class_id", F.monotonically_increasing_id()))
-    groups = classes.groupBy("label", "dim").count()
-    sized = groups.select("label", "dim", F.ceil(F.col("count") / cell_rows).alias("cells"))
-    n_centres = sized.agg(F.sum(F.when(F.col("cells") > 1, F.col("cells")))).first()[0] or 0
-    dealt = classes.join(sized, ["label", "dim"])
-    if 0 < n_centres <= MAX_CENTRES:
-        from pyspark.sql import Window as W
-
-        mixed = F.xxhash64("class_id")
-        ranked = dealt.where("cells > 1").where(F.pmod(mixed, F.greatest(F.lit(1), F.lit(cell_rows // 8))) == 0)  # candidates: one of cell_rows/8
-        centres = ranked.withColumn("r", F.row_number().over(W.partitionBy("label", "dim").orderBy(mixed))).where("r <= cells").select("label", "dim", "vec").collect()
-        by: dict = {}
-        for r in centres:
-            by.setdefault((r["label"], r["dim"]), []).append(r["vec"])
-        by = {k: (lambda m: m / np.sqrt((m * m).sum(axis=1))[:, None])(np.array(x)) for k, x in by.items()}
-
-        def nearest(batches):
-            for batch in batches:
-                keys = list(zip(batch["label"].to_pylist(), batch["dim"].to_pylist()))
-                cell = np.zeros(batch.num_rows, np.int64)
-                for key in set(keys):
-                    if key in by:
-                        k = np.array([i for i, x in enumerate(keys) if x == key])
-                        m = _matrix(pa.chunked_array([batch["vec"].take(pa.array(k))]))
-                        m /= np.sqrt((m * m).sum(axis=1))[:, None]
-                        cell[k] = (m @ by[key].T).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
-
-        dealt = dealt.mapInArrow(nearest, dealt.withColumn("cell", F.lit(0).cast("long")).schema)
-    else:
-        dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("class_id"), F.col("cells")))
+    dealt = _in_cells(classes, cell_rows)
     filled = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / cell_rows).alias("parts"))
     node = F.struct("label", "dim", "cell", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("parts")).alias("part"))
     dealt = cut(dealt.join(filled, ["label", "dim", "cell"]).withColumn("node", F.xxhash64(node)).select("label", "dim", "node", "class_id", "copies", "vec"))
@@ -249,6 +224,48 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     return both.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _in_cells(classes: DataFrame, cell_rows: int) -> DataFrame:
+    """classes (label, dim, class_id, copies, vec) with a cell each, of cell_rows classes or so where vectors can be told apart."""
+    rows = classes.select("label", "dim", "class_id", "copies", "vec", F.lit(0).cast("long").alias("cell"))
+    done = None
+    for level in range(LEVELS):
+        key = ["label", "dim", "cell"]
+        sizes = cut(rows.groupBy(*key).count())
+        large = sizes.where(F.col("count") > cell_rows)
+        small = rows.join(large, key, "left_anti")
+        done = small if done is None else done.unionByName(small)
+        if large.isEmpty():
+            return done
+        # centres: those of the smallest hashes among about twice as many as wanted
+        large = large.select(*key, F.least(F.lit(FAN), F.ceil(F.col("count") / cell_rows)).alias("fan"), F.col("count").alias("rows"), F.ceil(F.col("count") / ROUTED_ROWS).alias("salts"))
+        inside = rows.join(large, key)
+        mixed = F.xxhash64("class_id", F.lit(level))
+        share = F.least(F.lit(1.0), 2.0 * F.col("fan") / F.col("rows") + 64.0 / F.col("rows"))
+        some = inside.where(F.pmod(mixed, F.lit(1 << 30)) < share * (1 << 30))
+        centres = some.groupBy(*key, "fan", "salts").agg(F.sort_array(F.collect_list(F.struct(mixed.alias("h"), F.col("class_id"), F.col("vec")))).alias("all"))
+        centres = centres.select(*(F.col(c).alias(c) for c in key), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.slice("all.vec", F.lit(1), F.col("fan").cast("int")).alias("centres"))
+        salted = inside.withColumn("salt", F.pmod(F.xxhash64("class_id", F.lit(99)), F.col("salts"))).drop("fan", "rows", "salts")
+        group = [*key, "salt"]
+        rows = cut(salted.groupBy(*group).cogroup(centres.groupBy(*group)).applyInArrow(_to_nearest, rows.schema))
+    return done.unionByName(rows)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
+def _to_nearest(rows: pa.Table, centres: pa.Table) -> pa.Table:
+    """rows of a cell with the cell of their nearest centre."""
+    names = ["label", "dim", "class_id", "copies", "vec", "cell"]
+    if not rows.num_rows:
+        return rows.select(names)
+    c = _unit(np.array(centres["centres"][0].as_py()))
+    m = _unit(_matrix(rows["vec"]))
+    near = np.concatenate([(m[k : k + 4096] @ c.T).argmax(axis=1) for k in range(0, len(m), 4096)])
+    cell = pa.array(rows["cell"].to_numpy() * FAN + near + 1)
+    return rows.select(names).set_column(names.index("cell"), "cell", cell)
+
+
 def _node_balls(dealt: DataFrame):
     """Each node's unit centre and the largest angle from it to a member."""
     unit = F.transform("vec", lambda x: x / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, p: s + p * p)))
@@ -257,28 +274,3 @@ def _node_balls(dealt: DataFrame):
     dot = F.aggregate(F.zip_with(unit, "centre", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))
     return centre, dealt.select("node", "vec").join(centre.select("node", "centre"), "node").groupBy("node").agg((F.max(angle) + 1e-6).alias("radius"))
-
-
-def brute_force(rows: list[tuple], threshold: float = 0.98) -> dict:
-    """{vec_id: (n_links, component_id, kept)} of (vec_id, embedding, label) by all pairs, for tests."""
-    good = {}
-    for i, v, label in rows:
-        if v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
-            good[i] = (np.array(v, np.float64), label)
-    group, links = {r[0]: r[0] for r in rows}, dict.fromkeys((r[0] for r in rows), 0)
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    ids = sorted(good)
-    for p, i in enumerate(ids):
-        for j in ids[p + 1 :]:
-            (x, a), (y, b) = good[i], good[j]
-            if a == b and len(x) == len(y) and (x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())) >= threshold:
-                links[i] += 1
-                links[j] += 1
-                s, t = sorted((root(i), root(j)))
-                group[t] = s
-    return {i: (links[i], root(i), root(i) == i) for i in group}

@@ -5,6 +5,7 @@ import itertools
 import math
 import zlib
 
+import numpy as np
 import xxhash
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -105,3 +106,28 @@ def language_model(rows, mu=200.0, mu3=50.0):
         score = sum(math.log10(p2(w[k - 1], w[k]) if k == 1 else p3(*w[k - 2 : k + 1])) for k in range(1, len(w)))
         out[i] = (held(i), len(w) - 1, sum(x in uni for x in w[1:]), n, base, score)
     return out
+
+
+def embedding(rows, threshold=0.98):
+    """{vec_id: (n_links, component_id, kept)} of (vec_id, embedding, label) by all pairs."""
+    good = {}
+    for i, v, label in rows:
+        if v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            good[i] = (np.array(v, np.float64), label)
+    group, links = {r[0]: r[0] for r in rows}, dict.fromkeys((r[0] for r in rows), 0)
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(good)
+    for p, i in enumerate(ids):
+        for j in ids[p + 1 :]:
+            (x, a), (y, b) = good[i], good[j]
+            if a == b and len(x) == len(y) and (x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                s, t = sorted((root(i), root(j)))
+                group[t] = s
+    return {i: (links[i], root(i), root(i) == i) for i in group}

@@ -187,7 +187,7 @@ def test_embedding_dedup(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [None, 1.0], 1), (9, [1.0, 0.0], None), (10, [2.0, 0.0], 1), (11, [1.0, 0.0], 1), (12, [1.0, 0.0, 0.0], 1), (13, [], 1), (14, [-1.0, 0.0], 1), (15, [1e-30, 0.0], 2)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", *(F.lit(None).cast("long").alias(c) for c in ("id", "vec", "cell", "node", "key", "copies")))
     got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.near_vectors(v).collect()}
-    assert got == embedding_dedup.brute_force(rows)
+    assert got == brute.embedding(rows)
     assert got[1] == (3, 1, True) and got[15][1] == 3
     assert embedding_dedup.near_vectors(v.where("false")).count() == 0
     copies = embedding_dedup.near_vectors(v.where("vec_id = 1").unionByName(v.where("vec_id = 1"))).collect()
@@ -203,7 +203,7 @@ def test_embedding_dedup_over_many_cells(spark, cell_rows):
     rows = [(int(i), (centres[g.integers(20)] + g.normal(size=6) * 0.12).tolist(), int(g.integers(3) > 0)) for i in g.permutation(500)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.near_vectors(v, cell_rows=cell_rows).collect()}
-    assert got == embedding_dedup.brute_force(rows)
+    assert got == brute.embedding(rows)
 
 
 def test_suffix_dedup(docs, none):

@@ -74,7 +74,7 @@ def test_bpe_matches_the_tokenizers_library(spark, sf_dir, documents):
 def test_embedding_dedup_matches_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in queries.op8_embedding_dedup(spark, sf_dir).collect()}
-    assert got == embedding_dedup.brute_force(rows)
+    assert got == brute.embedding(rows)
 
 
 def test_suffix_dedup_matches_brute_force(spark, sf_dir, documents):
