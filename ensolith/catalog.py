@@ -1,4 +1,4 @@
 """All registered queries of the library proper, with their SQL."""
 
-from ensolith.plans import calibration, knowledge, records, sequences  # noqa: F401  they register themselves
+from ensolith.plans import calibration, evaluation, knowledge, records, sequences  # noqa: F401  they register themselves
 from ensolith.plans.registry import ORACLES, QUERIES  # noqa: F401
