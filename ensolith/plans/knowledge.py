@@ -45,12 +45,98 @@ def g7_subgraph(spark, d):
     return G.induced(e, G.within(e, spark.sql("SELECT 's1' AS node"), 2, both=True)).select("src", "dst", "relation")
 
 
-@query(f"WITH e AS ({_EDGES}) SELECT e1.src || '>' || e1.dst || '>' || e2.dst AS path FROM e e1 JOIN e e2 ON e2.src = e1.dst WHERE e1.src IN ('r0', 'r1') AND e2.dst LIKE 's%'")
+_NODES = "SELECT 'r' || r_regionkey AS node, 'region' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'c' || c_custkey, 'customer' FROM customer UNION ALL SELECT 's' || s_suppkey, 'supplier' FROM supplier"
+
+
+def _nodes(spark, d):
+    out = None
+    for t, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        one = table(spark, d, t).select(F.concat(F.lit(t[0]), key).alias("node"), F.lit(t).alias("type"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH e AS ({_EDGES}) SELECT e1.src || '>' || e1.dst || '>' || e2.dst AS path, 2 AS hops FROM e e1 JOIN e e2 ON e2.src = e1.dst WHERE e1.src IN ('r0', 'r1') AND e2.dst LIKE 's%' AND e2.relation IN ('contains', 'belongs')")
 def g10_simple_paths(spark, d):
-    """Simple directed paths of three edges at most."""
+    """Simple directed paths of three edges at most, by relation, through nations only."""
     e = _edges(spark, d)
     start, to = spark.sql("SELECT * FROM VALUES 'r0', 'r1' AS t(node)"), table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
-    return G.simple_paths(e, start, to, 3).select(F.array_join("path", ">").alias("path"))
+    return G.simple_paths(e, start, to, 3, ["contains", "belongs"], _nodes(spark, d).where("type = 'nation'")).select(F.array_join("path", ">").alias("path"), "hops")
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), p(node, path, hops) AS (SELECT 's1', ['s1'], 0 UNION ALL SELECT u.b, list_append(path, u.b), hops + 1 FROM p JOIN u ON u.a = p.node WHERE hops < 4 AND NOT list_contains(path, u.b)), k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS r FROM p) SELECT node, array_to_string(path, '>') AS path, hops FROM k WHERE r = 1 AND node LIKE 'r%'""")
+def g6_shortest_paths(spark, d):
+    """Shortest paths, edges taken either way."""
+    return G.shortest_paths(_edges(spark, d), "s1", _nodes(spark, d).where("type = 'region'"), 4).select("node", F.array_join("path", ">").alias("path"), "hops")
+
+
+@query("SELECT 'p' || p_partkey AS src, p_brand AS dst, 'belongs_to' AS relation FROM part UNION ALL SELECT 'p' || p_partkey, p_type, 'belongs_to' FROM part UNION ALL SELECT 'size' || p_size, 'p' || p_partkey, 'contains' FROM part WHERE p_size > 10")
+def g2_parameter_edges(spark, d):
+    """The edges a parameter's entry brings."""
+    p = table(spark, d, "part")
+    return G.parameter_edges(p.select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.array("p_brand", "p_type").alias("groups"), F.when(F.col("p_size") > 10, F.concat(F.lit("size"), "p_size")).alias("category")))
+
+
+@query(f"WITH e AS ({_EDGES}), n AS ({_NODES}) SELECT 'node' AS kind, type, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'edge', relation, count(*) FROM e GROUP BY 2")
+def a49_counts_by_type(spark, d):
+    """Nodes by type and edges by relation."""
+    return G.counts_by_type(_nodes(spark, d), _edges(spark, d))
+
+
+@query(f"WITH e AS ({_EDGES}), n AS ({_NODES}), a AS (SELECT 'node' AS kind, type, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'edge', relation, count(*) FROM e GROUP BY 2), b AS (SELECT 'node' AS kind, type, count(*) AS n FROM n WHERE type <> 'region' GROUP BY 2 UNION ALL SELECT 'edge', relation, count(*) FROM e WHERE src <> 'n1' GROUP BY 2) SELECT kind, type, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS change FROM a FULL JOIN b USING (kind, type)")
+def a50_type_changes(spark, d):
+    """How two graphs differ in their counts."""
+    n, e = _nodes(spark, d), _edges(spark, d)
+    return G.type_changes(G.counts_by_type(n, e), G.counts_by_type(n.where("type <> 'region'"), e.where("src <> 'n1'")))
+
+
+@query(f"WITH e AS ({_EDGES}), n AS ({_NODES}) SELECT DISTINCT src AS node, dst AS into FROM e JOIN n ON n.node = e.src WHERE n.type = 'nation' AND dst IN ('c1', 'c2', 's1')")
+def g5_neighbours_of_type(spark, d):
+    """Nodes of a type that lead to some nodes."""
+    return G.neighbours_of_type(_edges(spark, d), _nodes(spark, d), spark.sql("SELECT * FROM VALUES 'c1', 'c2', 's1' AS t(node)"), "nation")
+
+
+@query("SELECT name, node FROM (SELECT 'C7' AS name, 'c7' AS node UNION SELECT 'n3', 'n3' UNION SELECT 'x', 'x_1' UNION SELECT 'x', 'x_2')")
+def g9_find(spark, d):
+    """A name's node, its copies, or one of another case."""
+    more = spark.sql("SELECT * FROM VALUES ('x_1', 'copy'), ('x_2', 'copy'), ('X', 'other') AS t(node, type)")
+    return G.find(_nodes(spark, d).unionByName(more), spark.sql("SELECT * FROM VALUES 'C7', 'n3', 'x', 'nothing' AS t(name)"))
+
+
+@query(f"WITH e AS ({_EDGES}) SELECT src, dst, relation FROM e WHERE relation <> 'contains' AND (src IN ('n1', 's1', 'c3') OR dst IN ('n1', 's1', 'c3'))")
+def g9_edges_around(spark, d):
+    """A neighbourhood without some relations."""
+    return G.edges_around(_edges(spark, d), spark.sql("SELECT * FROM VALUES 'n1', 's1', 'c3' AS t(node)"), ["contains"])
+
+
+@query(f"WITH e AS ({_EDGES}), c AS (SELECT 'n' || (c_nationkey + c_custkey % 3) AS src, 'c' || c_custkey AS dst, CASE WHEN c_custkey % 5 = 0 THEN 'owns' ELSE 'belongs' END AS relation FROM customer) SELECT c.src, c.dst, c.relation, CASE WHEN substring(c.src, 2)::INT > 24 THEN 'no_source' WHEN e.src IS NOT NULL THEN 'known' WHEN c.relation = 'belongs' THEN 'new' ELSE 'bad_shape' END AS status FROM c LEFT JOIN e ON e.src = c.src AND e.dst = c.dst")
+def g12_checked_edges(spark, d):
+    """Candidate edges against the graph and the shapes allowed."""
+    c = table(spark, d, "customer")
+    src = F.concat(F.lit("n"), F.col("c_nationkey") + F.pmod("c_custkey", F.lit(3)))
+    cand = c.select(src.alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"), F.when(F.col("c_custkey") % 5 == 0, "owns").otherwise("belongs").alias("relation"))
+    return G.checked_edges(cand, _nodes(spark, d), _edges(spark, d), spark.sql("SELECT 'nation' AS src_type, 'belongs' AS relation, 'customer' AS dst_type"))
+
+
+@query("WITH n AS (SELECT 's_' || s_suppkey AS node FROM supplier), c AS (SELECT 's' AS src, 's' AS dst, 'affects' AS relation UNION ALL SELECT 's_1', 's_2', 'affects' UNION ALL SELECT 's_3', 'gone', 'affects') SELECT src, dst, relation FROM c WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n) UNION ALL SELECT c.src || '_' || g, c.dst || '_' || g, relation FROM c, (VALUES (4), (5)) v(g) WHERE c.src || '_' || g IN (SELECT node FROM n) AND c.dst || '_' || g IN (SELECT node FROM n)")
+def j7_curated_edges(spark, d):
+    """Curated edges whose ends exist, and their copies for each group."""
+    n = table(spark, d, "supplier").select(F.concat(F.lit("s_"), "s_suppkey").alias("node"))
+    return G.kept_with_copies(spark.sql("SELECT * FROM VALUES ('s', 's', 'affects'), ('s_1', 's_2', 'affects'), ('s_3', 'gone', 'affects') AS t(src, dst, relation)"), n, [4, 5])
+
+
+@query("SELECT 'r' || r_regionkey AS node FROM region")
+def g14_orphans(spark, d):
+    """Nodes that nothing leads to."""
+    return G.orphans(_nodes(spark, d), _edges(spark, d))
+
+
+@query("SELECT 's' || s_suppkey AS file, 'A' || s_nationkey AS variable, 'sets' AS kind FROM supplier UNION ALL SELECT 's' || s_suppkey, 'B' || (s_nationkey % 3), 'reads' FROM supplier")
+def g13_references(spark, d):
+    """Which files set and read a variable."""
+    s = table(spark, d, "supplier")
+    text = F.concat(F.lit("# x\nexport A"), "s_nationkey", F.lit("=1\nrun ${B"), F.pmod("s_nationkey", F.lit(3)), F.lit("} $B"), F.pmod("s_nationkey", F.lit(3)), F.lit("\n"))
+    return G.references(s.select(F.concat(F.lit("s"), "s_suppkey").alias("file"), text.alias("text")), "file", "text")
 
 
 @query(f"WITH e AS ({_EDGES}), n AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT node, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM n GROUP BY 1")
