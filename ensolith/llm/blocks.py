@@ -16,39 +16,22 @@ later rounds neither read the source nor shuffle texts again.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ensolith.lineage import cut, use_checkpoints  # noqa: F401
 from ensolith.llm.textops import SEPARATOR, give_back_memory
 
 BLOCK_BYTES = 8 << 20
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Take the shared folder that the session names; only a local session without one gets its own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
 def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks for the corpus: at least the session's shuffle partitions, more as the text grows."""
     total = docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0
