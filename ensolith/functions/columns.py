@@ -33,6 +33,11 @@ def strip_group_suffix(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"_\d+$", "")
 
 
+def same_parameter(c: Column) -> Column:
+    """A parameter's name for comparison: trimmed, lower-cased, without one trailing _<digits> or _-."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"_(\d+|-)$", "")
+
+
 def threshold_verdict(value: Column, limit: Column, kind: str = "above", upper: Column | None = None) -> Column:
     """CONFIRMED, PARTIAL or REJECTED by how far a value is beyond a limit, above or below it, or between two.
 
