@@ -38,6 +38,8 @@ GROUP_ROWS = 1 << 17
 #: Changes the plan, not the result: rounds in which texts are held against neighbours alone.
 TURNS = 2
 BITMAP_BITS = 1 << 26
+#: Changes the plan, not the result: sketches of 2**WIDE_BITS places sort out pairs before the texts are read again.
+WIDE_BITS = 10
 _ALL = (1 << 64) - 1
 #: A class of equal texts: its number, fingerprint, distinct shingles, sketch and component.
 _NODE = ["node", "fp", "n", "odd", "odd2", "component"]
@@ -64,21 +66,25 @@ def fingerprint_of(h: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def odd_sketch(h: np.ndarray) -> tuple[int, int]:
-    """128 parities of the distinct shingle hashes by seven of their bits.
+def odd_sketch(h: np.ndarray, bits: int) -> bytes:
+    """2**bits parities of the distinct shingle hashes by so many of their bits.
 
-    Two texts' sketches differ in no more bits than their sets of shingles differ in members.
+    Two texts' sketches differ in no more places than their sets of shingles differ in members.
     """
-    odd = np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=128) & 1
-    a, b = np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
-    return int(a), int(b)
+    odd = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def most_apart(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Members in one only of two sets of these sizes, at most, for that Jaccard similarity."""
+    return (1 - similarity) / (1 + similarity) * (n + m) + 1e-9
 
 
 def may_be_similar(size: tuple, odd: tuple, odd2: tuple, similarity: float) -> np.ndarray:
     """Mask of the pairs that sizes and sketches of both sides allow to have that Jaccard similarity."""
     n, m = size
     apart = np.bitwise_count(odd[0] ^ odd[1]).astype(np.int64) + np.bitwise_count(odd2[0] ^ odd2[1])
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (apart <= most_apart(n, m, similarity))
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -387,8 +393,21 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose texts have that Jaccard similarity of their distinct shingles."""
     pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    used = cut(ends.join(classes.select("node", "t", "t2"), "node"))
+    ends = lambda: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = ends().join(classes.select("node", "n", "wide"), "node")
+    side = lambda k: known.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}"))
+
+    def close(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(n), -1) for c in ("wa", "wb"))
+            ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most_apart(n, m, similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(close, "a long, b long"))
+    used = cut(ends().join(classes.select("node", "t", "t2"), "node"))
     shared = texts.sparkSession.sparkContext.broadcast(_bitmap(used))
 
     def sets(batches):
@@ -418,13 +437,13 @@ def _classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataF
             held = [shingles(t, shingle) for t in batch.column(3).to_pylist()]
             fp = [_signed(fingerprint_of(h)) for h in held]
             held = [np.unique(h) for h in held]
-            odd = [tuple(map(_signed, odd_sketch(h))) for h in held]
-            columns = [fp, [len(h) for h in held], [a for a, _ in odd], [b for _, b in odd]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], names=["id", "t", "t2", "fp", "n", "odd", "odd2"])
+            odd = np.frombuffer(b"".join(odd_sketch(h, 7) for h in held), np.int64).reshape(-1, 2)
+            columns = [pa.array(c, pa.int64()) for c in (fp, [len(h) for h in held], odd[:, 0], odd[:, 1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array([odd_sketch(h, WIDE_BITS) for h in held], pa.binary())], names=["id", "t", "t2", "fp", "n", "odd", "odd2", "wide"])
         X.give_back_memory()
 
-    rows = cut(texts.mapInArrow(marks, "id long, t long, t2 long, fp long, n long, odd long, odd2 long"))
-    own = rows.groupBy("t", "t2").agg(*(F.min(c).alias(c) for c in ("fp", "n", "odd", "odd2", "id")))
+    rows = cut(texts.mapInArrow(marks, "id long, t long, t2 long, fp long, n long, odd long, odd2 long, wide binary"))
+    own = rows.groupBy("t", "t2").agg(*(F.min(c).alias(c) for c in ("fp", "n", "odd", "odd2", "wide", "id")))
     return rows, texts.select("t", "t2", "text"), cut(own.withColumn("node", F.monotonically_increasing_id()))
 
 
