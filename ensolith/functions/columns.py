@@ -86,3 +86,83 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of doubles; null where one is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+
+
+def from_unit(u: Column, low: Column, high: Column) -> Column:
+    return low + u * (high - low)
+
+
+def transformed(y: Column, kind: str) -> Column:
+    """identity, log or logit; values outside the domain are refused when read."""
+    refuse = lambda ok, v: F.when(ok | y.isNull(), v).otherwise(F.raise_error(F.concat(F.lit(f"outside the domain of {kind}: "), y.cast("string"))).cast("double"))
+    kinds = {"identity": y, "log": refuse(y > 0, F.when(y > 0, F.ln(y))), "logit": refuse((y > 0) & (y < 1), F.when((y > 0) & (y < 1), F.ln(y / (1 - y))))}
+    return kinds[kind]
+
+
+def untransformed(z: Column, kind: str) -> Column:
+    return {"identity": z, "log": F.exp(z), "logit": 1 / (1 + F.exp(-z))}[kind]
+
+
+def sampling_space(x: Column, is_log: bool) -> Column:
+    return F.log10(x) if is_log else x
+
+
+def native_space(x: Column, is_log: bool) -> Column:
+    return F.pow(F.lit(10.0), x) if is_log else x
+
+
+def parts_of_total(share: Column, total: Column) -> tuple[Column, Column]:
+    """Native pair of a share and a total; a share outside 0..1 is refused when read."""
+    ok = F.when(share.between(0, 1), share).otherwise(F.raise_error(F.concat(F.lit("share outside 0..1: "), share.cast("string"))).cast("double"))
+    return ok * total, (1 - ok) * total
+
+
+def options(c: Column) -> Column:
+    """A string of -name value options as a map; a name without a value maps to true."""
+    pairs = F.regexp_extract_all(c, F.lit(r"(-[A-Za-z_]\w*(?:[ =](?!-)\S+)?)"), F.lit(1))
+    entry = lambda p: F.struct(F.regexp_extract(p, r"^-(\w+)", 1).alias("k"), F.coalesce(F.nullif(F.regexp_extract(p, r"^-\w+[ =](.+)$", 1), F.lit("")), F.lit("true")).alias("v"))
+    return F.map_from_entries(F.transform(pairs, entry))
+
+
+def guarded_ratio(a: Column, b: Column, least: float = 1e-10) -> Column:
+    """a / b with the divisor kept away from zero."""
+    return a / F.greatest(F.abs(b), F.lit(least)) * F.when(b < 0, -1).otherwise(1)
+
+
+#: Named measures of (supply, demand, loss, stock).
+MEASURES = {
+    "supply_demand_ratio": lambda s, d, l, t: guarded_ratio(s, d),
+    "deficit": lambda s, d, l, t: d - s,
+    "relative_deficit": lambda s, d, l, t: guarded_ratio(d - s, d),
+    "loss_fraction": lambda s, d, l, t: guarded_ratio(l, s),
+    "turnover": lambda s, d, l, t: guarded_ratio(l, t),
+    "net": lambda s, d, l, t: s - l,
+}
+
+SECONDS_A_DAY = 86400.0
+# Days of the months of a year without leap days.
+MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+
+
+def flux_a_year(flux: Column, per: str) -> Column:
+    """A flux per second, hour, day, month or year as one per year of 365 days."""
+    return flux * {"s": 365 * SECONDS_A_DAY, "h": 365 * 24.0, "d": 365.0, "month": 12.0, "y": 1.0}[per]
+
+
+def flux_a_month(flux: Column, month: Column, grams: float = 1.0) -> Column:
+    """A flux per second over the month's own days, times ``grams``."""
+    return flux * SECONDS_A_DAY * F.get(F.array(*map(F.lit, MONTH_DAYS)), month - 1) * grams
+
+
+def modified(value: Column, here: Column, to: Column | None = None, percent: Column | None = None) -> Column:
+    """value, but where ``here`` holds the new one, or the old changed by a percentage."""
+    return F.when(here, to if to is not None else value * (1 + percent / 100)).otherwise(value)
+
+
+def applies_in(tags: Column, axes: dict[str, list[str]]) -> Column:
+    """A flag for each value of each axis: named ones only where the axis is named, all of an axis that is not."""
+    flags = []
+    for axis, values in axes.items():
+        own = F.try_element_at(tags, F.lit(axis))
+        flags += [x for v in values for x in (F.lit(f"{axis}_{v}"), F.coalesce(F.array_contains(own, v), F.lit(True)))]
+    return F.create_map(*flags)

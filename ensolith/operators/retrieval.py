@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ensolith.functions.columns import clean_text, cosine
+from ensolith.functions.columns import clean_text
 
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 
@@ -48,30 +50,78 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overla
     return cleaned.select(id_col, F.posexplode(split("_t")).alias("chunk_index", "chunk")).where(F.length("chunk") >= least)
 
 
-def against_queries(queries: DataFrame, items: DataFrame, per_block: int = 512) -> DataFrame:
-    """Every item beside every query of a stated set, query block by query block.
-
-    Items are dealt over salts and queries repeated for each salt, so both sides meet by an equi
-    join on (block, salt): nothing is broadcast, and no task holds more than a block's queries.
+def _best_of_block(k: int, metric: str, digits: int | None):
+    """Top k items of each query of one cogroup: similarities by falling, distances by rising value, ties by item_id."""
+
+    def run(queries: pa.Table, items: pa.Table) -> pa.Table:
+        if not queries.num_rows or not items.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        q, v = (np.array(t[c].to_pylist(), np.float64) for t, c in ((queries, "q"), (items, "v")))
+        ids, asked = items["item_id"].to_numpy(), queries["query_id"].to_numpy()
+        out = []
+        for i in range(len(q)):
+            if metric == "cosine":
+                norm = np.sqrt((v * v).sum(axis=1) * (q[i] * q[i]).sum())
+                value = np.divide((v * q[i]).sum(axis=1), norm, out=np.full(len(v), np.nan), where=norm > 0)
+            else:
+                apart = np.abs(v - q[i])
+                value = apart.max(axis=1) if metric == "largest" else np.sqrt((apart * apart).sum(axis=1))
+            value = value if digits is None else np.round(value, digits)
+            order = np.lexsort((ids, np.where(np.isnan(value), np.inf, -value if metric == "cosine" else value)))[:k]
+            out.append((np.full(len(order), asked[i]), ids[order], value[order]))
+        a, b, c = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"query_id": a, "item_id": b, "value": pa.array(c, from_pandas=True)})
+
+    return run
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, prefilter: Column | None = None, digits: int | None = None, metric: str = "cosine", per_block: int = 512) -> DataFrame:
+    """The k nearest items (item_id, v) of each query (query_id, q): (query_id, item_id, similarity, rank); ties by item_id.
+
+    metric: cosine (larger is nearer), or euclidean or largest component (smaller is nearer). Items
+    are filtered first and dealt over salts, queries over blocks; a task sees one block of queries
+    and one salt of items and gives its k best, so what is exchanged does not grow with the items
+    beyond them. With digits, values are rounded before they are ranked.
     """
-    n = max(1, -(-queries.count() // per_block))
+    rows = (items if prefilter is None else items.where(prefilter)).select("item_id", "v")
     salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-    dealt = items.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_block"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("_salt"))
-    return dealt.join(asked, ["_block", "_salt"]).drop("_block", "_salt")
-
-
-def nearest(queries: DataFrame, items: DataFrame, k: int, prefilter: Column | None = None, digits: int | None = None) -> DataFrame:
-    """The k items of largest cosine for each query (query_id, q) among items (item_id, v): ties by item_id.
-
-    Items are filtered first, and ranked with a limit in each partition before the shuffle by
-    query. With digits, similarities are rounded before they are ranked.
-    """
-    rows = items if prefilter is None else items.where(prefilter)
-    similarity = cosine(F.col("q"), F.col("v"))
-    scored = against_queries(queries, rows).select("query_id", "item_id", (similarity if digits is None else F.round(similarity, digits)).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    n = max(1, -(-queries.count() // per_block))
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "q", F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("_block"), each(salts).alias("_salt"))
+    dealt = rows.select(F.col("item_id").cast("long").alias("item_id"), "v", each(n).alias("_block"), F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("_salt"))
+    best = asked.groupBy("_block", "_salt").cogroup(dealt.groupBy("_block", "_salt")).applyInArrow(_best_of_block(k, metric, digits), "query_id long, item_id long, value double")
+    order = F.col("value").desc_nulls_last() if metric == "cosine" else F.col("value").asc_nulls_last()
+    w = Window.partitionBy("query_id").orderBy(order, "item_id")
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "item_id", F.col("value").alias("similarity"), "rank")
+
+
+def nearest_of_each_query(hits: DataFrame, by: str, order: list[str], most: int | None = None) -> DataFrame:
+    """Hits of several queries (query_no, pos, similarity and more) in one list: the first of each ``by``, by falling similarity, ``most`` at most."""
+    kept = first_seen(hits, by, ["query_no", "pos"])
+    ranked = kept.orderBy(F.desc("similarity"), *order)
+    return ranked if most is None else ranked.limit(most)
+
+
+def entities(queries: DataFrame, id_col: str, text_col: str, keywords: dict[str, str]) -> DataFrame:
+    """(id, kind, entity) in questions: parameters (words with an underscore), groups (PFT #n), mechanisms by their keywords."""
+    low = F.lower(text_col)
+    kinds = {
+        "parameter": F.regexp_extract_all(low, F.lit(r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"), F.lit(1)),
+        "group": F.transform(F.regexp_extract_all(low, F.lit(r"\bpft\s*#?\s*(\d+)"), F.lit(1)), lambda x: F.concat(F.lit("pft"), x)),
+        "mechanism": F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(m)) for w, m in keywords.items()))),
+    }
+    named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("entity"))
+    found = F.flatten(F.array(*(F.transform(F.array_distinct(c), named(kind)) for kind, c in kinds.items())))
+    return queries.select(id_col, F.inline(found))
+
+
+def context(sections: DataFrame, id_col: str, order: list[str], per_section: int, max_chars: int) -> DataFrame:
+    """(id, context): the first entries (id, section, text) of each section below its heading, cut to max_chars."""
+    w = Window.partitionBy(id_col, "section").orderBy(*order)
+    kept = sections.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_section)
+    text = kept.groupBy(id_col, "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "text"))), lambda s: s["text"]), "\n").alias("_t"))
+    whole = text.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "_t"))), lambda s: F.concat(F.lit("## "), s["section"], F.lit("\n"), s["_t"])), "\n\n").alias("_c"))
+    return whole.select(id_col, F.substring("_c", 1, max_chars).alias("context"))
 
 
 def first_seen(hits: DataFrame, by: str, order: list[str]) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def elementary_effects(steps: DataFrame, trajectory: str, step: str, changed: str, x: str, y: str) -> DataFrame:
@@ -54,3 +58,108 @@ def latin_hypercube(spark, n: int, names: list[str], seed: int) -> DataFrame:
         jitter = F.pmod(F.xxhash64(F.col("sample"), F.lit(seed), F.lit(k + 1000)), F.lit(1 << 20)) / float(1 << 20)
         out = out.withColumn(name, (F.row_number().over(order) - 1 + jitter) / n)
     return out
+
+
+def mixed(key: Column, salt: Column | int, buckets: int) -> Column:
+    """A repeatable pseudo-random number below ``buckets`` of an integer key, by plain arithmetic."""
+    salt = F.lit(salt) if isinstance(salt, int) else salt
+    x = F.pmod(key * 48271 + salt * 30269 + 12345, F.lit(2147483647))
+    return F.pmod(F.pmod(x * 16807, F.lit(2147483647)), F.lit(buckets))
+
+
+def binned_effect(df: DataFrame, bin_: Column, y: str, keys: list[str] | None = None) -> DataFrame:
+    """Share of the variance of y that the means of the bins explain (a first-order index)."""
+    keys = keys or []
+    g = df.where(F.col(y).isNotNull()).groupBy(*keys, bin_.alias("_bin")).agg(F.count("*").alias("_n"), F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_q"))
+    n, total = F.sum("_n"), F.sum("_s")
+    between = F.sum(F.col("_s") * F.col("_s") / F.col("_n")) / n - (total / n) * (total / n)
+    return g.groupBy(*keys).agg(F.try_divide(between, F.sum("_q") / n - (total / n) * (total / n)).alias("effect"))
+
+
+def noise_floor(df: DataFrame, key: Column, y: str, bins: int, turns: int) -> DataFrame:
+    """Largest effect that ``turns`` random dealings of the rows into bins show: effects below it cannot be told from none."""
+    dealt = df.select(y, key.alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(turns))).alias("turn"))
+    return binned_effect(dealt, mixed(F.col("_key"), F.col("turn"), bins), y, ["turn"]).agg(F.max("effect").alias("floor"))
+
+
+def boundary_report(df: DataFrame, probability: str, truth: Column, band: float = 0.25) -> DataFrame:
+    """Accuracy of a classifier at 0.5, over all rows and over those whose probability is within ``band`` of it."""
+    p = F.col(probability)
+    right, near = ((p >= 0.5) == truth).cast("double"), F.abs(p - 0.5) <= band
+    return df.where(p.isNotNull() & truth.isNotNull()).agg(F.avg(right).alias("accuracy"), F.count("*").alias("n"), F.avg(F.when(near, right)).alias("boundary_accuracy"), F.count_if(near).alias("n_boundary"))
+
+
+def case_r2_summary(df: DataFrame, case: str, truth: str, predicted: str, least_pairs: int = 8, least_r2: float = 0.5) -> DataFrame:
+    """Quantiles over cases of R2 within the case, for cases of enough pairs whose truth varies, and the share that reaches least_r2."""
+    known = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
+    per = r2(known, truth, predicted, [case]).where((F.col("n") >= least_pairs) & F.col("r2").isNotNull())
+    q = F.percentile("r2", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    return per.agg(F.count("*").alias("n_cases"), q[0].alias("p10"), q[1].alias("p50"), q[2].alias("p90"), F.avg((F.col("r2") >= least_r2).cast("double")).alias("share"))
+
+
+def confirmed(predictions: DataFrame, keys: list[str], observed: Column, low: Column, high: Column) -> DataFrame:
+    """How often observations later fell into the predicted interval."""
+    return predictions.where(observed.isNotNull()).groupBy(*keys).agg(F.avg(observed.between(low, high).cast("double")).alias("hit_rate"), F.count("*").alias("n"))
+
+
+def bootstrap_r2(df: DataFrame, key: Column, truth: str, predicted: str, turns: int, least: float) -> DataFrame:
+    """Pass rate and quantiles of R2 over Poisson bootstrap turns: each row counts 0, 1, 2 or more times in each turn.
+
+    Turns are summed side by side, so the rows are dealt out but their exchange is one partial sum for each turn.
+    """
+    t, p = F.col(truth), F.col(predicted)
+    rows = df.select(t.alias("_t"), p.alias("_p"), key.alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(turns))).alias("turn"))
+    u = mixed(F.col("_key"), F.col("turn"), 1_000_000) / 1e6
+    # chances that a Poisson number of mean one is 0, at most 1, 2, 3, 4
+    w = sum((F.when(u >= c, 1).otherwise(0) for c in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340)), F.lit(0))
+    g = rows.withColumn("_w", w).groupBy("turn").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_t")).alias("s"), F.sum(F.col("_w") * F.col("_t") ** 2).alias("q"), F.sum(F.col("_w") * (F.col("_t") - F.col("_p")) ** 2).alias("e"))
+    r = g.select((1 - F.try_divide(F.col("e"), F.col("q") - F.col("s") * F.col("s") / F.col("n"))).alias("r2"))
+    return r.agg(F.avg((F.col("r2") >= least).cast("double")).alias("pass_rate"), F.min("r2").alias("low"), F.median("r2").alias("middle"), F.max("r2").alias("high"))
+
+
+def crossed_design(spark, n: int, names: list[str], seed: int) -> DataFrame:
+    """Rows of the matrices A, B and, for each name, A with that column of B: (sample, matrix, one column for each name)."""
+    base = spark.range(n).withColumnRenamed("id", "sample")
+    unit = lambda k: mixed(F.col("sample"), seed + k, 1_000_000) / 1e6
+    a, b = ([unit(k + shift) for k in range(len(names))] for shift in (0, len(names)))
+    out = None
+    for matrix, picked in [("A", a), ("B", b), *((f"A_{x}", [b[k] if x == y else a[k] for k, y in enumerate(names)]) for x in names)]:
+        own = base.select("sample", F.lit(matrix).alias("matrix"), *(c.alias(x) for c, x in zip(picked, names)))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def crossed_indices(evaluated: DataFrame, names: list[str], y: str) -> DataFrame:
+    """(input, first, total) order indices of the evaluated crossed design."""
+    wide = evaluated.groupBy("sample").agg(*(F.max(F.when(F.col("matrix") == m, F.col(y))).alias(f"_{m}") for m in ("A", "B", *(f"A_{x}" for x in names))))
+    a, b = F.col("_A"), F.col("_B")
+    spread = (F.var_pop(a) + F.var_pop(b)) / 2
+    aggs = []
+    for x in names:
+        c = F.col(f"_A_{x}")
+        aggs.append(F.struct(F.lit(x).alias("input"), F.try_divide(F.avg(b * (c - a)), spread).alias("first"), F.try_divide(F.avg((a - c) * (a - c)) / 2, spread).alias("total")))
+    return wide.agg(F.array(*aggs).alias("_i")).select(F.inline("_i"))
+
+
+def hull_gate(training: DataFrame, asked: DataFrame, k: int = 5, quantile: float = 0.99) -> DataFrame:
+    """(query_id, distance, inside) of points (query_id, q) against training points (item_id, v).
+
+    distance is that to the k-th nearest training point; inside means it is no larger than the
+    given quantile of the training points' own distances to their k-th nearest other.
+    """
+    from ensolith.operators.retrieval import nearest
+
+    own = nearest(training.select(F.col("item_id").alias("query_id"), F.col("v").alias("q")), training, k + 1, metric="euclidean").where(F.col("rank") == k + 1)
+    limit = own.agg(F.percentile("similarity", F.lit(quantile)).alias("_limit"))
+    far = nearest(asked, training, k, metric="euclidean").where(F.col("rank") == k).select("query_id", F.col("similarity").alias("distance"))
+    return far.crossJoin(F.broadcast(limit)).select("query_id", "distance", (F.col("distance") <= F.col("_limit")).alias("inside"))  # one row
+
+
+def normal_band(mu: Column, sd: Column, low: Column, high: Column) -> Column:
+    """Probability of a normal value between two limits."""
+    return _normal_cdf((high - mu) / sd) - _normal_cdf((low - mu) / sd)
+
+
+@F.pandas_udf(DoubleType())
+def _normal_cdf(z: pd.Series) -> pd.Series:
+    return pd.Series([0.5 * math.erfc(-x / math.sqrt(2)) if x == x else None for x in z.astype(float)], dtype="float64")

@@ -299,12 +299,6 @@ def m17_case_r2(spark, d):
     return _r(V.r2(li, "l_extendedprice", "p", ["case_id"]), "r2", digits=6)
 
 
-@query("SELECT round(avg(((n_chars > 1000) = (quality = 1))::INT), 6) AS accuracy, count(*) FILTER (toxic = 1) AS n_toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
-def m16_classifier_report(spark, d):
-    j = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id").where("quality is not null")
-    return j.agg(F.round(F.avg(((F.col("n_chars") > 1000) == (F.col("quality") == 1)).cast("int")), 6).alias("accuracy"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count("*").alias("n"))
-
-
 @query("WITH s AS (SELECT l_quantity AS y, ntile(10) OVER (ORDER BY l_extendedprice, l_quantity) AS slice FROM lineitem), g AS (SELECT v.y, k.slice FROM (SELECT DISTINCT y FROM s) v, (SELECT unnest(range(1, 11)) AS slice) k), c AS (SELECT g.y, g.slice, count(s.y) AS c FROM g LEFT JOIN s ON s.y = g.y AND s.slice = g.slice GROUP BY ALL), a AS (SELECT y, sum(c) AS a FROM c GROUP BY 1), d AS (SELECT c.slice, abs(sum(c) OVER w / sum(c) OVER p - sum(a) OVER w / sum(a) OVER p) AS gap FROM c JOIN a USING (y) WINDOW w AS (PARTITION BY c.slice ORDER BY c.y ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY c.slice)) SELECT round(median(ks), 6) AS pawn FROM (SELECT slice, max(gap) AS ks FROM d GROUP BY 1)")
 def m1_pawn(spark, d):
     """M1: PAWN index of one input."""
