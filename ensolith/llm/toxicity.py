@@ -1,14 +1,15 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded sample of the labelled training documents (``max_examples`` of each
-label, those of the smallest hashes of their ids). Terms are the words whose presence differs
-between the two labels of the sample by ``min_z`` standard errors or more; their document
-frequencies come from all documents. Vectors hold log(1 + count) * idf of these terms, scaled
-to length one. A term's postings lie in blocks of examples with the block's largest weight; a
-query visits blocks by falling upper bound and stops when no block can reach the k-th best,
-so the k nearest are exact. Votes are weighted by 1 / (distance + ``soften``). The raw vote is
-calibrated by isotonic regression over the examples, each scored without itself, with the
-labels weighted to their shares in all training labels.
+label, those of the smallest hashes of their ids). Terms are all words of the examples; their
+document frequencies come from all documents. Vectors hold log(1 + count) * idf * contrast of
+these terms, scaled to length one. The contrast is ``floor`` + (z / 4)**2, where z says by how
+many standard errors the labels of the sample differ in the presence of a word: it weighs
+terms and drops none. A term's postings are cut into blocks of examples with the block's
+largest weight; a query visits blocks by falling upper bound and stops when no block can reach
+the k-th best, so the k nearest are exact. Votes are weighted by 1 / (distance + ``soften``).
+The raw vote is calibrated by isotonic regression over the examples, each scored without
+itself, with the labels weighted to their shares in all training labels.
 """
 
 from __future__ import annotations
@@ -26,22 +27,39 @@ from ensolith.llm.blocks import cut
 BLOCK = 64
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, row of each): starts[i] .. ends[i]-1, one after the other."""
+    n = ends - starts
+    row = np.repeat(np.arange(len(n)), n)
+    return starts[row] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), row
+
+
 class BlockMaxIndex:
-    """Postings by term in blocks of examples (a row of weights each), with each block's largest weight."""
+    """Postings by term and example, in blocks of BLOCK examples with the block's largest weight."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        """vectors: (terms, weights) of each example."""
+        self.n_examples = len(vectors)
         self.n_blocks = -(-len(vectors) // BLOCK)
-        self.weights = np.zeros((self.n_blocks, n_terms, BLOCK))
-        for e, v in enumerate(vectors):
-            self.weights[e // BLOCK, list(v), e % BLOCK] = list(v.values())
-        self.most = self.weights.max(axis=2) if len(vectors) else np.zeros((0, n_terms))
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1, step: int = 8) -> list[tuple[float, int]]:
-        """The k best (similarity, example) above zero; equal similarities by smaller example."""
-        if not query or not self.n_blocks:
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order], weight[order]
+        block = self.example // BLOCK
+        self.start = X.group_edges(term, block)  # postings of a term in a block
+        self.end = np.append(self.start[1:], len(term))[: len(self.start)]
+        self.block = block[self.start]
+        self.most = np.maximum.reduceat(self.weight, self.start) if len(self.start) else self.weight
+        self.of_term = np.searchsorted(term[self.start], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, without: int = -1, step: int = 8) -> list[tuple[float, int]]:
+        """The k best (similarity, example) above zero for distinct terms and their weights; equal similarities by smaller example."""
+        if not len(terms) or not self.n_blocks:
             return []
-        terms, q = np.array(list(query)), np.array(list(query.values()))
-        upper = self.most[:, terms] @ q
+        at, row = _ranges(self.of_term[terms], self.of_term[terms + 1])
+        block = self.block[at]
+        upper = np.bincount(block, q[row] * self.most[at], self.n_blocks)
         order = np.argsort(-upper, kind="stable")
         best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
         for g in range(0, self.n_blocks, step):
@@ -49,10 +67,16 @@ class BlockMaxIndex:
             least = best_s[-1] if len(best_s) == k else 0.0
             if upper[own[0]] <= 0 or upper[own[0]] < least - 1e-12:
                 break
-            s = np.round(np.einsum("t,btj->bj", q, self.weights[own[:, None], terms[None, :]]).ravel(), 12)
-            e = (own[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = (s > 0) & (s >= least) & (e != without)
-            s, e = np.concatenate([best_s, s[keep]]), np.concatenate([best_e, e[keep]])
+            visited = np.zeros(self.n_blocks, bool)
+            visited[own] = True
+            some = np.flatnonzero(visited[block])
+            post, which = _ranges(self.start[at[some]], self.end[at[some]])
+            s = np.round(np.bincount(self.example[post], q[row[some]][which] * self.weight[post], self.n_examples), 12)
+            keep = (s > 0) & (s >= least)
+            if 0 <= without < len(keep):
+                keep[without] = False
+            e = np.flatnonzero(keep)
+            s, e = np.concatenate([best_s, s[e]]), np.concatenate([best_e, e])
             top = np.lexsort((e, -s))[:k]
             best_s, best_e = s[top], e[top]
         return list(zip(best_s.tolist(), best_e.tolist()))
@@ -72,40 +96,36 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """Terms, examples and calibration: bounded by ``max_examples`` and ``max_terms``, whatever the corpus."""
+    """Terms, examples and calibration: bounded by ``max_examples`` of each label and their texts, whatever the corpus."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], share: float, k: int, soften: float):
+    def __init__(self, terms: np.ndarray, factor: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: float, k: int, soften: float):
+        """terms and their factors (idf times contrast); examples (id, label, terms, counts)."""
         self.set = X.HashSet(terms)
-        self.idf, self.k, self.soften, self.share = idf, k, soften, share
+        self.factor, self.k, self.soften, self.share = factor, k, soften, share
         self.ids = [e[0] for e in examples]
         self.toxic = np.array([e[1] for e in examples], float)
-        vectors = [self.vector(e[2]) for e in examples]
-        self.vectors = vectors
-        self.index = BlockMaxIndex(vectors, len(idf))
+        vectors = [self.vector(t, c) for _, _, t, c in examples]
+        self.index = BlockMaxIndex(vectors, len(factor))
         pos, neg = self.toxic.sum(), len(examples) - self.toxic.sum()
         weight = np.where(self.toxic > 0, share / max(pos, 1), (1 - share) / max(neg, 1)) if examples else np.zeros(0)
         self.weight = weight
-        bare = np.array([not v for v in vectors], bool)
+        bare = np.array([not len(t) for t, _ in vectors], bool)
         prior = 2.0 * (share / max(1, len(examples))) if examples else 0.0
         mass = weight[bare].sum() + 2.0 / max(1, len(examples))
         self.bare = float(((weight * self.toxic)[bare].sum() + prior) / mass) if examples else share
         self.bare = min(self.bare, max(share, 1e-6))
-        raw = np.array([self.raw(self.index.nearest(v, k, e)) for e, v in enumerate(vectors) if v])
         full = np.flatnonzero(~bare)
+        raw = np.array([self.raw(self.index.nearest(*vectors[e], k, int(e))) for e in full])
         self.knots = isotonic(raw, self.toxic[full], weight[full]) if len(full) > 1 else (np.array([0.0, 1.0]), np.array([self.bare, max(share, self.bare)]))
         self.memo: dict = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"index": None, "memo": {}}  # built again from the vectors by each worker
-
-    def __setstate__(self, state):
-        self.__dict__ |= state
-        self.index = BlockMaxIndex(self.vectors, len(self.idf))
+        return self.__dict__ | {"memo": {}}
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: np.log1p(c) * self.idf[t] for t, c in counts.items()}
-        norm = np.sqrt(sum(x * x for x in v.values()))
-        return {t: float(x / norm) for t, x in v.items()} if norm else {}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = np.log1p(counts) * self.factor[terms]
+        norm = np.sqrt((v * v).sum())
+        return (terms, v / norm) if norm else (terms[:0], v[:0])
 
     def raw(self, near: list[tuple[float, int]]) -> float:
         """Distance-weighted vote, labels weighted to their shares; a vote of the share is the neighbours' weakest part."""
@@ -117,15 +137,15 @@ class Model:
             vote += w * self.toxic[e]
         return vote / mass
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
         """(calibrated score, nearest examples)."""
-        key = tuple(sorted(counts.items()))
+        key = (terms.tobytes(), counts.tobytes())
         got = self.memo.get(key)
         if got is None:
-            near = self.index.nearest(self.vector(counts), self.k)
+            near = self.index.nearest(*self.vector(terms, counts), self.k)
             p = float(np.interp(self.raw(near), *self.knots)) if near else self.bare
             got = (min(1.0, max(0.0, p)), near)
-            if len(self.memo) > 4096:
+            if len(self.memo) > 256:
                 self.memo.clear()
             self.memo[key] = got
         return got
@@ -135,19 +155,19 @@ def held_out(doc_id, parts: int = 5) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % parts == 0
 
 
-def _counts(hashes: np.ndarray, first: np.ndarray, known: X.HashSet) -> list[dict[int, int]]:
+def _counts(hashes: np.ndarray, first: np.ndarray, known: X.HashSet) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, counts) of each document, terms rising."""
     at, term = known.find(hashes)
-    doc = np.searchsorted(first, at, "right") - 1
-    out: list[dict[int, int]] = [{} for _ in range(len(first) - 1)]
-    for d, t in zip(doc.tolist(), term.tolist()):
-        out[d][t] = out[d].get(t, 0) + 1
-    return out
+    code, count = np.unique((np.searchsorted(first, at, "right") - 1) * max(1, len(known.values)) + term, return_counts=True)
+    doc, term = np.divmod(code, max(1, len(known.values)))
+    edges = np.searchsorted(doc, np.arange(len(first)))
+    return [(term[a:z], count[a:z]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2048, max_terms: int = 2048, min_z: float = 4.0, k: int = 15, soften: float = 0.05, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2048, k: int = 15, soften: float = 0.05, floor: float = 0.02, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled documents that are not held out (crc32 of the id as text modulo 5 is not 0).
 
-    max_examples bounds the sample of each label, max_terms the vocabulary; document
+    max_examples bounds the sample of each label, and their texts the vocabulary; document
     frequencies cover all of docs. Null labels, ids and texts are no examples; of several labels
     of one id the highest counts, of several texts the smallest. Without any example the score
     of every text is 0.
@@ -173,13 +193,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2048, max_terms:
 
     sizes = dict(sample.groupBy("y").count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    p1, p0 = F.col("a") / max(1, pos), F.col("b") / max(1, neg)
-    both = (F.col("a") + F.col("b")) / max(1, pos + neg)
-    error = F.sqrt(both * (1 - both) * (1.0 / max(1, pos) + 1.0 / max(1, neg)))
-    seen = sample.select("text", "y").mapInArrow(presence, "term long, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    z = (F.abs(p1 - p0) - 0.5 / max(1, pos) - 0.5 / max(1, neg)) / error  # with the correction for small counts
-    terms = seen.where("a + b >= 3").where(error > 0).where(z >= min_z).orderBy(z.desc(), "term").limit(max_terms).select("term").collect()
-    terms = np.sort(np.array([r[0] for r in terms], np.int64).view(np.uint64))
+    seen = sample.select("text", "y").mapInArrow(presence, "term long, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).toArrow()  # words of the examples
+    terms = seen["term"].to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    terms, a, b = terms[order], seen["a"].to_numpy()[order], seen["b"].to_numpy()[order]
+    both = (a + b) / max(1, pos + neg)
+    error = np.sqrt(both * (1 - both) * (1.0 / max(1, pos) + 1.0 / max(1, neg)))
+    apart = np.abs(a / max(1, pos) - b / max(1, neg)) - 0.5 / max(1, pos) - 0.5 / max(1, neg)  # with the correction for small counts
+    z = np.divide(np.maximum(apart, 0.0), error, out=np.zeros(len(terms)), where=error > 0)
+    contrast = floor + (z / 4.0) ** 2
     known_terms = X.HashSet(terms)
 
     def frequency(batches):
@@ -190,28 +212,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2048, max_terms:
                 doc = np.searchsorted(first, at, "right") - 1
                 total += np.bincount(np.unique(doc * max(1, len(terms)) + t) % max(1, len(terms)), minlength=len(terms)) if len(terms) else 0
             rows += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(terms)), -1], pa.int32()), pa.array([*total.tolist(), rows], pa.int64())], names=["term", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int32()), pa.array([*total[some].tolist(), rows], pa.int64())], names=["term", "n"])
 
-    df = dict(texts.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(t, 0) for t in range(len(terms))]))) + 1 if len(terms) else np.zeros(0)
+    got = texts.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1, np.int64)  # the last place counts the documents
+    df[got["term"].to_numpy()] = got["n"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def vectors(batches):
         for batch in batches:
             for i, j, hashes, first in X.text_slices(batch.column(2)):
                 counts = _counts(hashes, first, known_terms)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["id", "y", "t", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([t for t, _ in counts], pa.list_(pa.int32())), pa.array([c for _, c in counts], pa.list_(pa.int32()))], names=["id", "y", "t", "c"])
 
-    rows = sample.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<int>, c array<int>").collect()
-    examples = sorted((r["id"], r["y"], dict(zip(r["t"], r["c"]))) for r in rows)
-    return Model(terms, idf, examples, share, k, soften)
+    rows = sample.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<int>, c array<int>").toArrow().to_pylist()
+    examples = sorted(((r["id"], r["y"], np.array(r["t"], np.int64), np.array(r["c"], np.int64)) for r in rows), key=lambda e: e[:2])
+    return Model(terms, idf * contrast, examples, share, k, soften)
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score double, predicted int and the evidence: neighbours array<long>, similarities array<double>.
 
     Only the text is read. Null and empty texts, and those without any term of the model, get
-    the share of toxic ones among such examples. Rows are kept as they are, also repeated ones; input
-    columns that bear the added names are replaced.
+    the share of toxic ones among such examples. Very long texts are read whole. Rows are kept as
+    they are, also repeated ones; input columns that bear the added names are replaced. An empty
+    table gives an empty result.
     """
     own = docs.drop("score", "predicted", "neighbours", "similarities")
     names = own.columns
@@ -223,7 +249,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
         for batch in batches:
             got = []
             for _, _, hashes, first in X.text_slices(batch.column(at_text).cast(pa.string())):
-                got += [m.score(c) for c in _counts(hashes, first, m.set)]
+                got += [m.score(*c) for c in _counts(hashes, first, m.set)]
             p = [s for s, _ in got]
             added = [pa.array(p, pa.float64()), pa.array([int(s >= 0.5) for s in p], pa.int32()), pa.array([[m.ids[e] for _, e in near] for _, near in got], pa.list_(pa.int64())), pa.array([[s for s, _ in near] for _, near in got], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "score", "predicted", "neighbours", "similarities"])

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -131,3 +132,59 @@ def embedding(rows, threshold=0.98):
                 s, t = sorted((root(i), root(j)))
                 group[t] = s
     return {i: (links[i], root(i), root(i) == i) for i in group}
+
+
+def toxicity(rows, labelled, k=15, soften=0.05, floor=0.02):
+    """{doc_id: (score, nearest examples)} by dense cosine over all examples, of (doc_id, text) and (doc_id, label)."""
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER))
+    texts = {i: words(t) for i, t in rows}
+    train = sorted((i, y) for i, y in labelled if zlib.crc32(str(i).encode()) % 5)
+    ids, y = [i for i, _ in train], np.array([y for _, y in train], float)
+    vocabulary = sorted({w for i in ids for w in texts[i]})
+    place = {w: n for n, w in enumerate(vocabulary)}
+    count = np.zeros((len(rows), len(vocabulary)))
+    row_of = {i: n for n, (i, _) in enumerate(rows)}
+    for i, ws in texts.items():
+        for w in ws:
+            if w in place:
+                count[row_of[i], place[w]] += 1
+    held = count[[row_of[i] for i in ids]] > 0
+    pos, neg = y.sum(), len(y) - y.sum()
+    a, b = held[y == 1].sum(axis=0), held[y == 0].sum(axis=0)
+    both = (a + b) / len(y)
+    error = np.sqrt(both * (1 - both) * (1 / pos + 1 / neg))
+    apart = np.maximum(np.abs(a / pos - b / neg) - 0.5 / pos - 0.5 / neg, 0)
+    z = np.divide(apart, error, out=np.zeros(len(vocabulary)), where=error > 0)
+    idf = np.log((1 + len(rows)) / (1 + (count > 0).sum(axis=0))) + 1
+    v = np.log1p(count) * idf * (floor + (z / 4) ** 2)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    share = y.mean()
+    weight = np.where(y > 0, share / pos, (1 - share) / neg)
+    e = v[[row_of[i] for i in ids]]
+
+    def near(q, without=None):
+        s = np.round(e @ q, 12)
+        return [(s[n], n) for n in sorted(range(len(ids)), key=lambda n: (-s[n], n)) if s[n] > 0 and n != without][:k]
+
+    def raw(found):
+        w = [weight[n] * len(ids) / (1 - s + soften) for s, n in found]
+        return (1e-3 * share + sum(x * y[n] for x, (_, n) in zip(w, found))) / (1e-3 + sum(w))
+
+    full = [n for n in range(len(ids)) if e[n].any()]
+    bare = [n for n in range(len(ids)) if not e[n].any()]
+    none = ((weight * y)[bare].sum() + 2 * share / len(ids)) / (weight[bare].sum() + 2 / len(ids))
+    # isotonic fit by the largest rising minimum of means
+    votes = np.array([raw(near(e[n], n)) for n in full])
+    level = sorted(set(votes))
+    mass = np.array([weight[full][votes == x].sum() for x in level])
+    mean = np.array([(weight * y)[full][votes == x].sum() for x in level]) / mass
+    fit = [max(min(np.average(mean[i : j + 1], weights=mass[i : j + 1]) for j in range(n, len(level))) for i in range(n + 1)) for n in range(len(level))]
+    knots = [list(g) for _, g in itertools.groupby(range(len(level)), key=lambda n: round(fit[n], 12))]
+    kx = [np.average([level[n] for n in g], weights=mass[g]) for g in knots]
+    ky = [fit[g[0]] for g in knots]
+    out = {}
+    for i, _ in rows:
+        found = near(v[row_of[i]])
+        out[i] = (min(1, max(0, float(np.interp(raw(found), kx, ky)))) if found else min(none, max(share, 1e-6)), [ids[n] for _, n in found])
+    return out

@@ -61,12 +61,27 @@ def test_toxicity(docs, none, labels):
 
 
 def test_block_max_search_is_exact_with_ties():
-    vectors = [{R.randrange(30): float(R.randint(1, 4)) for _ in range(R.randint(1, 6))} for _ in range(700)]
-    index = toxicity.BlockMaxIndex(vectors, 30)
+    import numpy as np
+
+    arrays = lambda v: (np.array(sorted(v), np.int64), np.array([v[t] for t in sorted(v)]))
+    vectors = [{R.randrange(30): float(R.randint(1, 4)) for _ in range(R.randint(0, 6))} for _ in range(700)]
+    index = toxicity.BlockMaxIndex([arrays(v) for v in vectors], 30)
     for _ in range(40):
         q = {R.randrange(30): float(R.randint(1, 4)) for _ in range(4)}
         every = sorted(((round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), e) for e, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
-        assert index.nearest(q, 15) == [x for x in every if x[0] > 0][:15]
+        assert index.nearest(*arrays(q), 15) == [x for x in every if x[0] > 0][:15]
+        assert index.nearest(*arrays(q), 15, without=every[0][1]) == [x for x in every[1:] if x[0] > 0][:15]
+
+
+def test_toxicity_against_dense_cosine(spark):
+    words = [f"u{i}" for i in range(120)]
+    rows = [(i, " ".join(R.choice(words[:60] if i % 3 else words[30:]) for _ in range(R.randint(0, 40)))) for i in range(150)]
+    labelled = [(i, int(i % 3 == 0)) for i in range(0, 150, 2)]
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labelled, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_texts(d, toxicity.fit(d, y)).collect()}
+    want = brute.toxicity(rows, labelled)
+    for i, (score, near) in want.items():
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9) and got[i]["neighbours"] == near
 
 
 def test_lm_scoring(docs, none, spark):
