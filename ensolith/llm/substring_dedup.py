@@ -25,11 +25,28 @@ def _words(block: B.Block):
     return X.words_of(block.buf, block.bounds, X.SPACE_WORDS)
 
 
+def _hashes_of(block: B.Block):
+    """(hashes, first word of each document)."""
+    return _words(block)[::3]
+
+
+def _windows(hashes: np.ndarray, first: np.ndarray, starts: np.ndarray, width: int, base: int = X.BASE) -> np.ndarray:
+    """Hashes of the windows at the rising starts, some documents at a time."""
+    out = np.empty(len(starts), np.uint64)
+    for i, j in X.chunks_of(first, 1 << 17):
+        lo, hi = int(first[i]), int(first[j])
+        a, z = np.searchsorted(starts, [lo, hi])
+        if a < z:
+            own = starts[a:z] - lo
+            out[a:z] = X.span_hashes(X.prefix_sums(hashes[lo:hi], base), own, own + width, base)
+    return out
+
+
 def _anchors(hashes: np.ndarray, first: np.ndarray, size: int):
     """(positions, hash of the size words from each, is it one of its document's blocks)."""
     at = np.flatnonzero(X.window_starts(first, size))
     doc_first = np.repeat(first[:-1], np.diff(first))
-    return at, X.span_hashes(X.prefix_sums(hashes), at, at + size), (at - doc_first[at]) % size == 0
+    return at, _windows(hashes, first, at, size), (at - doc_first[at]) % size == 0
 
 
 class Folded:
@@ -40,22 +57,29 @@ class Folded:
     """
 
     def __init__(self, h: np.ndarray, buckets: int, dtype, by: np.ndarray | None = None):
-        kinds, index, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(h, kind="stable").astype(np.int32)  # a block is far below 2**31 words
+        kinds = h[order]
+        edges = X.group_edges(kinds)
+        count = np.diff(np.append(edges, len(h)))
+        kinds, index = kinds[edges], order[edges]
+        inverse = np.empty(len(h), np.int32)
+        inverse[order] = np.repeat(np.arange(len(edges), dtype=np.int32), count)
+        del order
         fp = kinds.astype(dtype)
-        rising = np.argsort(fp, kind="stable")
+        rising = np.argsort(fp, kind="stable").astype(np.int32)
         deal = (kinds >> np.uint64(32) if by is None else by[index]) % np.uint64(buckets)
         order, self.bounds = X.fan_out(deal[rising], buckets)
         order = rising[order]
-        self.fp, self.count = fp[order], count[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        self.fp, self.more = fp[order], count[order] > 1
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.of = place[inverse]
 
     def rows(self, grp: int, flags: np.ndarray | None = None):
         """A message for each bucket: rising hashes, which stand here more than once, flags."""
         for b in np.flatnonzero(np.diff(self.bounds)):
             k = slice(self.bounds[b], self.bounds[b + 1])
-            yield (int(b), grp, X.pack(np.diff(self.fp[k], prepend=self.fp.dtype.type(0))), X.pack_mask(self.count[k] > 1), None if flags is None else X.pack_mask(flags[k]), int(self.bounds[b + 1] - self.bounds[b]))
+            yield (int(b), grp, X.pack(np.diff(self.fp[k], prepend=self.fp.dtype.type(0))), X.pack_mask(self.more[k]), None if flags is None else X.pack_mask(flags[k]), int(self.bounds[b + 1] - self.bounds[b]))
 
     def hits(self, answers: dict) -> np.ndarray:
         """Mask over the items from the masks that the buckets gave."""
@@ -101,8 +125,7 @@ def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
     pieces = B.deal(docs, n, id_col, text_col, carry)
 
     def probe(block):
-        hashes, _, _, first = _words(block)
-        _, h, is_block = _anchors(hashes, first, size)
+        _, h, is_block = _anchors(*_hashes_of(block), size)
         folded = Folded(h, n, np.uint32)
         flags = np.zeros(len(folded.fp), bool)
         flags[folded.of[is_block]] = True
@@ -118,15 +141,12 @@ def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
         ends = np.flatnonzero(hit)
         near = X.covered(np.maximum(ends - (width - size), 0), width - size + 1, len(hashes)) if len(ends) else hit
         start = np.flatnonzero(near & X.window_starts(first, width))
-        strong = X.span_hashes(X.prefix_sums(hashes), start, start + width)
-        other = X.span_hashes(X.prefix_sums(hashes, _SECOND), start, start + width, _SECOND)
-        return start, Folded(strong, n, np.uint64, other)
+        return start, Folded(_windows(hashes, first, start, width), n, np.uint64, _windows(hashes, first, start, width, _SECOND))
 
     def verify(block, answers):
         if not answers:
             return []
-        hashes, _, _, first = _words(block)
-        return list(candidates(hashes, first, answers)[1].rows(block.group))
+        return list(candidates(*_hashes_of(block), answers)[1].rows(block.group))
 
     repeats = B.answer(B.ask_again(pieces, hits, verify), lambda rows: list(_repeated(rows, np.uint64, False)))
 

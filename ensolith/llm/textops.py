@@ -17,7 +17,7 @@ import zstandard
 SEPARATOR = 0x0A
 CHUNK_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 5
+BASE = 0x9E3779B97F4A7C15 | 5
 _MASK = (1 << 64) - 1
 _powers: dict[int, np.ndarray] = {}
 
@@ -51,7 +51,7 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER_ARRAY[buf]
 
 
-def powers(n: int, inverse: bool = False, base: int = _BASE) -> np.ndarray:
+def powers(n: int, inverse: bool = False, base: int = BASE) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, or those of its inverse."""
     b = pow(base, -1, 1 << 64) if inverse else base
     got = _powers.get(b)
@@ -71,13 +71,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(codes: np.ndarray, base: int = _BASE) -> np.ndarray:
+def prefix_sums(codes: np.ndarray, base: int = BASE) -> np.ndarray:
     out = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * powers(len(codes), base=base), out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """Hash of codes[start:end] for each pair, the same wherever the span stands."""
     h = (sums[ends] - sums[starts]) * powers(len(sums), True, base)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

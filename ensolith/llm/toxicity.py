@@ -24,14 +24,12 @@ from pyspark.sql import functions as F
 from ensolith.llm import textops as X
 from ensolith.llm.blocks import cut
 
-BLOCK = 64
+BLOCK = 512
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, row of each): starts[i] .. ends[i]-1, one after the other."""
-    n = ends - starts
-    row = np.repeat(np.arange(len(n)), n)
-    return starts[row] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), row
+def _ranges(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places starts[i] .. starts[i] + count[i] - 1, one after the other."""
+    return np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
 class BlockMaxIndex:
@@ -48,34 +46,41 @@ class BlockMaxIndex:
         term, self.example, self.weight = term[order], example[order], weight[order]
         block = self.example // BLOCK
         self.start = X.group_edges(term, block)  # postings of a term in a block
-        self.end = np.append(self.start[1:], len(term))[: len(self.start)]
+        self.count = np.diff(np.append(self.start, len(term)))
         self.block = block[self.start]
         self.most = np.maximum.reduceat(self.weight, self.start) if len(self.start) else self.weight
         self.of_term = np.searchsorted(term[self.start], np.arange(n_terms + 1))
 
-    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, without: int = -1, step: int = 8) -> list[tuple[float, int]]:
-        """The k best (similarity, example) above zero for distinct terms and their weights; equal similarities by smaller example."""
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """The k best (similarity, example) above zero for distinct terms and their weights; equal similarities by smaller example.
+
+        The quarter of the blocks of the largest bounds comes first, then all that can still reach the k-th best.
+        """
         if not len(terms) or not self.n_blocks:
             return []
-        at, row = _ranges(self.of_term[terms], self.of_term[terms + 1])
+        n = self.of_term[terms + 1] - self.of_term[terms]
+        at, weight = _ranges(self.of_term[terms], n), np.repeat(q, n)
         block = self.block[at]
-        upper = np.bincount(block, q[row] * self.most[at], self.n_blocks)
+        upper = np.bincount(block, weight * self.most[at], self.n_blocks)
         order = np.argsort(-upper, kind="stable")
+        first = order[: max(1, self.n_blocks // 4)]
         best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
-        for g in range(0, self.n_blocks, step):
-            own = order[g : g + step]
+        for own in (first, order[len(first) :]):
             least = best_s[-1] if len(best_s) == k else 0.0
-            if upper[own[0]] <= 0 or upper[own[0]] < least - 1e-12:
+            own = own[(upper[own] > 0) & (upper[own] >= least - 1e-12)]
+            if not len(own):
                 break
             visited = np.zeros(self.n_blocks, bool)
             visited[own] = True
             some = np.flatnonzero(visited[block])
-            post, which = _ranges(self.start[at[some]], self.end[at[some]])
-            s = np.round(np.bincount(self.example[post], q[row[some]][which] * self.weight[post], self.n_examples), 12)
-            keep = (s > 0) & (s >= least)
-            if 0 <= without < len(keep):
-                keep[without] = False
-            e = np.flatnonzero(keep)
+            count = self.count[at[some]]
+            post = _ranges(self.start[at[some]], count)
+            s = np.round(np.bincount(self.example[post], np.repeat(weight[some], count) * self.weight[post], self.n_examples), 12)
+            if 0 <= without < len(s):
+                s[without] = 0.0
+            e = np.flatnonzero((s > 0) & (s >= least))
+            if len(e) > k:
+                e = e[s[e] >= np.partition(s[e], len(e) - k)[len(e) - k]]
             s, e = np.concatenate([best_s, s[e]]), np.concatenate([best_e, e])
             top = np.lexsort((e, -s))[:k]
             best_s, best_e = s[top], e[top]
