@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensolith.functions import metrics as M
+from ensolith.operators import ranks as K
 
 
 def score_targets(simulated: DataFrame, targets: DataFrame, method: str = "relative_error", tolerance: float = 0.2) -> DataFrame:
@@ -19,7 +20,7 @@ def score_targets(simulated: DataFrame, targets: DataFrame, method: str = "relat
 def rank_cases(scored: DataFrame, how: str = "rmsre") -> DataFrame:
     """(case_id, composite, n_satisfied, rank): ascending composite, then case_id."""
     c = scored.groupBy("case_id").agg(M.composite(F.col("cost"), how).alias("composite"), F.count_if("satisfied").alias("n_satisfied"))
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.col("composite").asc_nulls_last(), "case_id")))
+    return K.numbered(c, [F.col("composite").asc_nulls_last(), F.col("case_id").asc()])
 
 
 def best_cases(ranked: DataFrame, within: int = 10) -> DataFrame:
@@ -43,18 +44,15 @@ def violation(simulated: DataFrame, targets: DataFrame, n_targets: int) -> DataF
     return out.select("case_id", F.when(full, F.col("v")).alias("v"), F.when(full, F.col("binding")).alias("binding"))
 
 
-def average_rank(df: DataFrame, value: str, out: str, partition: list[str] | None = None) -> DataFrame:
-    """Ranks from 1, ties averaged."""
-    w = Window.partitionBy(*(partition or []))
-    tie = Window.partitionBy(*(partition or []), value)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(tie) - 1) / 2)
-
-
 def compare_rankings(cases: DataFrame, a: str, b: str, top: int) -> DataFrame:
-    """Overlap of the two top lists, Spearman correlation, and whether both name the same best case."""
-    r = average_rank(average_rank(cases, a, "ra"), b, "rb")
-    r = r.withColumn("ka", F.row_number().over(Window.orderBy(a, "case_id"))).withColumn("kb", F.row_number().over(Window.orderBy(b, "case_id")))
-    return r.agg(F.count_if((F.col("ka") <= top) & (F.col("kb") <= top)).alias("overlap"), M.correlation(F.col("ra"), F.col("rb")).alias("spearman"), (F.min_by("case_id", "ka") == F.min_by("case_id", "kb")).alias("same_best"))
+    """Overlap of the two top lists, Spearman correlation (null below three cases), and whether both name the same best case."""
+    r = K.average_ranks(K.average_ranks(cases, a, "case_id", "ra"), b, "case_id", "rb")
+    first = lambda v: F.struct(F.col(v), F.col("case_id"))
+    lists = [cases.orderBy(F.col(v).asc_nulls_last(), "case_id").limit(top).select("case_id") for v in (a, b)]
+    shared = lists[0].join(lists[1], "case_id").agg(F.count("*").alias("overlap"))
+    spearman = F.when(F.count("*") >= 3, M.correlation(F.col("ra"), F.col("rb")))
+    whole = r.agg(spearman.alias("spearman"), (F.min_by("case_id", first(a)) == F.min_by("case_id", first(b))).alias("same_best"))
+    return shared.join(whole, F.lit(True))  # one row each
 
 
 def complete_blocks(df: DataFrame, index: str, size: int, value: str) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ensolith.lineage import cut
+from ensolith.operators.ranks import kth_smallest, numbered
+
 
 def elementary_effects(steps: DataFrame, trajectory: str, step: str, changed: str, x: str, y: str) -> DataFrame:
     """mu, mu_star and sigma of each input from trajectories in which one input changes at a time."""
@@ -19,26 +22,36 @@ def elementary_effects(steps: DataFrame, trajectory: str, step: str, changed: st
 
 def conformal_radius(scores: DataFrame, score: str, alpha: float, keys: list[str]) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest score of each group; infinite where there are too few."""
-    w = Window.partitionBy(*keys)
-    r = scores.where(F.col(score).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(score))).withColumn("_n", F.count("*").over(w))
-    need = F.ceil((F.col("_n") + 1) * (1 - alpha))
-    return r.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("_k") == need, F.col(score))), F.lit(float("inf"))).alias("radius"), F.max("_n").alias("n"))
+    found = kth_smallest(scores, keys, score, F.ceil((F.col("n") + 1) * (1 - alpha)))
+    return found.select(*keys, F.coalesce("kth", F.lit(float("inf"))).alias("radius"), "n")
 
 
 def pawn(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """Median over slices of x of the largest distance between the slice's and the overall distribution of y.
 
-    Both distributions are counted at the distinct values of y, so tied values move together.
+    Slices hold equally many rows (the first ones a row more). Both distributions are counted at
+    the distinct values of y, so tied values move together; the counts are summed along y in
+    the ranges that they are dealt by.
     """
-    sliced = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("slice", F.ntile(bins).over(Window.orderBy(x, y)))
-    counts = sliced.groupBy(y, "slice").agg(F.count("*").alias("c"))
-    values = counts.groupBy(y).agg(F.sum("c").alias("all"))
-    grid = values.crossJoin(sliced.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("slice")))
-    g = grid.join(counts, [y, "slice"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    w = Window.partitionBy("slice").orderBy(y).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("slice")
-    gap = F.abs(F.sum("c").over(w) / F.sum("c").over(whole) - F.sum("all").over(w) / F.sum("all").over(whole))
-    return g.withColumn("gap", gap).groupBy("slice").agg(F.max("gap").alias("ks")).agg(F.expr("median(ks)").alias("pawn"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    n = known.count()
+    rows = numbered(known.withColumn("_id", F.monotonically_increasing_id()), [F.col("_x"), F.col("_y"), F.col("_id")], "_r")
+    small, more = n // bins, n % bins
+    wide = more * (small + 1)
+    place = F.col("_r") - 1
+    slice_ = F.when(place < wide, F.floor(place / (small + 1))).otherwise(more + F.floor((place - wide) / max(1, small))).cast("int")
+    counts = rows.withColumn("_s", slice_).groupBy("_y").pivot("_s", list(range(bins))).count().na.fill(0)
+    names = [str(k) for k in range(bins)]
+    totals = {name: small + (1 if k < more else 0) for k, name in enumerate(names)}
+    parts = cut(counts.repartitionByRange("_y").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sums = parts.groupBy("_part").agg(*(F.sum(c).alias(f"_t{c}") for c in names))
+    sums = sums.select("_part", *(F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_o{c}") for c in names))
+    within = Window.partitionBy("_part").orderBy("_y").rowsBetween(Window.unboundedPreceding, 0)
+    upto = parts.join(F.broadcast(sums), "_part").select(*((F.sum(c).over(within) + F.col(f"_o{c}")).alias(c) for c in names))
+    every = sum((F.col(c) for c in names), F.lit(0)) / max(1, n)
+    largest = upto.agg(*(F.max(F.abs(F.col(c) / totals[c] - every)).alias(c) for c in names if totals[c]))
+    return largest.select(F.explode(F.array(*largest.columns)).alias("ks")).agg(F.median("ks").alias("pawn"))
 
 
 def coverage(df: DataFrame, truth: Column, low: Column, high: Column) -> DataFrame:
@@ -54,9 +67,9 @@ def latin_hypercube(spark, n: int, names: list[str], seed: int) -> DataFrame:
     """n points in the unit box, each of the n slices of every side hit once: (sample, one column for each name)."""
     out = spark.range(n).withColumnRenamed("id", "sample")
     for k, name in enumerate(names):
-        order = Window.orderBy(F.xxhash64(F.col("sample"), F.lit(seed), F.lit(k)))
+        order = F.xxhash64(F.col("sample"), F.lit(seed), F.lit(k))
         jitter = F.pmod(F.xxhash64(F.col("sample"), F.lit(seed), F.lit(k + 1000)), F.lit(1 << 20)) / float(1 << 20)
-        out = out.withColumn(name, (F.row_number().over(order) - 1 + jitter) / n)
+        out = numbered(out, [order, F.col("sample")], "_r").withColumn(name, (F.col("_r") - 1 + jitter) / n).drop("_r")
     return out
 
 

@@ -22,19 +22,19 @@ def d1_morris_design(spark, d):
 @query("WITH n AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, greatest(1, round_even(count(*) * 0.2, 0)) AS k FROM orders) SELECT o_orderkey, o_orderkey > hi - k AS held_out FROM orders, n")
 def d9_block_split(spark, d):
     """The tail of the sequence held out."""
-    return D.block_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return D.hold_out_end(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.2)
 
 
 @query("SELECT p_partkey, p_retailprice >= (SELECT quantile_cont(p_retailprice, 0.8) FROM part) AS held_out FROM part")
 def d9_axis_split(spark, d):
     """The upper tail of one parameter held out."""
-    return D.axis_split(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", "held_out")
+    return D.hold_out(table(spark, d, "part").select("p_partkey", "p_retailprice"), F.col("p_retailprice"), 0.2).select("p_partkey", "held_out")
 
 
 @query("WITH b AS (SELECT min(p_size) AS a, max(p_size) AS z, min(p_retailprice) AS c, max(p_retailprice) AS e FROM part), r AS (SELECT p_partkey, round((abs((p_size - a) / (z - a) - 0.5) + abs((p_retailprice - c) / (e - c) - 0.5)) / 2, 12) AS radius FROM part, b) SELECT p_partkey, round(radius, 6) AS radius, radius >= (SELECT quantile_cont(radius, 0.8) FROM r) AS held_out FROM r")
 def d9_shell_split(spark, d):
     """The outer shell of the box held out."""
-    s = D.shell_split(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+    s = D.hold_out(D.with_radius(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]), F.col("radius"), 0.2)
     return s.select("p_partkey", F.round("radius", 6).alias("radius"), "held_out")
 
 
