@@ -1,4 +1,4 @@
 """All registered queries of the library proper, with their SQL."""
 
-from ensolith.plans import calibration, checks, evaluation, knowledge, records, sequences, studies, transforms  # noqa: F401  they register themselves
+from ensolith.plans import budgets, calibration, checks, evaluation, knowledge, records, sequences, studies, transforms  # noqa: F401  they register themselves
 from ensolith.plans.registry import ORACLES, QUERIES  # noqa: F401
