@@ -18,12 +18,18 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     """(conv_id, turns): the distinct turns of each conversation by number, then role and text.
 
     Null roles and texts are empty strings, turns without a number come first; rows without a
-    conversation id belong to none and are left out.
+    conversation id belong to none and are left out. Repeated turns count once, very long ones are
+    kept whole. Other columns are ignored; an empty table gives an empty result.
     """
     row = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     return row.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
 
 
+def _filled(turns: Column) -> Column:
+    """Turns with empty strings for null roles and texts."""
+    return F.transform(turns, lambda t: F.struct(t["turn"].alias("turn"), F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+
+
 def _head(turn) -> Column:
     return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"))
 
@@ -51,8 +57,11 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     Columns: pair_id, n_common, prompt, chosen and rejected (completions), chosen_spans and
     rejected_spans (what is learnt; all else is masked), status: paired, identical (no turn
     differs: both completions are empty), or unpaired (a side is missing: no prompt, the side's
-    whole conversation is its completion, the other is null). Turns are equal if role and text are.
+    whole conversation is its completion, the other is null). Turns are equal if role and text are;
+    null roles and texts are empty strings. Very long turns are kept whole, repeated pairs stay
+    rows. Other columns are ignored; an empty table gives an empty result.
     """
+    pairs = pairs.select("pair_id", _filled(F.col("chosen")).alias("chosen"), _filled(F.col("rejected")).alias("rejected"))
     a, b = F.col("chosen"), F.col("rejected")
     n = F.least(F.size(a), F.size(b))
     same = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: (x["role"] == y["role"]) & (x["text"] == y["text"]))

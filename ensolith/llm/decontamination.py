@@ -6,15 +6,12 @@ be joined is one word: the rarest, by the words' counts over all documents. Wher
 document has that word, its offset in the window fixes where the window would start; starts
 outside the document are dropped (length and position), the rest compared word by word.
 
-The benchmark is the stated query set: it goes to the tasks in blocks of at most
-``block_bytes`` of text, one pass over the documents for each block, so its size does not
-matter either.
+The benchmark is the stated query set: it goes through the driver to the tasks in blocks of at
+most ``block_bytes`` of text, with one step over the documents for each block.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,8 +101,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, t
 
     A word is hit if it lies in any occurrence of a window. Null text has no words. Items of no
     words, or null, have no windows; repeated items count once; an item without an id hits words
-    but is not listed. Input columns that bear the added names are replaced. All documents are
-    returned, an empty table or benchmark gives no hits.
+    but is not listed. Input columns that bear the added names are replaced. Very long texts are
+    read whole. All documents are returned, repeated rows too; an empty table or benchmark gives
+    no hits.
     """
     own = docs.drop("n_words", "n_hit", "item_ids", "_spans")
     names = own.columns
@@ -142,29 +140,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, t
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of find_contamination; a row for each row of docs."""
     found = find_contamination(docs.select("doc_id", "text"), benchmark, width)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def brute_force(texts: list, items: list[tuple], width: int = 10) -> list[tuple]:
-    """[(n_words, n_hit, n_items, sha256)] by looking for every window at every place, for tests."""
-    import re
-
-    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(X.LOWER))
-    windows: dict = {}
-    for i, t in items:
-        w = words(t)
-        for k in range(max(1, len(w) - width + 1) if w else 0):
-            windows.setdefault(tuple(w[k : k + width]), set()).add(str(i))
-    out = []
-    for t in texts:
-        w, hit, found = words(t), set(), set()
-        for n in {len(k) for k in windows}:
-            for i in range(len(w) - n + 1):
-                if (got := windows.get(tuple(w[i : i + n]))) is not None:
-                    hit |= set(range(i, i + n))
-                    found |= got
-        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
-    return out
-
-

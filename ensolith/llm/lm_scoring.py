@@ -21,7 +21,6 @@ several blocks; else the block has all its counts itself.
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np

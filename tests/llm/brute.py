@@ -188,3 +188,23 @@ def toxicity(rows, labelled, k=15, soften=0.05, floor=0.02):
         found = near(v[row_of[i]])
         out[i] = (min(1, max(0, float(np.interp(raw(found), kx, ky)))) if found else min(none, max(share, 1e-6)), [ids[n] for _, n in found])
     return out
+
+
+def contamination(texts, items, width=10):
+    """[(n_words, n_hit, n_items, sha256)] by looking for every window at every place."""
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER))
+    windows: dict = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - width + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + width]), set()).add(str(i))
+    out = []
+    for t in texts:
+        w, hit, found = words(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if (got := windows.get(tuple(w[i : i + n]))) is not None:
+                    hit |= set(range(i, i + n))
+                    found |= got
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
+    return out

@@ -132,11 +132,19 @@ def test_preference_format(spark):
     assert chat_format.format_pairs(chat_format.neighbours_as_pairs(turns.where("false"))).count() == 0
 
 
+def test_preference_format_of_null_and_very_long_turns(spark):
+    schema = "pair_id long, chosen array<struct<turn:bigint,role:string,text:string>>, rejected array<struct<turn:bigint,role:string,text:string>>"
+    rows = [(1, [(0, None, "a"), (1, "assistant", None)], [(0, None, "a"), (1, "assistant", "x")]), (2, [(0, "user", LONG), (1, "assistant", "y")], [(0, "user", LONG), (1, "assistant", LONG)])]
+    got = {r["pair_id"]: r for r in chat_format.format_pairs(spark.createDataFrame(rows, schema)).collect()}
+    assert (got[1]["n_common"], got[1]["prompt"], got[1]["chosen"]) == (1, "<||>\na<|end|>\n", "<|assistant|>\n<|end|>\n")
+    assert got[2]["n_common"] == 1 and got[2]["prompt"] == f"<|user|>\n{LONG}<|end|>\n" and LONG in got[2]["rejected"]
+
+
 def test_decontamination(docs, none, benchmark, spark):
     got = decontamination.digest(docs, benchmark).collect()
     assert ids(got) == ALL_IDS
     items = [(1, PASSAGE), (4, "Plain, TEXT"), (5, "not anywhere in there at all")]
-    want = dict(zip([i for i, _ in TEXTS], decontamination.brute_force([t for _, t in TEXTS], [*items, ("", "five words")])))
+    want = dict(zip([i for i, _ in TEXTS], brute.contamination([t for _, t in TEXTS], [*items, ("", "five words")])))
     for r in got:
         if r["doc_id"] is not None and r["doc_id"] != 1:
             assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == want[r["doc_id"]]

@@ -2,7 +2,7 @@
 
 import brute
 import corpus_pipeline as P
-from ensolith.llm import bpe, decontamination, queries, toxicity
+from ensolith.llm import bpe, queries, toxicity
 
 
 def pairs(df):
@@ -27,7 +27,7 @@ def test_stages_and_run(spark, sf_dir, tmp_path):
     assert [i for i, _ in before] == [i for i, _ in after]
     assert [(n - gone) for n, gone, _ in cut] == [len((t or "").encode().split()) for _, t in after]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
-    hits = decontamination.brute_force([t for _, t in after], items)
+    hits = brute.contamination([t for _, t in after], items)
     assert pairs(kept[4]) == [r for r, h in zip(after, hits) if not h[1]]
     encoder = bpe.WordEncoder(bpe.tokenizer_spec(queries.tokenizer_path()))
     got = {r["doc_id"]: r["token_ids"] for r in kept[5].collect()}

@@ -5,7 +5,7 @@ import hashlib
 import brute
 import pytest
 
-from ensolith.llm import decontamination, embedding_dedup, lm_scoring, queries, simhash, substring_dedup, suffix_dedup, toxicity
+from ensolith.llm import queries, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +45,7 @@ def test_lm_scores_match_brute_force(spark, sf_dir, documents):
 
 def test_decontamination_matches_brute_force(spark, sf_dir, documents):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
-    want = dict(zip([i for i, _ in documents], decontamination.brute_force([t for _, t in documents], items)))
+    want = dict(zip([i for i, _ in documents], brute.contamination([t for _, t in documents], items)))
     got = by_id(queries.op5_decontamination(spark, sf_dir))
     assert {i: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for i, r in got.items()} == want
     assert any(r["contaminated"] for r in got.values())
