@@ -152,14 +152,17 @@ def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
 
     def marks(block, answers):
         """(starts, ends, first, removed) of the words of the block."""
-        hashes, s, e, first = _words(block)
+        hashes, first = _hashes_of(block)
         one = {b: r for (tag, b), r in answers.items() if tag == b"1"}
         two = {b: r for (tag, b), r in answers.items() if tag == b"2"}
-        removed = np.zeros(len(s), bool)
+        removed = np.zeros(len(hashes), bool)
         if two:
             start, folded = candidates(hashes, first, one)
-            begins, ends = maximal(start[folded.hits(two)], width, len(s))
-            removed = X.covered_spans(begins, ends, len(s))
+            begins, ends = maximal(start[folded.hits(two)], width, len(hashes))
+            removed = X.covered_spans(begins, ends, len(hashes))
+            del start, folded
+        del hashes
+        _, s, e, _ = _words(block)  # once more: what a worker holds at once is dear
         return s, e, first, removed
 
     return pieces, hits.unionByName(repeats), marks

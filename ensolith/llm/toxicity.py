@@ -43,13 +43,14 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order], weight[order]
-        block = self.example // BLOCK
-        self.start = X.group_edges(term, block)  # postings of a term in a block
-        self.count = np.diff(np.append(self.start, len(term)))
-        self.block = block[self.start]
-        self.most = np.maximum.reduceat(self.weight, self.start) if len(self.start) else self.weight
-        self.of_term = np.searchsorted(term[self.start], np.arange(n_terms + 1))
+        term, example, self.weight = term[order], example[order], weight[order]
+        start = X.group_edges(term, example // BLOCK)  # postings of a term in a block
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else self.weight
+        self.of_term = np.searchsorted(term[start], np.arange(n_terms + 1)).astype(np.int32)
+        # every worker holds these: small types
+        self.count = np.diff(np.append(start, len(term))).astype(np.int32)
+        self.block = (example[start] // BLOCK).astype(np.int32)
+        self.start, self.example = start.astype(np.int32), example.astype(np.int32)
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (similarity, example) above zero for distinct terms and their weights; equal similarities by smaller example.
@@ -253,7 +254,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
         m = shared.value
         for batch in batches:
             got = []
-            for _, _, hashes, first in X.text_slices(batch.column(at_text).cast(pa.string())):
+            for _, _, hashes, first in X.text_slices(batch.column(at_text).cast(pa.string()), 1 << 20):
                 got += [m.score(*c) for c in _counts(hashes, first, m.set)]
             p = [s for s, _ in got]
             added = [pa.array(p, pa.float64()), pa.array([int(s >= 0.5) for s in p], pa.int32()), pa.array([[m.ids[e] for _, e in near] for _, near in got], pa.list_(pa.int64())), pa.array([[s for s, _ in near] for _, near in got], pa.list_(pa.float64()))]
