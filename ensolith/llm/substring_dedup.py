@@ -21,13 +21,9 @@ from ensolith.llm import textops as X
 _SECOND = 0xC2B2AE3D27D4EB4F | 5
 
 
-def _words(block: B.Block):
-    return X.words_of(block.buf, block.bounds, X.SPACE_WORDS)
-
-
 def _hashes_of(block: B.Block):
     """(hashes, first word of each document)."""
-    return _words(block)[::3]
+    return X.word_hashes(block.buf, block.bounds, X.SPACE_WORDS)
 
 
 def _windows(hashes: np.ndarray, first: np.ndarray, starts: np.ndarray, width: int, base: int = X.BASE) -> np.ndarray:
@@ -57,20 +53,25 @@ class Folded:
     """
 
     def __init__(self, h: np.ndarray, buckets: int, dtype, by: np.ndarray | None = None):
+        # what a worker holds at once is dear: small types, and nothing kept for longer than it is used
         order = np.argsort(h, kind="stable").astype(np.int32)  # a block is far below 2**31 words
         kinds = h[order]
-        edges = X.group_edges(kinds)
-        count = np.diff(np.append(edges, len(h)))
-        kinds, index = kinds[edges], order[edges]
+        new = np.ones(len(h), bool)
+        new[1:] = kinds[1:] != kinds[:-1]
         inverse = np.empty(len(h), np.int32)
-        inverse[order] = np.repeat(np.arange(len(edges), dtype=np.int32), count)
-        del order
+        inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        edges = np.flatnonzero(new).astype(np.int32)
+        kinds, index = kinds[edges], order[edges]
+        more = np.diff(edges, append=np.int32(len(h))) > 1
+        del order, new, edges
         fp = kinds.astype(dtype)
+        deal = ((kinds >> np.uint64(32) if by is None else by[index]) % np.uint64(buckets)).astype(np.uint32)
+        del kinds, index
         rising = np.argsort(fp, kind="stable").astype(np.int32)
-        deal = (kinds >> np.uint64(32) if by is None else by[index]) % np.uint64(buckets)
         order, self.bounds = X.fan_out(deal[rising], buckets)
         order = rising[order]
-        self.fp, self.more = fp[order], count[order] > 1
+        del rising, deal
+        self.fp, self.more = fp[order], more[order]
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.of = place[inverse]
@@ -162,8 +163,7 @@ def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
             removed = X.covered_spans(begins, ends, len(hashes))
             del start, folded
         del hashes
-        _, s, e, _ = _words(block)  # once more: what a worker holds at once is dear
-        return s, e, first, removed
+        return *X.words_at(block.buf, block.bounds, X.SPACE_WORDS), first, removed
 
     return pieces, hits.unionByName(repeats), marks
 

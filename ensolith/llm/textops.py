@@ -126,6 +126,27 @@ def words_of(buf: np.ndarray, bounds: np.ndarray, words: np.ndarray, lower: bool
     return np.concatenate(hashes), starts, np.concatenate(ends), np.searchsorted(starts, bounds).astype(np.int64)
 
 
+def word_hashes(buf: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first) of words_of alone, which takes less memory."""
+    hashes, first, n = [], [np.zeros(1, np.int64)], 0
+    for i, j in chunks_of(bounds):
+        lo = int(bounds[i])
+        part = buf[lo : int(bounds[j])]
+        s, e = word_spans(part, words)
+        if len(s):
+            hashes.append(span_hashes(prefix_sums(BYTE_CODES[part]), s, e))
+        first.append(n + np.searchsorted(s, bounds[i + 1 : j + 1] - lo))
+        n += len(s)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(first).astype(np.int64)
+
+
+def words_at(buf: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of words_of alone."""
+    found = [(s + lo, e + lo) for i, j in chunks_of(bounds) for lo in [int(bounds[i])] for s, e in [word_spans(buf[lo : int(bounds[j])], words)]]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([s for s, _ in found]), np.concatenate([e for _, e in found])) if found else (none, none)
+
+
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:
     """Mask over words: a window of width words that starts here stays in its document."""
     n = int(first[-1])
