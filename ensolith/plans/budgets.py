@@ -15,13 +15,13 @@ def _round(df, digits, *names):
 _BUDGET = "h AS (SELECT l_suppkey AS case_id, year(l_shipdate) AS y, l_quantity AS flow, CASE l_returnflag WHEN 'N' THEN 'in' WHEN 'A' THEN 'out' ELSE 'other' END AS kind, l_extendedprice / 1000 AS pool FROM lineitem), e AS (SELECT case_id, min(y) AS a, max(y) AS z FROM h GROUP BY 1), b AS (SELECT case_id, coalesce(sum(flow) FILTER (kind = 'in'), 0) AS inflow, coalesce(sum(flow) FILTER (kind = 'out'), 0) AS outflow, avg(pool) FILTER (y = z) - avg(pool) FILTER (y = a) AS change FROM h JOIN e USING (case_id) GROUP BY 1)"
 
 
-@query(f"WITH {_BUDGET} SELECT case_id, round(inflow, 4) AS inflow, round(outflow, 4) AS outflow, round(change, 6) AS change, round(inflow - outflow - change, 5) AS residual, round(abs(inflow - outflow - change) / abs(nullif(inflow, 0)), 6) AS relative, coalesce(abs(inflow - outflow - change) / abs(nullif(inflow, 0)) < 0.1, false) AS closed FROM b")
+@query(f"WITH {_BUDGET} SELECT case_id, round(inflow, 4) AS inflow, round(outflow, 4) AS outflow, round(change, 9) AS change, round(inflow - outflow - change, 8) AS residual, round(abs(inflow - outflow - change) / abs(nullif(inflow, 0)), 6) AS relative, coalesce(abs(inflow - outflow - change) / abs(nullif(inflow, 0)) < 0.1, false) AS closed FROM b")
 def a36_budget_closure(spark, d):
     """Flows against the change of the pool."""
     kind = F.when(F.col("l_returnflag") == "N", "in").when(F.col("l_returnflag") == "A", "out").otherwise("other")
     h = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("case_id"), F.year("l_shipdate").alias("y"), F.col("l_quantity").alias("flow"), kind.alias("kind"), (F.col("l_extendedprice") / 1000).alias("pool"))
     out = B.closure(B.budget(h, ["case_id"], "y", "flow", "kind", "pool"))
-    return _round(_round(_round(out, 4, "inflow", "outflow"), 6, "change", "relative"), 5, "residual")
+    return _round(_round(_round(_round(out, 4, "inflow", "outflow"), 6, "relative"), 9, "change"), 8, "residual")
 
 
 @query("WITH g AS (SELECT l_suppkey AS case_id, l_returnflag AS grp, sum(l_quantity) AS uptake, sum(l_linenumber * 8.0) AS demand FROM lineitem GROUP BY ALL), s AS (SELECT *, uptake / sum(uptake) OVER (PARTITION BY case_id) AS share, uptake / nullif(demand, 0) AS met FROM g) SELECT case_id, grp, round(share, 6) AS share, round(met, 6) AS met, row_number() OVER (PARTITION BY case_id ORDER BY share DESC NULLS LAST, grp) = 1 AS dominant, row_number() OVER (PARTITION BY case_id ORDER BY met NULLS LAST, grp) = 1 AND met IS NOT NULL AS most_limited FROM s")

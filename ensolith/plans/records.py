@@ -45,12 +45,12 @@ def d11_sweep(spark, d):
     return s.select("s_suppkey", "scale", F.round(F.col("s_acctbal") * F.col("scale"), 4).alias("value"))
 
 
-@query("WITH p AS (SELECT l_orderkey AS k, l_linenumber AS z, avg(l_extendedprice * (1 - l_discount)) - avg(l_quantity * 1500.0) AS e FROM lineitem GROUP BY ALL), w AS (SELECT *, z - lag(z, 1, 0) OVER (PARTITION BY k ORDER BY z) AS t, exp(-z / (max(z) OVER (PARTITION BY k))::DOUBLE) AS x FROM p) SELECT k AS profile, round(sqrt(avg(e * e)), 4) AS uniform, round(sqrt(sum(t * e * e) / sum(t)), 4) AS thickness, round(sqrt(sum(x * e * e) / sum(x)), 4) AS exponential FROM w GROUP BY 1")
+@query("WITH p AS (SELECT l_orderkey AS k, l_linenumber AS z, avg(l_extendedprice * (1 - l_discount)) - avg(l_quantity * 1500.0) AS e FROM lineitem GROUP BY ALL), w AS (SELECT *, z - lag(z, 1, 0) OVER (PARTITION BY k ORDER BY z) AS t, exp(-z / (max(z) OVER (PARTITION BY k))::DOUBLE) AS x FROM p) SELECT k AS profile, round(sqrt(avg(e * e)), 7) AS uniform, round(sqrt(sum(t * e * e) / sum(t)), 7) AS thickness, round(sqrt(sum(x * e * e) / sum(x)), 7) AS exponential FROM w GROUP BY 1")
 def a22_profile_cost(spark, d):
     """Errors over depth, layers weighted alike, by thickness and by depth."""
     p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("profile"), F.col("l_linenumber").alias("depth")).agg(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sim"), F.avg(F.col("l_quantity") * 1500.0).alias("obs"))
     costs = V.profile_costs(p, ["profile"], "depth", F.col("sim"), F.col("obs"))
-    return costs.select("profile", *(F.round(c, 4).alias(c) for c in ("uniform", "thickness", "exponential")))
+    return costs.select("profile", *(F.round(c, 7).alias(c) for c in ("uniform", "thickness", "exponential")))
 
 
 @query("WITH s AS (SELECT l_extendedprice AS x, abs(l_extendedprice - l_quantity * 1500) AS e FROM lineitem), q AS (SELECT quantile_cont(x, [0, 0.25, 0.5, 0.75, 1.0]) AS q FROM s), b AS (SELECT (x >= q[2])::INT + (x >= q[3])::INT + (x >= q[4])::INT AS bin, x, e, q FROM s, q) SELECT CAST(bin AS BIGINT) AS bin, round(any_value(q[bin + 1]), 3) AS low, round(any_value(q[bin + 2]), 3) AS high, count(*) AS n, round(avg(e), 4) AS mean_error, round(median(e), 4) AS median_error FROM b GROUP BY 1")

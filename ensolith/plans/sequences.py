@@ -96,11 +96,11 @@ def w6_mortality_events(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("peak", "mean", "severity")})
 
 
-@query("WITH g AS (SELECT user_id, event_type, avg(value) AS m, max(value) AS h, stddev_pop(value) AS s, sum(value) AS t FROM events GROUP BY ALL) SELECT user_id, event_type, round(m, 4) AS mean, round(h, 4) AS high, round(s, 4) AS sd, round(t, 4) AS total, round(t / nullif(sum(t) OVER w, 0), 6) AS share, row_number() OVER (PARTITION BY user_id ORDER BY t DESC NULLS LAST, event_type) AS rank, row_number() OVER (PARTITION BY user_id ORDER BY t DESC NULLS LAST, event_type) = 1 AS dominant FROM g WINDOW w AS (PARTITION BY user_id)")
+@query("WITH g AS (SELECT user_id, event_type, avg(value) AS m, max(value) AS h, stddev_pop(value) AS s, sum(value) AS t FROM events GROUP BY ALL) SELECT user_id, event_type, round(m, 7) AS mean, round(h, 4) AS high, round(s, 7) AS sd, round(t, 4) AS total, round(t / nullif(sum(t) OVER w, 0), 6) AS share, row_number() OVER (PARTITION BY user_id ORDER BY t DESC NULLS LAST, event_type) AS rank, row_number() OVER (PARTITION BY user_id ORDER BY t DESC NULLS LAST, event_type) = 1 AS dominant FROM g WINDOW w AS (PARTITION BY user_id)")
 def a34_cause_shares(spark, d):
     """Statistics, shares and ranks of causes, the dominant one marked."""
     out = E.cause_shares(_events(spark, d), ["user_id"], "event_type", "value")
-    return out.withColumns({c: F.round(c, 4) for c in ("mean", "high", "sd", "total")} | {"share": F.round("share", 6), "rank": F.col("rank").cast("long")})
+    return out.withColumns({"mean": F.round("mean", 7), "high": F.round("high", 4), "sd": F.round("sd", 7), "total": F.round("total", 4), "share": F.round("share", 6), "rank": F.col("rank").cast("long")})
 
 
 @query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS z FROM events), g AS (SELECT user_id, avg(value) FILTER (a <= 12) AS f, avg(value) FILTER (z <= 12) AS l FROM n GROUP BY 1) SELECT user_id, round(f, 4) AS first, round(l, 4) AS last, round(100 * (l - f) / f, 4) AS change_pct, CASE WHEN l / f < 0.5 THEN 'severe' WHEN l / f < 0.8 THEN 'moderate' WHEN l / f < 0.95 THEN 'mild' ELSE 'met' END AS band FROM g")
