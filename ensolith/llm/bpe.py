@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ensolith.llm.textops import give_back_memory
 
 #: Changes the cost, not the result: words whose encodings a worker keeps.
-MAX_CACHED_WORDS = 200_000
+MAX_CACHED_WORDS = 100_000
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
 
 

@@ -19,6 +19,8 @@ from ensolith.llm import blocks as B
 from ensolith.llm import textops as X
 
 _SECOND = 0xC2B2AE3D27D4EB4F | 5
+#: A block takes about 25 times its text of a worker's memory.
+BLOCK_BYTES = 5 << 20
 
 
 def _hashes_of(block: B.Block):
@@ -119,7 +121,7 @@ def maximal(starts: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndar
     return starts[edges], starts[np.append(edges[1:], len(starts)) - 1] + width
 
 
-def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES, carry: list[str] | None = None):
+def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None):
     """(pieces, answers, marks): what ``remove_repeats`` and ``kept_texts`` settle from."""
     size = (width + 1) // 2
     n = B.n_blocks(docs, text_col, block_bytes)
@@ -188,7 +190,7 @@ def _kept(block, s, e, first, removed) -> list[bytes | None]:
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: (doc_id, n_words, n_removed, kept_text), kept words joined by one space.
 
     A word goes if any window of ``width`` words that covers it starts at another place too,
