@@ -232,7 +232,8 @@ def linked(distinct: DataFrame, distance: int = 2, split_over: int = SPLIT_GROUP
     dealt = dealt.select("fp", F.xxhash64("k", "v", "k2", "v2").alias("key"))
 
     def stars(part):
-        yield _stars(*(part.column(c).to_numpy().copy() for c in ("fp", "key")), distance)
+        fp, key = (part.column(c).to_numpy().copy() for c in ("fp", "key"))
+        yield _stars(fp.view(np.uint64), key, distance)
 
     return _by_group(dealt, stars, "a long, b long")
 
