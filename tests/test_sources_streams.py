@@ -25,10 +25,10 @@ def test_each_morris_step_moves_one_parameter_by_delta(spark):
 def test_splits_refuse_bad_arguments(spark):
     df = spark.range(10)
     with pytest.raises(ValueError):
-        D.block_split(df, "id", 1.0)
+        D.hold_out_end(df, "id", 1.0)
     with pytest.raises(ValueError):
-        D.axis_split(df, "id", 0.2, "middle")
-    assert [r["id"] for r in D.block_split(df, "id", 0.2, "head").where("held_out").orderBy("id").collect()] == [0, 1]
+        D.hold_out(df, F.col("id"), 0.0)
+    assert [r["id"] for r in D.hold_out_end(df, "id", 0.2, first=True).where("held_out").orderBy("id").collect()] == [0, 1]
 
 
 def test_text_sources(spark, tmp_path):
