@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ensolith.llm import bpe, chat_format, decontamination, embedding_dedup, license_scan, lm_scoring, simhash, substring_dedup, suffix_dedup, toxicity
+from ensolith.llm import bpe, chat_format, decontamination, embedding_dedup, license_scan, lm_scoring, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -55,13 +55,17 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, distance=2, similarity=None)
 
 
+def op11_token_counts(spark, sf_dir):
+    return token_counts.digest(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_license_scan, op4_preference_format, op5_decontamination, op6_substring_dedup, op7_bpe, op8_embedding_dedup, op9_suffix_dedup, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_license_scan, op4_preference_format, op5_decontamination, op6_substring_dedup, op7_bpe, op8_embedding_dedup, op9_suffix_dedup, op10_simhash, op11_token_counts, pipeline)}
 
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
