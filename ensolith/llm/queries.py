@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ensolith.llm import bpe, centroid_clustering, chat_format, decontamination, embedding_dedup, license_scan, lm_scoring, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from ensolith.llm import bpe, centroid_clustering, chat_format, decontamination, embedding_dedup, license_scan, lm_scoring, simhash, spelling_variants, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,18 +63,23 @@ def op12_centroid_clustering(spark, sf_dir):
     return centroid_clustering.sort_means(_table(spark, sf_dir, "embeddings"))[0]
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_license_scan, op4_preference_format, op5_decontamination, op6_substring_dedup, op7_bpe, op8_embedding_dedup, op9_suffix_dedup, op10_simhash, op11_token_counts, op12_centroid_clustering, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_license_scan, op4_preference_format, op5_decontamination, op6_substring_dedup, op7_bpe, op8_embedding_dedup, op9_suffix_dedup, op10_simhash, op11_token_counts, op12_centroid_clustering, op13_spelling_variants, pipeline)}
 
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLES = {
     "op12_centroid_clustering": centroid_clustering.oracle(),
+    "op13_spelling_variants": spelling_variants.oracle(),
     "op3_license_scan": license_scan.oracle(),
     "op4_preference_format": chat_format.oracle(),
     "op5_decontamination": f"""
