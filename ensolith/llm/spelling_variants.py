@@ -94,17 +94,28 @@ def bigram_order(words: DataFrame) -> dict[str, int]:
     return {r["gram"]: k for k, r in enumerate(sorted(rows, key=lambda r: (r["n"], r["gram"])))}
 
 
+def _halves(word: str, more: int) -> tuple[int, int]:
+    """Hashes of a word's two halves, without the ``more`` letters between them."""
+    h = (len(word) - more) // 2
+    return tuple(zlib.crc32(x.encode()) - (1 << 31) for x in (word[:h], word[h + more :]))
+
+
 def rare_places(words: DataFrame) -> DataFrame:
-    """(word, n, size, rare): the three rarest bigrams of each word, as rank * 2^32 + place, in order."""
+    """(word, n, size, rare, halves): the three rarest bigrams of each word, as rank * 2^32 + place, in order.
+
+    Whatever letter differs, one half of the shorter word is also that of the other: halves are
+    hashes of the two of a word, then of those left if the letter in its middle is the one too many.
+    """
     order = bigram_order(words)
 
     def run(batches):
         for batch in batches:
             names = batch.column(0).to_pylist()
             rare = [sorted((order[w[i : i + 2]] << _BITS) + i for i in range(len(w) - 1))[:PREFIX] for w in names]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, names), pa.int32()), pa.array(rare, pa.list_(pa.int64()))], names=["word", "n", "size", "rare"])
+            halves = [pa.array(x, pa.int32()) for x in zip(*([*_halves(w, 0), *_halves(w, 1)] for w in names))] or [pa.array([], pa.int32())] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, names), pa.int32()), pa.array(rare, pa.list_(pa.int64())), *halves], names=["word", "n", "size", "rare", "head", "tail", "head2", "tail2"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, size int, rare array<long>")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, size int, rare array<long>, head int, tail int, head2 int, tail2 int")
 
 
 def near_pairs(words: DataFrame, hot: int = 4096) -> DataFrame:
@@ -115,20 +126,21 @@ def near_pairs(words: DataFrame, hot: int = 4096) -> DataFrame:
     that size: its words are dealt out, and who asks for it asks all shares.
     """
     held = cut(rare_places(words))
-    index = held.select(F.explode("rare").alias("at"), "size", "word", "n", "rare")
+    index = held.select(F.explode("rare").alias("at"), "*")
     hot = max(hot, held.count() * PREFIX // 20_000)
     shares = index.groupBy("at", "size").agg(F.count("*").alias("many")).where(F.col("many") > hot)
     shares = F.broadcast(shares.select("at", "size", F.ceil(F.col("many") / hot).cast("int").alias("shares")))  # 20000 rows at most
     share_of = F.coalesce("shares", F.lit(1))
-    right = index.join(shares, ["at", "size"], "left").select("at", "size", F.pmod(F.xxhash64("word"), share_of).cast("int").alias("share"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("rare").alias("b_rare"))
+    right = index.join(shares, ["at", "size"], "left").select("at", "size", F.pmod(F.xxhash64("word"), share_of).cast("int").alias("share"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("rare").alias("b_rare"), *(F.col(c).alias(f"b_{c}") for c in ("head", "tail", "head2", "tail2")))
     ask = lambda on, more: F.struct((F.col("at") + on).alias("at"), (F.col("size") + more).alias("size"))
     asks = F.explode(F.array(ask(0, 0), ask(0, 1), ask(1, 1)))
-    left = index.select(asks.alias("ask"), F.col("at").alias("own"), F.col("size").alias("a_size"), F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("rare").alias("a_rare"))
-    left = left.select("ask.at", "ask.size", "own", "a_size", "a", "a_n", "a_rare").join(shares, ["at", "size"], "left")
+    left = index.select(asks.alias("ask"), F.col("at").alias("own"), F.col("size").alias("a_size"), F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("rare").alias("a_rare"), "head", "tail")
+    left = left.select("ask.*", *left.columns[1:]).join(shares, ["at", "size"], "left")
     left = left.withColumn("share", F.explode(F.sequence(F.lit(0), share_of - 1))).drop("shares")
     longer = F.col("size") > F.col("a_size")
     met = left.join(right, ["at", "size", "share"])
-    met = met.where((longer | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+    half = F.when(longer, (F.col("head") == F.col("b_head2")) | (F.col("tail") == F.col("b_tail2"))).otherwise((F.col("head") == F.col("b_head")) | (F.col("tail") == F.col("b_tail")))
+    met = met.where(half & (longer | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
     # of several keys that the two share, the first one tells
     shared = F.filter("a_rare", lambda x: F.array_contains("b_rare", x) | (longer & F.array_contains("b_rare", x + 1)))
     first = (F.element_at(shared, 1) == F.col("own")) & ((F.col("at") == F.col("own")) | ~F.array_contains("b_rare", F.col("own")))
