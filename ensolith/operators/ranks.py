@@ -44,3 +44,36 @@ def kth_smallest(df: DataFrame, keys: list[str], value: str, place: Column) -> D
     inside = binned.join(hit, [*keys, "_bin"]).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_x")))
     found = inside.where("_r = _within").select(*keys, F.col("_x").alias("kth"))
     return spans.select(*keys, "n").join(found, keys, "left")
+
+
+def at_place(values: DataFrame, place: int) -> float | None:
+    """The value at a place from 1 of a table of one column x without nulls or infinities; null beyond its ends.
+
+    Each pass counts BINS bins of the span that is left and goes on with the smallest and
+    largest value of the bin that holds the place, until these are one: an outlier costs a pass,
+    and nothing is ordered.
+    """
+    left, inside = values, place
+    span = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
+    if not 1 <= place <= span["n"]:
+        return None
+    lo, hi = span["lo"], span["hi"]
+    while lo < hi:
+        # halves, so that the width of the widest span is still a number
+        share = (F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2)
+        bins = left.groupBy(F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int")).alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        for r in sorted(bins.collect(), key=lambda r: r["bin"]):  # BINS rows at most
+            if inside <= r["n"]:
+                lo, hi = r["lo"], r["hi"]
+                break
+            inside -= r["n"]
+        left = values.where(F.col("x").between(lo, hi))
+    return lo
+
+
+def quantile(df: DataFrame, value: str, level: float) -> float | None:
+    """The exact quantile of a column's finite values, between its two nearest order statistics; null of no values."""
+    values = cut(df.select(F.col(value).cast("double").alias("x")).where(F.abs("x") < float("inf")))
+    at = (values.count() - 1) * level
+    low = at_place(values, int(at) + 1)
+    return low if low is None or at == int(at) else low + (at - int(at)) * (at_place(values, int(at) + 2) - low)

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ensolith.lineage import cut
 from ensolith.operators.ranks import kth_smallest, numbered
@@ -152,27 +148,3 @@ def crossed_indices(evaluated: DataFrame, names: list[str], y: str) -> DataFrame
         c = F.col(f"_A_{x}")
         aggs.append(F.struct(F.lit(x).alias("input"), F.try_divide(F.avg(b * (c - a)), spread).alias("first"), F.try_divide(F.avg((a - c) * (a - c)) / 2, spread).alias("total")))
     return wide.agg(F.array(*aggs).alias("_i")).select(F.inline("_i"))
-
-
-def hull_gate(training: DataFrame, asked: DataFrame, k: int = 5, quantile: float = 0.99) -> DataFrame:
-    """(query_id, distance, inside) of points (query_id, q) against training points (item_id, v).
-
-    distance is that to the k-th nearest training point; inside means it is no larger than the
-    given quantile of the training points' own distances to their k-th nearest other.
-    """
-    from ensolith.operators.retrieval import nearest
-
-    own = nearest(training.select(F.col("item_id").alias("query_id"), F.col("v").alias("q")), training, k + 1, metric="euclidean").where(F.col("rank") == k + 1)
-    limit = own.agg(F.percentile("similarity", F.lit(quantile)).alias("_limit"))
-    far = nearest(asked, training, k, metric="euclidean").where(F.col("rank") == k).select("query_id", F.col("similarity").alias("distance"))
-    return far.crossJoin(F.broadcast(limit)).select("query_id", "distance", (F.col("distance") <= F.col("_limit")).alias("inside"))  # one row
-
-
-def normal_band(mu: Column, sd: Column, low: Column, high: Column) -> Column:
-    """Probability of a normal value between two limits."""
-    return _normal_cdf((high - mu) / sd) - _normal_cdf((low - mu) / sd)
-
-
-@F.pandas_udf(DoubleType())
-def _normal_cdf(z: pd.Series) -> pd.Series:
-    return pd.Series([0.5 * math.erfc(-x / math.sqrt(2)) if x == x else None for x in z.astype(float)], dtype="float64")

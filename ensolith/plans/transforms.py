@@ -137,34 +137,6 @@ def d8_crossed_indices(spark, d):
     return _round(V.crossed_indices(e, names, "v"), 6, "first", "total")
 
 
-_VEC = "t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label = 1), q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0)"
-
-
-def _training(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
-    return e.where("label = 1").select(F.col("vec_id").alias("item_id"), "v"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-
-
-@query(f"WITH {_VEC}, s AS (SELECT a.vec_id, list_distance(a.v, b.v) AS x, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM t a, t b), g AS (SELECT quantile_cont(x, 0.99) AS limit_ FROM s WHERE r = 6), p AS (SELECT q.vec_id, list_distance(q.v, t.v) AS x, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS r FROM q, t) SELECT vec_id AS query_id, round(x, 5) AS distance, x <= limit_ AS inside FROM p, g WHERE r = 5")
-def m3_hull_gate(spark, d):
-    """Is a point as near to the training points as these are to each other."""
-    return _round(V.hull_gate(*_training(spark, d)), 5, "distance")
-
-
-@query(f"WITH {_VEC} SELECT vec_id AS query_id, arg_min(item, (x, item)) AS item_id, round(min(x), 5) AS distance FROM (SELECT q.vec_id, t.vec_id AS item, list_max(list_transform(range(1, 65), lambda i: abs(q.v[i] - t.v[i]))) AS x FROM q, t) GROUP BY 1")
-def m26_min_distance(spark, d):
-    """Nearest training point by the largest difference of any component."""
-    t, q = _training(spark, d)
-    return R.nearest(q, t, 1, metric="largest").select("query_id", "item_id", F.round("similarity", 5).alias("distance"))
-
-
-@query()
-def m24_band_probability(spark, d):
-    """Chance of a normal value in a band (rows only: the tests hold it against the normal distribution)."""
-    q = F.col("l_quantity")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.normal_band(q, F.col("l_linenumber") * 2.0, F.lit(20.0), F.lit(30.0)).alias("p"))
-
-
 @query("WITH q(id, t) AS (SELECT o_orderkey, 'How does leaf_c' || (o_orderkey % 3) || ' respond in PFT #' || (o_orderkey % 12) || ' under drought?' FROM orders) SELECT id AS o_orderkey, 'parameter' AS kind, 'leaf_c' || (id % 3) AS entity FROM q UNION ALL SELECT id, 'group', 'pft' || (id % 12) FROM q UNION ALL SELECT id, 'mechanism', 'water' FROM q")
 def f4_entities(spark, d):
     """parameters, groups and mechanisms named in a question."""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ensolith.functions import columns as C
+from ensolith.operators import acquisition as A
 from ensolith.operators import designs as D
 from ensolith.operators import evaluation as E
 from ensolith.operators import ranks as K
@@ -40,7 +41,7 @@ def test_chunks_cover_their_text(spark):
 
 def test_band_probability_is_that_of_the_normal_distribution(spark):
     rows = spark.createDataFrame([(0.0, 1.0), (5.0, 2.0), (-3.0, 0.5)], "m double, s double")
-    for r in rows.select("m", "s", V.normal_band(F.col("m"), F.col("s"), F.lit(-1.0), F.lit(4.0)).alias("p")).collect():
+    for r in rows.select("m", "s", A.band_probability(F.col("m"), F.col("s"), F.lit(-1.0), F.lit(4.0)).alias("p")).collect():
         n = statistics.NormalDist(r["m"], r["s"])
         assert r["p"] == pytest.approx(n.cdf(4) - n.cdf(-1), abs=1e-12)
 
