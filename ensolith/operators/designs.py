@@ -74,3 +74,19 @@ def with_radius(df: DataFrame, columns: list[str]) -> DataFrame:
 def sweep(design: DataFrame, name: str, values: list[float]) -> DataFrame:
     """Every row of a design with each value of one more parameter."""
     return design.select("*", F.explode(F.array(*(F.lit(float(v)) for v in values))).alias(name))
+
+
+def in_box(design: DataFrame, bounds: list[tuple[str, float, float]]) -> DataFrame:
+    """A design of the unit box in native units: (name, lower, upper) of each of its parameters."""
+    return design.withColumns({name: F.lit(low) + F.col(name) * (high - low) for name, low, high in bounds})
+
+
+def subsets(groups: DataFrame, members: str, most: int = 16) -> DataFrame:
+    """groups with experiment and its members: every non-empty choice from an array of distinct members, in the array's order.
+
+    Experiment numbers are the choices as bits. A group of more than ``most`` members is refused, as it doubles with each.
+    """
+    size = F.size(members)
+    checked = F.when(size > most, F.raise_error(F.concat(F.lit("too many members to combine: "), size.cast("string")))).otherwise(size)
+    each = groups.where(size > 0).withColumn("experiment", F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), checked) - 1)))
+    return each.withColumn(members, F.filter(members, lambda x, i: F.call_function("bit_get", F.col("experiment"), i).cast("int") == 1))

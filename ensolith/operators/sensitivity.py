@@ -72,7 +72,7 @@ def latin_hypercube(spark, n: int, names: list[str], seed: int) -> DataFrame:
 def mixed(key: Column, salt: Column | int, buckets: int) -> Column:
     """A repeatable pseudo-random number below ``buckets`` of an integer key, by plain arithmetic."""
     salt = F.lit(salt) if isinstance(salt, int) else salt
-    x = F.pmod(key * 48271 + salt * 30269 + 12345, F.lit(2147483647))
+    x = F.pmod(key.cast("long") * 48271 + salt.cast("long") * 30269 + 12345, F.lit(2147483647))
     return F.pmod(F.pmod(x * 16807, F.lit(2147483647)), F.lit(buckets))
 
 
@@ -124,27 +124,3 @@ def bootstrap_r2(df: DataFrame, key: Column, truth: str, predicted: str, turns:
     g = rows.withColumn("_w", w).groupBy("turn").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_t")).alias("s"), F.sum(F.col("_w") * F.col("_t") ** 2).alias("q"), F.sum(F.col("_w") * (F.col("_t") - F.col("_p")) ** 2).alias("e"))
     r = g.select((1 - F.try_divide(F.col("e"), F.col("q") - F.col("s") * F.col("s") / F.col("n"))).alias("r2"))
     return r.agg(F.avg((F.col("r2") >= least).cast("double")).alias("pass_rate"), F.min("r2").alias("low"), F.median("r2").alias("middle"), F.max("r2").alias("high"))
-
-
-def crossed_design(spark, n: int, names: list[str], seed: int) -> DataFrame:
-    """Rows of the matrices A, B and, for each name, A with that column of B: (sample, matrix, one column for each name)."""
-    base = spark.range(n).withColumnRenamed("id", "sample")
-    unit = lambda k: mixed(F.col("sample"), seed + k, 1_000_000) / 1e6
-    a, b = ([unit(k + shift) for k in range(len(names))] for shift in (0, len(names)))
-    out = None
-    for matrix, picked in [("A", a), ("B", b), *((f"A_{x}", [b[k] if x == y else a[k] for k, y in enumerate(names)]) for x in names)]:
-        own = base.select("sample", F.lit(matrix).alias("matrix"), *(c.alias(x) for c, x in zip(picked, names)))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def crossed_indices(evaluated: DataFrame, names: list[str], y: str) -> DataFrame:
-    """(input, first, total) order indices of the evaluated crossed design."""
-    wide = evaluated.groupBy("sample").agg(*(F.max(F.when(F.col("matrix") == m, F.col(y))).alias(f"_{m}") for m in ("A", "B", *(f"A_{x}" for x in names))))
-    a, b = F.col("_A"), F.col("_B")
-    spread = (F.var_pop(a) + F.var_pop(b)) / 2
-    aggs = []
-    for x in names:
-        c = F.col(f"_A_{x}")
-        aggs.append(F.struct(F.lit(x).alias("input"), F.try_divide(F.avg(b * (c - a)), spread).alias("first"), F.try_divide(F.avg((a - c) * (a - c)) / 2, spread).alias("total")))
-    return wide.agg(F.array(*aggs).alias("_i")).select(F.inline("_i"))

@@ -305,20 +305,6 @@ def m1_pawn(spark, d):
     return _r(V.pawn(table(spark, d, "lineitem").select("l_extendedprice", "l_quantity"), "l_extendedprice", "l_quantity", 10), "pawn", digits=6)
 
 
-@query()
-def d3_latin_hypercube(spark, d):
-    """D3: a Latin hypercube design (rows only: the tests check every slice is hit once)."""
-    return V.latin_hypercube(spark, 256, ["a", "b", "c"], 7)
-
-
-@query("SELECT e AS experiment, string_agg(name, ',' ORDER BY k) AS members FROM (SELECT unnest(range(1, 8)) AS e) x JOIN (VALUES (0, 'A'), (1, 'B'), (2, 'C')) v(k, name) ON (e >> k) & 1 = 1 GROUP BY 1")
-def d12_factorial_experiments(spark, d):
-    """All non-empty subsets of the proposed changes."""
-    names = F.array(F.lit("A"), F.lit("B"), F.lit("C"))
-    e = spark.range(1, 8).select(F.col("id").alias("experiment"), names.alias("n"))
-    return e.select("experiment", F.array_join(F.filter("n", lambda x, i: F.shiftright(F.col("experiment").cast("int"), 0).bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0), ",").alias("members"))
-
-
 @query("SELECT o_custkey AS case_id, o_orderkey AS eval, min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS best FROM orders")
 def w12_best_so_far(spark, d):
     """The best value up to each evaluation."""

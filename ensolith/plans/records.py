@@ -13,12 +13,6 @@ from ensolith.plans.calibration import _SC, _scored
 from ensolith.plans.registry import query, table
 
 
-@query()
-def d1_morris_design(spark, d):
-    """Trajectories (rows only: the tests check that each step moves one parameter by delta)."""
-    return D.morris_trajectories(spark, 512, ["a", "b", "c", "d"], 4, 11)
-
-
 @query("WITH n AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, greatest(1, round_even(count(*) * 0.2, 0)) AS k FROM orders) SELECT o_orderkey, o_orderkey > hi - k AS held_out FROM orders, n")
 def d9_block_split(spark, d):
     """The tail of the sequence held out."""

@@ -125,18 +125,6 @@ def m19_bootstrap(spark, d):
     return _round(_round(V.bootstrap_r2(li, F.col("k"), "t", "p", 20, 0.55), 6, "pass_rate"), 5, "low", "middle", "high")
 
 
-_U = ", ".join(f"{_mixed('i', str(5 + k), 1000000)} / 1e6 AS {n}" for k, n in enumerate(["ax", "ay", "az", "bx", "by_", "bz"]))
-_Y = lambda x, y, z: f"({x} + 2 * {y} * {z})"
-
-
-@query(f"WITH u AS (SELECT i, {_U} FROM (SELECT unnest(range(0, 512)) AS i)), f AS (SELECT {_Y('ax', 'ay', 'az')} AS a, {_Y('bx', 'by_', 'bz')} AS b, {_Y('bx', 'ay', 'az')} AS x, {_Y('ax', 'by_', 'az')} AS y, {_Y('ax', 'ay', 'bz')} AS z FROM u), v AS (SELECT (var_pop(a) + var_pop(b)) / 2 AS v FROM f) SELECT input, round(first / v, 6) AS first, round(total / v, 6) AS total FROM v, (SELECT 'x' AS input, avg(b * (x - a)) AS first, avg((a - x) ** 2) / 2 AS total FROM f UNION ALL SELECT 'y', avg(b * (y - a)), avg((a - y) ** 2) / 2 FROM f UNION ALL SELECT 'z', avg(b * (z - a)), avg((a - z) ** 2) / 2 FROM f)")
-def d8_crossed_indices(spark, d):
-    """A crossed design, a function of it, and its first and total order indices."""
-    names = ["x", "y", "z"]
-    e = V.crossed_design(spark, 512, names, 5).withColumn("v", F.col("x") + 2 * F.col("y") * F.col("z"))
-    return _round(V.crossed_indices(e, names, "v"), 6, "first", "total")
-
-
 @query("WITH q(id, t) AS (SELECT o_orderkey, 'How does leaf_c' || (o_orderkey % 3) || ' respond in PFT #' || (o_orderkey % 12) || ' under drought?' FROM orders) SELECT id AS o_orderkey, 'parameter' AS kind, 'leaf_c' || (id % 3) AS entity FROM q UNION ALL SELECT id, 'group', 'pft' || (id % 12) FROM q UNION ALL SELECT id, 'mechanism', 'water' FROM q")
 def f4_entities(spark, d):
     """parameters, groups and mechanisms named in a question."""
