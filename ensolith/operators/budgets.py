@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ensolith.functions.student import two_sided_p
 from ensolith.operators.ranks import average_ranks
 
 
-def budget(history: DataFrame, keys: list[str], year: str, flow: str, kind: str, pool: str) -> DataFrame:
-    """Inflow and outflow over all records (kind in or out) and the change of the pool from its first to its last year's mean."""
-    ends = history.groupBy(*keys).agg(F.min(year).alias("_a"), F.max(year).alias("_z"))
-    j = history.join(ends, keys)
-    g = j.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col(kind) == "in", F.col(flow))), F.lit(0.0)).alias("inflow"), F.coalesce(F.sum(F.when(F.col(kind) == "out", F.col(flow))), F.lit(0.0)).alias("outflow"),
-        (F.avg(F.when(F.col(year) == F.col("_z"), F.col(pool))) - F.avg(F.when(F.col(year) == F.col("_a"), F.col(pool)))).alias("change"),
-    )
-    return g
+def budget(history: DataFrame, keys: list[str], month: str, flow: str, kind: str, pool: str, ends: int = 12) -> DataFrame:
+    """Per year: inflow and outflow (kind in or out; twelve times the mean of the months) and change of the pool.
+
+    The change is from the mean of the first ``ends`` months to that of the last, over the years of the
+    record; a record of twelve months or less gives its whole change. A month without flows counts as zero.
+    """
+    of = lambda k: F.coalesce(F.sum(F.when(F.col(kind) == k, F.col(flow))), F.lit(0.0))
+    months = history.groupBy(*keys, month).agg(of("in").alias("_in"), of("out").alias("_out"), F.avg(pool).alias("_pool"))
+    w = Window.partitionBy(*keys)  # the months of one record
+    placed = months.withColumn("_a", F.row_number().over(w.orderBy(month))).withColumn("_n", F.count("*").over(w))
+    early, late = F.col("_a") <= ends, F.col("_a") > F.col("_n") - ends
+    g = placed.groupBy(*keys).agg(F.count("*").alias("_n"), (F.avg("_in") * 12).alias("inflow"), (F.avg("_out") * 12).alias("outflow"), (F.avg(F.when(late, F.col("_pool"))) - F.avg(F.when(early, F.col("_pool")))).alias("_change"))
+    return g.select(*keys, "inflow", "outflow", F.coalesce(F.col("_change") / F.greatest(F.lit(1.0), F.col("_n") / 12), F.lit(0.0)).alias("change"))
 
 
 def closure(budgets: DataFrame, tolerance: float = 0.1) -> DataFrame:
-    """budgets with what inflow less outflow leaves of the change, relative to the inflow, and whether it closes."""
+    """budgets with what inflow less outflow leaves of the change, relative to the inflow, and whether it closes; without inflow, only nothing left closes."""
     rest = F.col("inflow") - F.col("outflow") - F.col("change")
-    relative = F.try_divide(F.abs(rest), F.abs("inflow"))
-    return budgets.withColumns({"residual": rest, "relative": relative, "closed": F.coalesce(relative < tolerance, F.lit(False))})
+    relative = F.when(F.col("inflow") > 0, F.try_divide(rest, F.col("inflow"))).when(F.abs(rest) < 1e-10, 0.0).otherwise(float("inf"))
+    return budgets.withColumns({"residual": rest, "relative": relative, "closed": F.abs(relative) < tolerance})
 
 
 def competition(supply: DataFrame, keys: list[str], group: str, uptake: str, demand: str) -> DataFrame:
@@ -36,20 +41,32 @@ def competition(supply: DataFrame, keys: list[str], group: str, uptake: str, dem
 
 
 def allocation(df: DataFrame, keys: list[str], value: str, n_ratio: str, p_ratio: str) -> DataFrame:
-    """Mean and variation of an allocation, fixed below a variation of 0.1, and what limits it: N, P, both or none (ratios below 0.8)."""
-    g = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.try_divide(F.stddev_pop(value), F.abs(F.avg(value))).alias("cv"), F.avg(n_ratio).alias("_n"), F.avg(p_ratio).alias("_p"))
-    n, p = F.col("_n") < 0.8, F.col("_p") < 0.8
-    limit = F.when(n & p, "co-limited").when(n, "N").when(p, "P").otherwise("none")
+    """Mean and variation of an allocation, fixed below a variation of 0.1, and what limits it.
+
+    The supply of the smaller mean ratio to its demand, N or P, if below 0.95; both if they are equal and
+    below; else none. A nutrient that nothing is known of is met.
+    """
+    g = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.try_divide(F.stddev_pop(value), F.abs(F.avg(value))).alias("cv"), F.coalesce(F.avg(n_ratio), F.lit(1.0)).alias("_n"), F.coalesce(F.avg(p_ratio), F.lit(1.0)).alias("_p"))
+    n, p = F.col("_n"), F.col("_p")
+    limit = F.when((n < p) & (n < 0.95), "N").when((p < n) & (p < 0.95), "P").when((n < 0.95) & (p < 0.95), "co-limited").otherwise("none")
     return g.select(*keys, "mean", "cv", (F.col("cv") < 0.1).alias("fixed"), limit.alias("limitation"))
 
 
-def correlation_test(df: DataFrame, x: str, y: str, least: int = 10, bar: float = 0.3, t_bar: float = 1.96) -> DataFrame:
-    """Pearson's r, its t value and whether a hypothesis of a link is supported: enough pairs, |r| above the bar and |t| above t_bar."""
+def correlation_test(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least: int = 10, bar: float = 0.3, level: float = 0.05) -> DataFrame:
+    """(keys, n, r, t, p, supported): Pearson's r, its t value, the two-sided p of Student's distribution and whether a link is supported.
+
+    Supported: ``least`` pairs or more, |r| above the bar and p below the level. Without spread r is null.
+    """
+    keys = keys or []
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    g = known.agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("_c"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("_s")).withColumn("r", F.try_divide(F.col("_c"), F.col("_s")))
-    t = F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2.0), F.sqrt(1 - F.col("r") * F.col("r")))
-    supported = (F.col("n") >= least) & (F.abs("r") > bar) & (F.abs("t") > t_bar)
-    return g.withColumn("t", t).select("n", "r", "t", F.coalesce(supported, F.lit(False)).alias("supported"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    g = known.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop(x, y), spread).alias("_r"))
+    g = g.withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "_r"))).withColumn("_r", F.when(F.col("_r").isNotNull(), F.col("r")))
+    freedom = F.col("n") - 2.0
+    t = F.when(F.col("_r") * F.col("_r") < 1, F.col("_r") * F.sqrt(freedom / (1 - F.col("_r") * F.col("_r")))).when(F.col("_r").isNotNull() & (freedom > 0), F.col("_r") * float("inf"))
+    g = g.withColumn("t", F.when(freedom > 0, t)).withColumn("p", two_sided_p(F.col("t"), freedom))
+    supported = (F.col("n") >= least) & (F.abs("_r") > bar) & (F.col("p") < level)
+    return g.select(*keys, "n", F.col("_r").alias("r"), "t", "p", F.coalesce(supported, F.lit(False)).alias("supported"))
 
 
 def ranking_fidelity(df: DataFrame, key: str, truth: str, predicted: str, k: int, lower_is_better: bool = True) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ensolith.operators.ranks import numbered
+
 
 def findings(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
     """(keys, rule) for each rule that a row breaks; a rule that cannot be told is not broken."""
@@ -33,7 +35,7 @@ def do_not_repeat(proposals: DataFrame, constraints: DataFrame, name: Column) ->
     return j.withColumn("warning", hit).where("warning is not null").drop("_name")
 
 
-def mention_coverage(mentions: DataFrame, known: DataFrame, keys: list[str], name: str, good: float = 0.9, fair: float = 0.6) -> DataFrame:
+def mention_coverage(mentions: DataFrame, known: DataFrame, keys: list[str], name: str, good: float = 0.9, fair: float = 0.7) -> DataFrame:
     """Share of each text's distinct mentions that exist, with a status: ok, warning or failed; texts without any are ok."""
     m = mentions.select(*keys, name).distinct()
     j = m.join(known.select(name, F.lit(True).alias("_known")).distinct(), name, "left")
@@ -80,33 +82,52 @@ def golden_queries(hits: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def evidence(ledger: DataFrame, cap: int = 20) -> DataFrame:
-    """Each parameter's fold over cycles (parameter, cycle, result): counts, state and the last ``cap`` results in order.
+    """Each parameter's fold over cycles of proposals (parameter, cycle, value, supported): (parameter, first_cycle, last_cycle, n_proposed, n_supported, status, trail).
 
-    State: dropped if the last two were rejected, kept if the last was confirmed, else refined.
+    A parameter is active while the cycle proposes it and dropped once a cycle leaves it out. Its trail
+    says proposed at first, then refined or kept by whether its value changed, and dropped, each with the
+    cycle; the last ``cap`` entries stay. A parameter stands once in a cycle.
     """
-    w = Window.partitionBy("parameter").orderBy(F.desc("cycle"))
-    last = ledger.withColumn("_k", F.row_number().over(w))
-    g = last.groupBy("parameter").agg(
-        F.count("*").alias("n_proposed"), F.count_if(F.col("result") == "CONFIRMED").alias("n_confirmed"),
-        F.count_if((F.col("_k") <= 2) & (F.col("result") == "REJECTED")).alias("_r"), F.max(F.when(F.col("_k") == 1, F.col("result"))).alias("last"),
-        F.sort_array(F.collect_list(F.when(F.col("_k") <= cap, F.struct("cycle", "result")))).alias("_trail"),
-    )
-    state = F.when(F.col("_r") == 2, "dropped").when(F.col("last") == "CONFIRMED", "kept").otherwise("refined")
-    return g.select("parameter", "n_proposed", "n_confirmed", state.alias("state"), F.array_join("_trail.result", ">").alias("trail"))
+    cycles = numbered(ledger.select("cycle").distinct(), [F.col("cycle")], "_at")
+    last = cycles.agg(F.max("_at").alias("_last"))
+    following = cycles.select((F.col("_at") - 1).alias("_at"), F.col("cycle").alias("_next"))
+    w = Window.partitionBy("parameter").orderBy("_at")  # one parameter's proposals
+    placed = ledger.join(cycles, "cycle").join(following, "_at", "left")
+    placed = placed.withColumns({"_k": F.row_number().over(w), "_before": F.lag("value").over(w), "_then": F.lead("_at").over(w)})
+    action = F.when(F.col("_k") == 1, "proposed").when(F.col("value").eqNullSafe(F.col("_before")), "kept").otherwise("refined")
+    left_out = F.col("_next").isNotNull() & (F.col("_then").isNull() | (F.col("_then") > F.col("_at") + 1))
+    entry = lambda cycle, what: F.struct(cycle.alias("cycle"), what.alias("action"))
+    entries = F.array_compact(F.array(entry(F.col("cycle"), action), F.when(left_out, entry(F.col("_next"), F.lit("dropped")))))
+    each = placed.select("parameter", F.explode(entries).alias("_e")).select("parameter", "_e.*")
+    newest = each.withColumn("_r", F.row_number().over(Window.partitionBy("parameter").orderBy(F.desc("cycle")))).where(F.col("_r") <= cap)
+    trails = newest.groupBy("parameter").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cycle", "action"))), lambda e: F.concat(e["action"], F.lit("@"), e["cycle"].cast("string"))), ">").alias("trail"))
+    g = placed.groupBy("parameter").agg(F.min("cycle").alias("first_cycle"), F.max("cycle").alias("last_cycle"), F.count("*").alias("n_proposed"), F.count_if("supported").alias("n_supported"), F.max("_at").alias("_at"))
+    g = g.crossJoin(F.broadcast(last)).withColumn("status", F.when(F.col("_at") == F.col("_last"), "active").otherwise("dropped"))  # one row
+    return g.join(trails, "parameter").select("parameter", "first_cycle", "last_cycle", "n_proposed", "n_supported", "status", "trail")
 
 
 def relevant(entries: DataFrame, words: DataFrame, top: int, max_chars: int) -> DataFrame:
     """Entries (entry, name, text, confidence, verified) whose name holds, or is held by, a wanted word (column word).
 
-    Names and words meet by their first three letters inside each other's letter runs, verified
-    ones first, then the surest, ``top`` in all, texts cut to max_chars.
+    The shorter of the two is looked for among the other's letter runs: by its first three letters, or
+    whole if it has but one or two; empty ones find nothing. Verified ones first, then the surest,
+    ``top`` in all, texts cut to max_chars.
     """
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(3))))
-    a = entries.select("entry", "name", F.explode(runs(F.col("name"))).alias("_g"))
-    b = words.select("word", F.explode(runs(F.col("word"))).alias("_g"))
-    low, word = F.lower("name"), F.lower("word")
-    hit = a.join(b, "_g").where(F.contains(low, word) | F.contains(word, low)).select("entry").distinct()
-    picked = entries.join(hit, "entry", "left_semi").orderBy(F.desc("verified"), F.desc("confidence"), "entry").limit(top)
+
+    def runs(c, size):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size))))
+
+    a = entries.select("entry", F.lower("name").alias("_name"))
+    b = words.select(F.lower("word").alias("_word"))
+    found = None
+    for size in (1, 2, 3):
+        own = (lambda c: F.length(c) >= 3) if size == 3 else (lambda c, n=size: F.length(c) == n)
+        for inner, outer, name, other in ((a, b, "_name", "_word"), (b, a, "_word", "_name")):
+            short = inner.where(own(name)).withColumn("_g", F.substring(name, 1, size))
+            long = outer.where(F.length(other) >= size).withColumn("_g", F.explode(runs(F.col(other), size)))
+            hit = short.join(long, "_g").where(F.contains(F.col(other), F.col(name))).select("entry")
+            found = hit if found is None else found.unionByName(hit)
+    picked = entries.join(found.distinct(), "entry", "left_semi").orderBy(F.desc("verified"), F.desc("confidence"), "entry").limit(top)
     return picked.select("entry", "name", F.substring("text", 1, max_chars).alias("text"), "confidence", "verified")
 
 
@@ -117,5 +138,5 @@ def nearest_version(versions: DataFrame, major: int, minor: int) -> DataFrame:
 
 
 def bump_tier(distance: Column, same_file: Column) -> Column:
-    """T1 for the same version and file, T2 for the same major version, else T3."""
-    return F.when((distance == 0) & same_file, "T1").when(distance < 100, "T2").otherwise("T3")
+    """T1 for the same version and parameter file, T2 for the same version and another file, T3 for any other version."""
+    return F.when(distance != 0, "T3").when(same_file, "T1").otherwise("T2")

@@ -137,13 +137,16 @@ def strict(df: DataFrame, keys: list[str], ranges: dict[str, tuple[float, float]
     return out.drop("_n")
 
 
-def experiment_outcomes(experiments: DataFrame, total: int, least: float = 0.5) -> DataFrame:
-    """Outcome of each experiment (experiment, met, known): unreliable if too few of its targets are known, and whether it is the best.
+def experiment_outcomes(experiments: DataFrame, total: int) -> DataFrame:
+    """Outcome of each experiment (experiment, met, status, error, n_metrics) that was not skipped, whether its data can be relied on, and whether it is the best.
 
-    The best is the first of those that meet most, among reliable ones.
+    Reliable: it was extracted, without an error, and has metrics. The best is the first of those that meet
+    most targets, one at least; no other experiment is.
     """
     from ensolith.functions.columns import outcome
 
-    own = experiments.withColumn("outcome", F.when(F.col("known") < least * total, "UNRELIABLE").otherwise(outcome(F.col("met"), F.lit(total))))
-    best = own.where("outcome <> 'UNRELIABLE'").agg(F.max_by("experiment", F.struct(F.col("met"), -F.col("experiment"))).alias("_best"))
+    ran = experiments.where(F.coalesce(F.col("status") != "skipped", F.lit(True))).withColumn("met", F.coalesce("met", F.lit(0)))
+    reliable = (F.col("status") == "extracted") & (F.coalesce("error", F.lit("")) == "") & (F.col("n_metrics") > 0)
+    own = ran.withColumn("outcome", outcome(F.col("met"), F.lit(total))).withColumn("reliable", F.coalesce(reliable, F.lit(False)))
+    best = own.where("met > 0").agg(F.max_by("experiment", F.struct(F.col("met"), -F.col("experiment"))).alias("_best"))
     return own.join(F.broadcast(best), F.lit(True), "left").withColumn("best", F.coalesce(F.col("experiment") == F.col("_best"), F.lit(False))).drop("_best")  # one row

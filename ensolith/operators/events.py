@@ -61,17 +61,18 @@ def first_hit(df: DataFrame, keys: list[str], index: str, best: str, bar: Column
 
 
 def carbon_balance(df: DataFrame, keys: list[str], doy: str, gain: str, loss: str, reference: int, late: int = 30, deficit: float = 10.0) -> DataFrame:
-    """Balance on the day nearest to a reference day, day of crossover, and whether growth is held up.
+    """Running loss less running gain on the day nearest to a reference day, the largest of the year, day of crossover, and whether growth is held up.
 
-    Held up: loss exceeds gain by more than ``deficit`` on that day, or running gain overtakes
-    running loss only more than ``late`` days after it, or never.
+    Held up: the running loss is ahead by more than ``deficit`` on that day, or the running gain
+    overtakes it only more than ``late`` days after; a crossover that never comes is no sign.
     """
     w = Window.partitionBy(*keys).orderBy(doy).rowsBetween(Window.unboundedPreceding, 0)
     r = df.withColumns({"_g": F.sum(gain).over(w), "_l": F.sum(loss).over(w)})
     near = F.struct(F.abs(F.col(doy) - reference), F.col(doy))
-    out = r.groupBy(*keys).agg(F.min_by(F.col(gain) - F.col(loss), near).alias("balance"), F.min(F.when(F.col("_g") > F.col("_l"), F.col(doy))).alias("crossover"))
-    held = (F.col("balance") < -deficit) | F.col("crossover").isNull() | (F.col("crossover") > reference + late)
-    return out.withColumn("bottleneck", held)
+    behind = F.col("_l") - F.col("_g")
+    out = r.groupBy(*keys).agg(F.min_by(behind, near).alias("deficit"), F.max(behind).alias("largest"), F.min(F.when(F.col("_g") > F.col("_l"), F.col(doy))).alias("crossover"))
+    held = (F.col("deficit") > deficit) | (F.col("crossover") > reference + late)
+    return out.withColumn("bottleneck", F.coalesce(held, F.lit(False)))
 
 
 def within_days(df: DataFrame, keys: list[str], doy: str, first: int, last: int, values: list[str]) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 
 def complete_years(history: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
-    """History with columns year and complete: a year is complete unless the case's record ends in it before its last day."""
-    last = history.groupBy(*keys).agg(F.max(time).alias("_last"))
+    """History with columns year and complete: a year is complete unless the case's record begins in it after its first day or ends in it before its last."""
+    span = history.groupBy(*keys).agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
+    begins = (F.year("_first") < F.year(time)) | (F.dayofyear("_first") == 1)
     ends = (F.year("_last") > F.year(time)) | ((F.month("_last") == 12) & (F.dayofmonth("_last") == 31))
-    return history.join(last, keys).withColumn("year", F.year(time)).withColumn("complete", ends).drop("_last")
+    return history.join(span, keys).withColumn("year", F.year(time)).withColumn("complete", begins & ends).drop("_first", "_last")
 
 
 def by_year(history: DataFrame, keys: list[str], reduce: Column, time: str = "ts", where: Column | None = None) -> DataFrame:

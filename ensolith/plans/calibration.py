@@ -33,8 +33,8 @@ def _history(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("case_id"), F.col("l_linestatus").alias("grp"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("rec"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("value"))
 
 
-#: Rows of complete years: the case's record does not end in them before their last day.
-_W = "w AS (SELECT h.* FROM h JOIN (SELECT case_id, max(ts) AS z FROM h GROUP BY 1) USING (case_id) WHERE year(ts) < year(z) OR strftime(z, '%m-%d') = '12-31')"
+#: Rows of complete years: the case's record neither begins in them after their first day nor ends before their last.
+_W = "w AS (SELECT h.* FROM h JOIN (SELECT case_id, min(ts) AS a, max(ts) AS z FROM h GROUP BY 1) USING (case_id) WHERE (year(ts) < year(z) OR strftime(z, '%m-%d') = '12-31') AND (year(ts) > year(a) OR strftime(a, '%m-%d') = '01-01'))"
 _H = "SELECT l_suppkey AS case_id, l_linestatus AS grp, l_shipdate AS ts, l_orderkey AS rec, l_linenumber AS n, l_quantity AS value FROM lineitem"
 
 
@@ -99,7 +99,7 @@ def w8_decumulate(spark, d):
     return R.decumulate(_history(spark, d), ["case_id"], ["ts", "rec", "n"]).select("case_id", "rec", "n", "ts", "step")
 
 
-@query(f"WITH h AS ({_H}), c AS (SELECT DISTINCT case_id, year(ts) AS year FROM h), e AS (SELECT case_id, max(ts) AS z FROM h GROUP BY 1) SELECT case_id, count(*) FILTER (year < year(z) OR strftime(z, '%m-%d') = '12-31') AS n_complete, count(*) FILTER (year = year(z) AND strftime(z, '%m-%d') <> '12-31') AS n_partial FROM c JOIN e USING (case_id) GROUP BY 1")
+@query(f"WITH h AS ({_H}), c AS (SELECT DISTINCT case_id, year(ts) AS year FROM h), e AS (SELECT case_id, min(ts) AS a, max(ts) AS z FROM h GROUP BY 1), f AS (SELECT case_id, (year < year(z) OR strftime(z, '%m-%d') = '12-31') AND (year > year(a) OR strftime(a, '%m-%d') = '01-01') AS ok FROM c JOIN e USING (case_id)) SELECT case_id, count(*) FILTER (ok) AS n_complete, count(*) FILTER (NOT ok) AS n_partial FROM f GROUP BY 1")
 def a5_coverage_guard(spark, d):
     """A5: years that a case's record does not cover are named, not averaged."""
     y = R.complete_years(_history(spark, d), ["case_id"]).select("case_id", "year", "complete").distinct()

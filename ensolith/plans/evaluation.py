@@ -164,8 +164,10 @@ def s28_strict_rows(spark, d):
     return E.strict(s, ["case_id"], {"x": (0.0, 24.0)}).select("case_id", "x")
 
 
-@query("WITH e AS (SELECT o_custkey AS experiment, count(*) FILTER (o_orderstatus = 'F') AS met, count(*) AS known FROM orders GROUP BY 1), x AS (SELECT *, CASE WHEN known < 6 THEN 'UNRELIABLE' WHEN met >= 12 THEN 'SUCCESS' WHEN met >= 9 THEN 'PARTIAL_SUCCESS' WHEN met <= 3 THEN 'FAILED' ELSE 'MARGINAL' END AS outcome FROM e) SELECT experiment, met, known, outcome, experiment = (SELECT arg_max(experiment, (met, -experiment)) FROM x WHERE outcome <> 'UNRELIABLE') AS best FROM x")
+@query("WITH e AS (SELECT o_custkey AS experiment, count(*) FILTER (o_orderstatus = 'F') AS met, CASE o_custkey % 7 WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' ELSE 'extracted' END AS status, CASE WHEN o_custkey % 11 = 0 THEN 'no file' END AS error, count(*) FILTER (o_totalprice > 250000) AS n_metrics FROM orders GROUP BY 1), x AS (SELECT *, CASE WHEN met >= 12 THEN 'SUCCESS' WHEN met >= 9 THEN 'PARTIAL_SUCCESS' WHEN met <= 3 THEN 'FAILED' ELSE 'MARGINAL' END AS outcome, status = 'extracted' AND error IS NULL AND n_metrics > 0 AS reliable FROM e WHERE status <> 'skipped') SELECT experiment, met, outcome, reliable, experiment = (SELECT arg_max(experiment, (met, -experiment)) FROM x WHERE met > 0) AS best FROM x")
 def a47_experiment_outcomes(spark, d):
-    """Outcomes behind a gate of data reliability, the first best marked."""
-    e = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("experiment")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("met"), F.count("*").alias("known"))
-    return E.experiment_outcomes(e, 12)
+    """Outcomes, the gate of data reliability, the first best marked."""
+    k = F.col("o_custkey")
+    g = table(spark, d, "orders").groupBy(k.alias("experiment")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("met"), F.count_if(F.col("o_totalprice") > 250000).alias("n_metrics"))
+    e = g.withColumn("status", F.when(F.col("experiment") % 7 == 0, "skipped").when(F.col("experiment") % 7 == 1, "failed").otherwise("extracted")).withColumn("error", F.when(F.col("experiment") % 11 == 0, "no file"))
+    return E.experiment_outcomes(e, 12).select("experiment", "met", "outcome", "reliable", "best")

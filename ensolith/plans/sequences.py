@@ -43,11 +43,11 @@ def _days(spark, d):
     return _events(spark, d).groupBy("user_id", F.dayofyear("ts").alias("doy")).agg(v(F.col("event_type") == "click").alias("gain"), v(F.col("event_type") != "click").alias("loss"))
 
 
-@query(f"WITH e AS ({_DAY}), r AS (SELECT *, sum(gain) OVER w AS g, sum(loss) OVER w AS l FROM e WINDOW w AS (PARTITION BY user_id ORDER BY doy ROWS UNBOUNDED PRECEDING)), a AS (SELECT user_id, arg_min(gain - loss, (abs(doy - 10), doy)) AS balance, min(doy) FILTER (g > l) AS crossover FROM r GROUP BY 1) SELECT user_id, round(balance, 4) AS balance, CAST(crossover AS INT) AS crossover, balance < -10 OR crossover IS NULL OR crossover > 40 AS bottleneck FROM a")
+@query(f"WITH e AS ({_DAY}), r AS (SELECT *, sum(gain) OVER w AS g, sum(loss) OVER w AS l FROM e WINDOW w AS (PARTITION BY user_id ORDER BY doy ROWS UNBOUNDED PRECEDING)), a AS (SELECT user_id, arg_min(l - g, (abs(doy - 10), doy)) AS deficit, max(l - g) AS largest, min(doy) FILTER (g > l) AS crossover FROM r GROUP BY 1) SELECT user_id, round(deficit, 4) AS deficit, round(largest, 4) AS largest, CAST(crossover AS INT) AS crossover, deficit > 10 OR coalesce(crossover > 40, false) AS bottleneck FROM a")
 def w4_carbon_balance(spark, d):
-    """Balance on the nearest day, crossover and the rule for a bottleneck."""
+    """Running deficit on the nearest day, the largest, crossover and the rule for a bottleneck."""
     out = E.carbon_balance(_days(spark, d), ["user_id"], "doy", "gain", "loss", 10)
-    return out.withColumn("balance", F.round("balance", 4))
+    return out.withColumns({c: F.round(c, 4) for c in ("deficit", "largest")})
 
 
 @query(f"WITH e AS ({_DAY}) SELECT user_id, round(avg(gain), 7) AS mean_gain, round(avg(loss), 7) AS mean_loss, count(*) AS n FROM e WHERE doy BETWEEN 5 AND 20 GROUP BY 1")
