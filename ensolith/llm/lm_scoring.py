@@ -1,9 +1,8 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model is a trigram model over words, learnt from every training document. The last two
-words (if they stand together ``least`` times or more in training), the last one and none are
-states; a state has an arc for every word seen after it and
-one failure arc to the state of one word less. Smoothing (a Dirichlet prior from the state
+words (wherever they stand together in training), the last one and none are states; a state
+has an arc for every word seen after it and one failure arc to the state of one word less. Smoothing (a Dirichlet prior from the state
 below; mu and mu3 are parameters):
 
     p(w)       = (c(w) - D) / N, and D * V / N for the class of unknown words
@@ -16,8 +15,8 @@ live in hash buckets and grow with the corpus; a block of documents gets the cou
 words, pairs and triples, which is the part of the automaton that its texts can reach. The
 state before a word is what its last two words make of it, so a block's texts are traversed
 left to right at once: each token takes the arc of its longest state that has one, behind the
-failure arcs of the longer ones. A triple is asked for only if its first two words stand in
-several blocks; else the block has all its counts itself.
+failure arcs of the longer ones. A triple is asked for only if its first two words and its last
+two both stand in several blocks; else it stands in this block alone, which has all its counts.
 """
 
 from __future__ import annotations
@@ -109,7 +108,7 @@ def _sum(rows: list[dict], tag: bytes, stats: bool) -> list[tuple]:
     return out
 
 
-def score_texts(docs: DataFrame, mu: float = 200.0, mu3: float = 50.0, least: int = 8, held_out_part: int | None = 1, parts: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 * B.BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, mu: float = 200.0, mu3: float = 50.0, held_out_part: int | None = 1, parts: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 * B.BLOCK_BYTES) -> DataFrame:
     """One row per document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Documents whose crc32(doc_id as text) modulo ``parts`` is ``held_out_part`` are scored but
@@ -151,12 +150,15 @@ def score_texts(docs: DataFrame, mu: float = 200.0, mu3: float = 50.0, least: in
             out[order[at[b] : at[b + 1]]] = X.unpack(r["a"], np.int64)
         return out
 
+    def in_several(twice, left, right):
+        """Mask of the triples whose two pairs both stand in several blocks."""
+        return (twice[left] & twice[right] & 1) > 0
+
     def triples(block, answers):
         kinds, number, bounds = _tokens(block)
         h, _, pair = _pairs(kinds, number, bounds)
-        h3, left, _, of = _triples(kinds, number, bounds, h, pair)
-        twice = placed(h, answers)[left]
-        shared = ((twice & 1) > 0) & (twice >> 1 >= least)
+        h3, left, right, of = _triples(kinds, number, bounds, h, pair)
+        shared = in_several(placed(h, answers), left, right)
         order, at = _layout(h3[shared], n)
         own = np.bincount(of[trained(block, bounds) & (of >= 0)], minlength=len(h3))
         return _send(block.group, order, at, h3[shared], own[shared])
@@ -172,7 +174,7 @@ def score_texts(docs: DataFrame, mu: float = 200.0, mu3: float = 50.0, least: in
         c2 = twice >> 1
         h3, left3, right3, of = _triples(kinds, number, bounds, h, pair)
         c3 = np.bincount(of[trained(block, bounds) & (of >= 0)], minlength=len(h3))
-        shared = ((twice[left3] & 1) > 0) & (c2[left3] >= least)
+        shared = in_several(twice, left3, right3)
         c3[shared] = placed(h3[shared], three) >> 1
         base = np.log10((c + 0.5) / (total + 0.5 * (kinds_all + 1)))
         root = np.log10(np.where(c > 0, c - discount, discount * kinds_all) / total) if total else np.zeros(len(kinds))
@@ -185,7 +187,7 @@ def score_texts(docs: DataFrame, mu: float = 200.0, mu3: float = 50.0, least: in
         arc = weight[pair]
         longer = np.where(c3 > 0, np.log10((c3 + mu3 * 10 ** weight[right3]) / (c2[left3] + mu3)), np.log10(mu3 / (c2[left3] + mu3)) + weight[right3])
         inner = of >= 0
-        arc[inner] = np.where(c2[left3] >= least, longer, weight[right3])[of[inner]]
+        arc[inner] = np.where(c2[left3] > 0, longer, weight[right3])[of[inner]]
         sums = lambda v: np.add.reduceat(v, bounds[:-1]) if len(v) else np.zeros(0)
         return pa.table({
             id_col: pa.array(block.id_list(), pa.int64()), "held_out": [remainder(i, parts) == held_out_part for i in block.id_list()],

@@ -85,7 +85,7 @@ def suffix(texts, length=100):
     return out
 
 
-def language_model(rows, mu=200.0, mu3=50.0, least=8):
+def language_model(rows, mu=200.0, mu3=50.0):
     """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score, score)} of (doc_id, text)."""
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     uni, bi, tri = {}, {}, {}
@@ -104,7 +104,7 @@ def language_model(rows, mu=200.0, mu3=50.0, least=8):
     out = {}
     for i, w in texts.items():
         base = sum(math.log10((uni.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w[1:])
-        score = sum(math.log10(p2(w[k - 1], w[k]) if k == 1 or bi.get((w[k - 2], w[k - 1]), 0) < least else p3(*w[k - 2 : k + 1])) for k in range(1, len(w)))
+        score = sum(math.log10(p2(w[k - 1], w[k]) if k == 1 or not bi.get((w[k - 2], w[k - 1])) else p3(*w[k - 2 : k + 1])) for k in range(1, len(w)))
         out[i] = (held(i), len(w) - 1, sum(x in uni for x in w[1:]), n, base, score)
     return out
 

@@ -95,11 +95,10 @@ def test_lm_scoring(docs, none, spark):
     assert lm_scoring.score_texts(none).count() == 0
 
 
-@pytest.mark.parametrize("least", [1, 3])
-def test_lm_scoring_with_states_of_rare_pairs(spark, least):
+def test_lm_scoring_with_states_of_rare_pairs(spark):
     rows = [(i, " ".join(R.choice(WORDS[:12]) for _ in range(R.randint(0, 40)))) for i in range(60)]
-    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), least=least).collect()
-    want = brute.language_model(rows, least=least)
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.language_model(rows)
     assert all(tuple(r)[1:] == pytest.approx(want[r["doc_id"]], rel=1e-9) for r in got) and len(got) == 60
 
 
