@@ -72,10 +72,10 @@ def _triples(kinds, number, bounds, h, pair):
 
 
 def _layout(h: np.ndarray, n: int):
-    """(order by bucket and fingerprint, bounds)."""
-    by = np.argsort(h, kind="stable")
-    order, bounds = X.fan_out(X.mix(h[by] ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(n), n)
-    return by[order], bounds
+    """(order by fingerprint, bounds of the n buckets): a bucket is a range of fingerprints, so those of one message lie close and pack well."""
+    order = np.argsort(h, kind="stable")
+    starts = np.arange(1, n, dtype=np.uint64) * np.uint64(-(-(1 << 64) // n))
+    return order, np.concatenate([[0], np.searchsorted(h[order], starts), [len(h)]])
 
 
 def _send(grp, order, bounds, fp, counts):
