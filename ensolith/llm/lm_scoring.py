@@ -64,16 +64,18 @@ def _triples(kinds, number, bounds, h, pair):
     inner = np.ones(len(number), bool)
     inner[bounds[:-1]] = False
     at = np.flatnonzero(inner)
-    code, index, inverse = np.unique(pair[at - 1] * len(kinds) + number[at], return_index=True, return_inverse=True)
+    code, inverse = np.unique(pair[at - 1] * len(kinds) + number[at], return_inverse=True)
+    right = np.empty(len(code), np.int64)
+    right[inverse] = pair[at]
     left = code // max(1, len(kinds))
     of = np.full(len(number), -1, np.int64)
     of[at] = inverse
-    return X.mix(h[left] * np.uint64(0x9FB21C651E98DF25) + X.mix(kinds[code % max(1, len(kinds))] + np.uint64(1))), left, pair[at][index], of
+    return X.mix(h[left] * np.uint64(0x9FB21C651E98DF25) + X.mix(kinds[code % max(1, len(kinds))] + np.uint64(1))), left, right, of
 
 
 def _layout(h: np.ndarray, n: int):
     """(order by fingerprint, bounds of the n buckets): a bucket is a range of fingerprints, so those of one message lie close and pack well."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     starts = np.arange(1, n, dtype=np.uint64) * np.uint64(-(-(1 << 64) // n))
     return order, np.concatenate([[0], np.searchsorted(h[order], starts), [len(h)]])
 
@@ -90,7 +92,7 @@ def _sum(rows: list[dict], tag: bytes, stats: bool) -> list[tuple]:
     """Every fingerprint's training count in the corpus, doubled, and 1 more if several blocks have it; for each block that asked."""
     fp = np.concatenate([np.cumsum(X.unpack(r["a"], np.uint64), dtype=np.uint64) for r in rows])
     count = np.concatenate([X.unpack(r["b"], np.uint32) for r in rows]).astype(np.int64)
-    order = np.argsort(fp, kind="stable")
+    order = np.argsort(fp)
     edges = X.group_edges(fp[order])
     total = np.add.reduceat(count[order], edges)
     all_ = np.empty(len(fp), np.int64)
