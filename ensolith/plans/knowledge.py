@@ -206,7 +206,7 @@ def f23_hash_identity(spark, d):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def f24_flatten_json(spark, d):
-    """nested properties as columns, by a declared schema."""
+    """nested properties as columns, by a declared schema."""
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
