@@ -22,9 +22,12 @@ def islands(df: DataFrame, keys: list[str], order: list[str], holds: Column) ->
 
 
 def deficit_periods(df: DataFrame, keys: list[str], order: list[str], at: str, deficit: Column, least: int) -> DataFrame:
-    """Runs of positive deficit of ``least`` records or more: start, end, length, largest; open ones are marked ongoing."""
+    """Runs of positive deficit of ``least`` records or more: start, end, length, largest, mean daily growth; open ones are marked ongoing.
+
+    The mean daily growth is that of the deficit from the run's first record to its last; a run of one record has none.
+    """
     runs = islands(df.withColumn("_d", deficit), keys, order, F.col("_d") > 0)
-    out = runs.groupBy(*keys, "island").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"), F.max("_d").alias("largest"), F.bool_or("_last").alias("ongoing"))
+    out = runs.groupBy(*keys, "island").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"), F.max("_d").alias("largest"), F.try_divide(F.max_by("_d", F.struct(*order)) - F.min_by("_d", F.struct(*order)), F.count("*") - 1).alias("mean_daily"), F.bool_or("_last").alias("ongoing"))
     return out.where(F.col("n") >= least).drop("island")
 
 

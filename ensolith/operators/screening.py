@@ -68,3 +68,29 @@ def labelled(df: DataFrame, rules: list[tuple[Column, str]], otherwise: str) ->
     for condition, label in reversed(rules):
         out = F.when(condition, label).otherwise(out)
     return out
+
+
+def top_cases(ranked: DataFrame, scored: DataFrame, simulated: DataFrame, n: int) -> DataFrame:
+    """(case_id, rank, composite, n_satisfied, target, cost, sim): the n best cases, a row for each of their targets."""
+    best = F.broadcast(ranked.where(F.col("rank") <= n).select("case_id", "rank", "composite", "n_satisfied"))  # n rows
+    values = scored.join(best, "case_id").join(simulated.select("case_id", "target", "sim"), ["case_id", "target"])
+    return values.select("case_id", F.col("rank").cast("long").alias("rank"), "composite", "n_satisfied", "target", "cost", "sim")
+
+
+def split_at_median(df: DataFrame, parameter: str, outcome: Column, keys: list[str]) -> DataFrame:
+    """(keys, above, below, n): mean outcome of the rows above the parameter's exact median over all rows, and of the others."""
+    middle = K.quantile(df, parameter, 0.5)
+    high = F.col(parameter) > F.lit(middle)
+    return df.groupBy(*keys).agg(F.avg(F.when(high, outcome)).alias("above"), F.avg(F.when(~high, outcome)).alias("below"), F.count("*").alias("n"))
+
+
+def compared_cases(split: DataFrame, expected: str, bar: float = 10.0) -> DataFrame:
+    """split with difference_pct, supported and confidence: an increase (or decrease) of more than ``bar`` percent of the lower group's mean.
+
+    Confidence is the difference over 100, 0.9 at most, and 0 without support. A lower group of mean zero differs by nothing.
+    """
+    if expected not in ("increase", "decrease"):
+        raise ValueError(f"expected neither increase nor decrease: {expected!r}")
+    off = F.when(F.col("below") == 0, 0.0).otherwise((F.col("above") - F.col("below")) / F.col("below") * 100)
+    held = F.coalesce(off > bar if expected == "increase" else off < -bar, F.lit(False))
+    return split.withColumn("difference_pct", off).withColumn("supported", held).withColumn("confidence", F.when(held, F.least(F.lit(0.9), F.abs(off) / 100)).otherwise(0.0))

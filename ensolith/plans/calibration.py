@@ -266,13 +266,25 @@ def j8_compare_inventories(spark, d):
 @query("WITH c AS (SELECT c_custkey AS k, c_nationkey AS g, c_acctbal AS x FROM customer), m AS (SELECT median(x) AS m FROM c) SELECT g AS nation, round(avg(x) FILTER (x > m), 4) AS above, round(avg(x) FILTER (x <= m), 4) AS below, count(*) AS n FROM c, m GROUP BY 1")
 def a44_split_at_median(spark, d):
     """Groups split at the exact median and compared."""
-    c = table(spark, d, "customer")
-    m = c.agg(F.expr("median(c_acctbal)").alias("m"))
-    j = c.crossJoin(F.broadcast(m))  # one row
-    hi = F.col("c_acctbal") > F.col("m")
-    return j.groupBy(F.col("c_nationkey").alias("nation")).agg(F.round(F.avg(F.when(hi, F.col("c_acctbal"))), 4).alias("above"), F.round(F.avg(F.when(~hi, F.col("c_acctbal"))), 4).alias("below"), F.count("*").alias("n"))
+    s = S.split_at_median(table(spark, d, "customer"), "c_acctbal", F.col("c_acctbal"), ["c_nationkey"])
+    return _r(s, "above", "below", digits=4).select(F.col("c_nationkey").alias("nation"), "above", "below", "n")
 
 
+@query("WITH m AS (SELECT median(l_quantity) AS m FROM lineitem), g AS (SELECT l_returnflag AS output, avg(l_extendedprice) FILTER (l_quantity > m) AS h, avg(l_extendedprice) FILTER (l_quantity <= m) AS l FROM lineitem, m GROUP BY 1), d AS (SELECT output, CASE WHEN l = 0 THEN 0 ELSE (h - l) / l * 100 END AS d FROM g) SELECT output, round(d, 6) AS difference_pct, d > 10 AS supported, CASE WHEN d > 10 THEN round(least(0.9, abs(d) / 100), 6) ELSE 0 END AS confidence FROM d")
+def a44_case_comparison(spark, d):
+    """Whether an outcome is more than a tenth higher where a parameter is above its median."""
+    s = S.compared_cases(S.split_at_median(table(spark, d, "lineitem"), "l_quantity", F.col("l_extendedprice"), ["l_returnflag"]), "increase")
+    return _r(s, "difference_pct", "confidence", digits=6).select(F.col("l_returnflag").alias("output"), "difference_pct", "supported", "confidence")
+
+
+@query(f"WITH {_SC}, r AS (SELECT *, row_number() OVER (ORDER BY round(c, 9), case_id) AS rank FROM rk) SELECT r.case_id, rank, round(c, 6) AS composite, n AS n_satisfied, target, round(cost, 6) AS cost, round(sim, 6) AS sim FROM r JOIN sc USING (case_id) WHERE rank <= 10")
+def t4_top_cases(spark, d):
+    """The ten best cases with their values and costs at every target."""
+    sim, targets = _scored(spark, d)
+    scored = S.score_targets(sim, targets, tolerance=0.05)
+    ranked = S.rank_cases(scored.withColumn("cost", F.round("cost", 12)))
+    return _r(S.top_cases(ranked, scored, sim, 10), "composite", "cost", "sim", digits=6)
+
 @query("WITH s AS (SELECT o_custkey AS t, o_orderkey AS k, o_orderstatus AS changed, o_orderkey / 1000.0 AS x, o_totalprice AS y FROM orders), e AS (SELECT changed, (y - lag(y) OVER w) / nullif(x - lag(x) OVER w, 0) AS e FROM s WINDOW w AS (PARTITION BY t ORDER BY k)) SELECT changed, round(avg(e), 2) AS mu, round(avg(abs(e)), 2) AS mu_star, round(stddev_samp(e), 2) AS sigma, count(*) AS n FROM e WHERE e IS NOT NULL GROUP BY 1")
 def w10_elementary_effects(spark, d):
     """Elementary effects along trajectories."""

@@ -20,11 +20,11 @@ def w1_cumulative(spark, d):
     return E.running(_events(spark, d), ["user_id"], ["ts", "event_id"], F.col("value"), "total").select("event_id", "user_id", F.round("total", 4).alias("total"))
 
 
-@query(f"WITH x AS (SELECT user_id, ts, event_id, 50 - value AS dd, coalesce(50 - value > 0, false) AS h FROM events), i AS ({_ISL}) SELECT user_id, min(ts) AS start, max(ts) AS \"end\", count(*) AS n, round(max(dd), 4) AS largest, bool_or(z) AS ongoing FROM i WHERE h GROUP BY user_id, island HAVING count(*) >= 2")
+@query(f"WITH x AS (SELECT user_id, ts, event_id, 50 - value AS dd, coalesce(50 - value > 0, false) AS h FROM events), i AS ({_ISL}) SELECT user_id, min(ts) AS start, max(ts) AS \"end\", count(*) AS n, round(max(dd), 4) AS largest, round((arg_max(dd, (ts, event_id)) - arg_min(dd, (ts, event_id))) / (count(*) - 1), 4) AS mean_daily, bool_or(z) AS ongoing FROM i WHERE h GROUP BY user_id, island HAVING count(*) >= 2")
 def w2_deficit_periods(spark, d):
     """Runs of deficit."""
     out = E.deficit_periods(_events(spark, d), ["user_id"], ["ts", "event_id"], "ts", 50 - F.col("value"), 2)
-    return out.withColumn("largest", F.round("largest", 4))
+    return out.withColumns({c: F.round(c, 4) for c in ("largest", "mean_daily")})
 
 
 @query("WITH r AS (SELECT user_id, dayofyear(ts) AS doy, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) OVER w AS a, sum(CASE WHEN event_type <> 'click' THEN value ELSE 0 END) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT user_id, min(doy) FILTER (a > b) AS crossover FROM r GROUP BY 1")

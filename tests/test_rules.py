@@ -11,6 +11,7 @@ from ensolith.operators import checks as K
 from ensolith.operators import evaluation as E
 from ensolith.operators import events as V
 from ensolith.operators import reducers as R
+from ensolith.operators import screening as S
 
 
 def rows(df, *order):
@@ -104,3 +105,18 @@ def test_outcomes_behind_the_gate(spark):
     got = {r["experiment"]: (r["outcome"], r["reliable"], r["best"]) for r in E.experiment_outcomes(df, 6).collect()}
     assert got == {1: ("FAILED", True, False), 2: ("MARGINAL", True, False), 3: ("SUCCESS", False, True), 4: ("SUCCESS", False, False), 6: ("FAILED", False, False)}
     assert not any(r["best"] for r in E.experiment_outcomes(df.where("experiment = 1"), 6).collect())
+
+
+def test_mean_daily_deficit_within_a_run(spark):
+    df = spark.createDataFrame([(1, d, x) for d, x in enumerate([-1.0, 2.0, 5.0, 11.0, -3.0, 4.0])], "id int, d int, x double")
+    got = rows(V.deficit_periods(df, ["id"], ["d"], "d", F.col("x"), 1).select("start", "end", "n", "largest", "mean_daily", "ongoing"), "start")
+    assert got == [(1, 3, 3, 11.0, 4.5, False), (5, 5, 1, 4.0, None, True)]
+
+
+def test_comparison_needs_more_than_a_tenth(spark):
+    split = spark.createDataFrame([(1, 111.0, 100.0), (2, 110.0, 100.0), (3, 80.0, 100.0), (4, 5.0, 0.0), (5, None, 1.0), (6, 500.0, 100.0)], "id int, above double, below double")
+    up = {r["id"]: (r["supported"], r["confidence"]) for r in S.compared_cases(split, "increase").collect()}
+    assert up == {1: (True, pytest.approx(0.11)), 2: (False, 0.0), 3: (False, 0.0), 4: (False, 0.0), 5: (False, 0.0), 6: (True, 0.9)}
+    assert [r["id"] for r in S.compared_cases(split, "decrease").where("supported").collect()] == [3]
+    with pytest.raises(ValueError):
+        S.compared_cases(split, "change")
