@@ -33,15 +33,26 @@ def deficit_periods(df: DataFrame, keys: list[str], order: list[str], at: str, d
 
 def collapse(df: DataFrame, keys: list[str], order: list[str], value: str, back: int) -> DataFrame:
     """Loss in percent against the largest of the ``back`` records before and the current one."""
+    return _fallen(df, keys, order, value, back).drop("_peak")
+
+
+def _fallen(df: DataFrame, keys: list[str], order: list[str], value: str, back: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-back, 0)
-    peak = F.max(value).over(w)
-    return df.withColumn("loss_pct", F.when(peak > 0, 100 * (peak - F.col(value)) / peak).otherwise(0.0))
+    peaks = df.withColumn("_peak", F.max(value).over(w))
+    return peaks.withColumn("loss_pct", F.when(F.col("_peak") > 0, 100 * (F.col("_peak") - F.col(value)) / F.col("_peak")).otherwise(0.0))
 
 
 def collapse_events(df: DataFrame, keys: list[str], order: list[str], at: str, value: str, back: int, limit: float) -> DataFrame:
-    """Runs of a loss above ``limit`` percent: start, end, n, largest loss, and whether they reach the last record."""
-    runs = islands(collapse(df, keys, order, value, back), keys, order, F.col("loss_pct") > limit)
-    return runs.groupBy(*keys, "island").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"), F.max("loss_pct").alias("loss_pct"), F.bool_or("_last").alias("ongoing")).drop("island")
+    """Runs of a loss above ``limit`` percent: start, end, n, loss_pct (the largest), ongoing, start_value, end_value, least_value, recovery.
+
+    start_value is the peak that the first record fell from. ongoing: the run reaches the last record. recovery: it does
+    not, and its last value is more than a tenth above its least. A record without value ends a run.
+    """
+    runs = islands(_fallen(df, keys, order, value, back), keys, order, F.col("loss_pct") > limit)
+    place = F.struct(*order)
+    values = [F.min_by("_peak", place).alias("start_value"), F.max_by(value, place).alias("end_value"), F.min(value).alias("least_value")]
+    g = runs.groupBy(*keys, "island").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"), F.max("loss_pct").alias("loss_pct"), F.bool_or("_last").alias("ongoing"), *values)
+    return g.withColumn("recovery", ~F.col("ongoing") & (F.col("end_value") > 1.1 * F.col("least_value"))).drop("island")
 
 
 def exceedances(df: DataFrame, keys: list[str], order: list[str], at: str, value: str, spreads: float = 2.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,16 @@ from ensolith.lineage import cut
 from ensolith.operators.ranks import kth_smallest, numbered
 
 
-def elementary_effects(steps: DataFrame, trajectory: str, step: str, changed: str, x: str, y: str) -> DataFrame:
-    """mu, mu_star and sigma of each input from trajectories in which one input changes at a time."""
+def elementary_effects(steps: DataFrame, trajectory: str, step: str, changed: str, x: str, y: str, level: float = 0.95) -> DataFrame:
+    """mu, mu_star, sigma, mu_star_conf and n of each input from trajectories in which one input changes at a time.
+
+    mu_star_conf is the half width of the normal interval of mu_star at ``level``. Its deviation is the one that
+    resampling the effects with replacement tends to, sd / sqrt(n), so that nothing is drawn.
+    """
+    z = NormalDist().inv_cdf((1 + level) / 2)
     w = Window.partitionBy(trajectory).orderBy(step)
     ee = steps.withColumn("_e", F.try_divide(F.col(y) - F.lag(y).over(w), F.col(x) - F.lag(x).over(w))).where(F.col("_e").isNotNull())
-    return ee.groupBy(changed).agg(F.avg("_e").alias("mu"), F.avg(F.abs("_e")).alias("mu_star"), F.stddev_samp("_e").alias("sigma"), F.count("*").alias("n"))
+    return ee.groupBy(changed).agg(F.avg("_e").alias("mu"), F.avg(F.abs("_e")).alias("mu_star"), F.stddev_samp("_e").alias("sigma"), (z * F.stddev_pop(F.abs("_e")) / F.sqrt(F.count("*"))).alias("mu_star_conf"), F.count("*").alias("n"))
 
 
 def conformal_radius(scores: DataFrame, score: str, alpha: float, keys: list[str]) -> DataFrame:

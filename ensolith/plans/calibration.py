@@ -285,11 +285,22 @@ def t4_top_cases(spark, d):
     ranked = S.rank_cases(scored.withColumn("cost", F.round("cost", 12)))
     return _r(S.top_cases(ranked, scored, sim, 10), "composite", "cost", "sim", digits=6)
 
+
+def _effects(spark, d):
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("t"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("changed"), (F.col("o_orderkey") / 1000.0).alias("x"), F.col("o_totalprice").alias("y"))
+    return V.elementary_effects(s, "t", "k", "changed", "x", "y")
+
+
 @query("WITH s AS (SELECT o_custkey AS t, o_orderkey AS k, o_orderstatus AS changed, o_orderkey / 1000.0 AS x, o_totalprice AS y FROM orders), e AS (SELECT changed, (y - lag(y) OVER w) / nullif(x - lag(x) OVER w, 0) AS e FROM s WINDOW w AS (PARTITION BY t ORDER BY k)) SELECT changed, round(avg(e), 2) AS mu, round(avg(abs(e)), 2) AS mu_star, round(stddev_samp(e), 2) AS sigma, count(*) AS n FROM e WHERE e IS NOT NULL GROUP BY 1")
 def w10_elementary_effects(spark, d):
     """Elementary effects along trajectories."""
-    s = table(spark, d, "orders").select(F.col("o_custkey").alias("t"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("changed"), (F.col("o_orderkey") / 1000.0).alias("x"), F.col("o_totalprice").alias("y"))
-    return _r(V.elementary_effects(s, "t", "k", "changed", "x", "y"), "mu", "mu_star", "sigma", digits=2)
+    return _r(_effects(spark, d).drop("mu_star_conf"), "mu", "mu_star", "sigma", digits=2)
+
+
+@query("WITH s AS (SELECT o_custkey AS t, o_orderkey AS k, o_orderstatus AS changed, o_orderkey / 1000.0 AS x, o_totalprice AS y FROM orders), e AS (SELECT changed, (y - lag(y) OVER w) / nullif(x - lag(x) OVER w, 0) AS e FROM s WINDOW w AS (PARTITION BY t ORDER BY k)) SELECT changed, round(avg(abs(e)), 2) AS mu_star, round(1.959963984540054 * stddev_pop(abs(e)) / sqrt(count(*)), 2) AS mu_star_conf FROM e WHERE e IS NOT NULL GROUP BY 1")
+def w10_effect_confidence(spark, d):
+    """Mean absolute elementary effects with their confidence."""
+    return _r(_effects(spark, d).select("changed", "mu_star", "mu_star_conf"), "mu_star", "mu_star_conf", digits=2)
 
 
 @query("WITH s AS (SELECT l_returnflag AS g, abs(l_extendedprice - l_quantity * 1500) AS e FROM lineitem), r AS (SELECT g, e, row_number() OVER (PARTITION BY g ORDER BY e) AS k, count(*) OVER (PARTITION BY g) AS n FROM s) SELECT g, round(coalesce(max(e) FILTER (k = ceil((n + 1) * 0.9)), 'inf'::DOUBLE), 4) AS radius, max(n) AS n FROM r GROUP BY 1")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ensolith.operators import contrasts as N
 from ensolith.plans.registry import query, table
 
-_TIE = ["l_orderkey", "l_linenumber"]
+_TIE = ["l_orderkey", "l_linenumber", "l_extendedprice"]  # order and line alone are not unique
 
 
 def _rows(spark, d, *columns):
-    return table(spark, d, "lineitem").select("l_returnflag", *_TIE, *columns)
+    return table(spark, d, "lineitem").select("l_returnflag", *dict.fromkeys([*_TIE, *columns]))
 
 
 def _rounded(df, *columns):
@@ -28,7 +28,7 @@ def v9_quartile_contrast(spark, d):
     return _rounded(out, "rho", "low", "high", "ratio").drop("p", "link")
 
 
-@query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), g AS (SELECT l_returnflag, count(*) AS n, corr(l_quantity, l_extendedprice) AS r, avg(l_extendedprice) FILTER (k <= floor(n * 0.1)) AS low, avg(l_extendedprice) FILTER (k > n - floor(n * 0.1)) AS high FROM p GROUP BY 1) SELECT l_returnflag, n, round(r, 6) AS r, round(low, 6) AS low, round(high, 6) AS high, round(high / (low + 1e-10), 6) AS ratio FROM g")
+@query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), g AS (SELECT l_returnflag, count(*) AS n, corr(l_quantity, l_extendedprice) AS r, avg(l_extendedprice) FILTER (k <= floor(n * 0.1)) AS low, avg(l_extendedprice) FILTER (k > n - floor(n * 0.1)) AS high FROM p GROUP BY 1) SELECT l_returnflag, n, round(r, 6) AS r, round(low, 6) AS low, round(high, 6) AS high, round(high / (low + 1e-10), 6) AS ratio FROM g")
 def v8_tail_contrast(spark, d):
     """V8: prices of the tenth of line items with the smallest and with the largest quantity."""
     out = N.tail_contrast(_rows(spark, d, "l_quantity", "l_extendedprice"), ["l_returnflag"], "l_quantity", "l_extendedprice", _TIE)

@@ -80,7 +80,13 @@ def _collapses(spark, d):
 @query(f"WITH {_COLLAPSE} SELECT user_id, start, \"end\", n, round(loss, 4) AS loss_pct, ongoing FROM c")
 def w5_collapse_events(spark, d):
     """Runs of loss above a limit, open ones marked."""
-    return _collapses(spark, d).withColumn("loss_pct", F.round("loss_pct", 4))
+    return _collapses(spark, d).select("user_id", "start", "end", "n", F.round("loss_pct", 4).alias("loss_pct"), "ongoing")
+
+
+@query(f"WITH {_COLLAPSE}, v AS (SELECT user_id, island, min(ts) AS start, arg_min(p, (ts, event_id)) AS start_value, arg_max(value, (ts, event_id)) AS end_value, min(value) AS least_value FROM (SELECT i.*, l.p, l.value FROM i JOIN l USING (user_id, ts, event_id) WHERE h) GROUP BY ALL) SELECT user_id, start, start_value, end_value, least_value, NOT ongoing AND end_value > 1.1 * least_value AS recovery FROM c JOIN v USING (user_id, start)")
+def w5_collapse_recovery(spark, d):
+    """From where each collapse fell, to where, and whether it recovered."""
+    return _collapses(spark, d).select("user_id", "start", "start_value", "end_value", "least_value", "recovery")
 
 
 @query(f"WITH {_COLLAPSE} SELECT c.user_id, c.start, event_type, round(avg(value), 4) AS mean, max(value) AS high, count(*) AS n FROM c JOIN events e ON e.user_id = c.user_id AND e.ts BETWEEN c.start AND c.\"end\" GROUP BY ALL")

@@ -75,3 +75,6 @@ def test_collapses(spark, tmp_path):
             (at(2), at(4), 3, 12.0, 5.5, 4.0, True, False), (at(6), at(6), 1, 9.0, 3.0, 3.0, False, False), (at(8), at(9), 2, 9.0, 1.0, 1.0, False, True)
         ]
         assert [g[7] for g in got] == [pytest.approx(x) for x in (100 * 8 / 12, 100 * 6 / 9, 100 * 8 / 9)]
+
+    batch = E.collapse_events(spark.createDataFrame(rows, SCHEMA), ["k"], ["at"], "at", "v", 4, 50.0).orderBy("start")
+    assert [tuple(r) for r in batch.select("k", "start", "end", "n", "start_value", "end_value", "least_value", F.round("loss_pct", 9), "recovery", "ongoing").collect()] == [(*g[:7], round(g[7], 9), *g[8:]) for g in got]
