@@ -74,9 +74,14 @@ def golden_queries(hits: DataFrame, golden: DataFrame) -> DataFrame:
 
     All of must in some text, none of must_not in any, one of any in some (if there are any).
     """
-    texts = hits.groupBy("name").agg(F.collect_list(F.lower("text")).alias("_t"))
-    j = golden.join(texts, "name", "left").withColumn("_t", F.coalesce("_t", F.array().cast("array<string>")))
-    seen = lambda w: F.exists("_t", lambda t: F.contains(t, F.lower(w)))
+    none = F.array().cast("array<string>")
+    words = golden.select("name", F.explode(F.concat(*(F.coalesce(c, none) for c in ("must", "must_not", "any")))).alias("_w")).where("_w is not null").distinct()
+    wanted = F.broadcast(words.groupBy("name").agg(F.collect_list("_w").alias("_w")))  # golden queries: a short list
+    own = hits.withColumn("_t", F.lower("text")).join(wanted, "name")
+    found = own.select("name", F.explode(F.filter("_w", lambda w: F.contains(F.col("_t"), F.lower(w)))).alias("_w")).distinct()
+    seen_words = found.groupBy("name").agg(F.collect_list("_w").alias("_found"))  # of the golden words only, so no text is kept
+    j = golden.join(seen_words, "name", "left").withColumn("_found", F.coalesce("_found", none))
+    seen = lambda w: F.coalesce(F.array_contains("_found", w), F.lit(False))
     ok = F.forall("must", seen) & ~F.exists("must_not", seen) & ((F.size("any") == 0) | F.exists("any", seen))
     return j.select("name", ok.alias("passed"))
 
