@@ -14,6 +14,11 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+def steady(c: Column, digits: int = 12) -> Column:
+    """A double to that many significant digits: what the order of summing does to its last ones decides no comparison."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits - 1}e", c).cast("double"))
+
+
 def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
 

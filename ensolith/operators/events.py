@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ensolith.functions.columns import steady
+
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -101,10 +103,10 @@ def causes_within(df: DataFrame, intervals: DataFrame, keys: list[str], at: str,
 
 
 def cause_shares(df: DataFrame, keys: list[str], cause: str, value: str) -> DataFrame:
-    """Mean, largest, spread, total, share and rank of each cause, the dominant one marked; ties by cause."""
+    """Mean, largest, spread, total, share and rank of each cause, the dominant one marked; totals equal to 12 digits are ties, by cause."""
     g = df.groupBy(*keys, cause).agg(F.avg(value).alias("mean"), F.max(value).alias("high"), F.stddev_pop(value).alias("sd"), F.sum(value).alias("total"))
     w = Window.partitionBy(*keys)  # a few causes each
-    rank = F.row_number().over(w.orderBy(F.desc_nulls_last("total"), cause))
+    rank = F.row_number().over(w.orderBy(steady(F.col("total").cast("double")).desc_nulls_last(), cause))
     return g.withColumn("share", F.try_divide(F.col("total"), F.sum("total").over(w))).withColumn("rank", rank).withColumn("dominant", F.col("rank") == 1)
 
 
