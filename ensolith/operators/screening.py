@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensolith.functions import metrics as M
+from ensolith.functions.columns import steady
 from ensolith.operators import ranks as K
 
 
@@ -17,16 +18,16 @@ def score_targets(simulated: DataFrame, targets: DataFrame, method: str = "relat
     return both.select("case_id", "target", cost.alias("cost"), M.within_tolerance(s, o, tolerance).alias("satisfied"))
 
 
-def rank_cases(scored: DataFrame, how: str = "rmsre") -> DataFrame:
-    """(case_id, composite, n_satisfied, rank): ascending composite, then case_id."""
+def rank_cases(scored: DataFrame, how: str = "rmsre", digits: int = 9) -> DataFrame:
+    """(case_id, composite, n_satisfied, rank): ascending composite, rounded to ``digits`` decimals, then case_id."""
     c = scored.groupBy("case_id").agg(M.composite(F.col("cost"), how).alias("composite"), F.count_if("satisfied").alias("n_satisfied"))
-    return K.numbered(c, [F.col("composite").asc_nulls_last(), F.col("case_id").asc()])
+    return K.numbered(c, [F.round("composite", digits).asc_nulls_last(), F.col("case_id").asc()])
 
 
 def best_cases(ranked: DataFrame, within: int = 10) -> DataFrame:
-    """The case that satisfies most targets among the ``within`` cheapest, and the cheapest itself."""
+    """The case that satisfies most targets among the ``within`` cheapest, then the cheapest of them to 12 digits, then the smallest; and the cheapest itself."""
     top = ranked.where(F.col("rank") <= within)
-    best = F.max_by("case_id", F.struct("n_satisfied", -F.col("composite"), -F.col("case_id")))
+    best = F.max_by("case_id", F.struct("n_satisfied", -steady(F.col("composite")), -F.col("case_id")))
     return top.agg(best.alias("best_case"), F.min_by("case_id", "rank").alias("lowest_cost_case"))
 
 

@@ -193,7 +193,7 @@ def a21_target_costs(spark, d):
 @query(f"WITH {_SC} SELECT case_id, round(c, 6) AS composite, n AS n_satisfied, row_number() OVER (ORDER BY round(c, 9), case_id) AS rank FROM rk")
 def t1_optimize_ensemble(spark, d):
     """Cases ranked by their composite error over all targets (the flagship query)."""
-    ranked = S.rank_cases(S.score_targets(*_scored(spark, d), tolerance=0.05).withColumn("cost", F.round("cost", 12)))
+    ranked = S.rank_cases(S.score_targets(*_scored(spark, d), tolerance=0.05))
     return _r(ranked, "composite", digits=6).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -282,7 +282,7 @@ def t4_top_cases(spark, d):
     """The ten best cases with their values and costs at every target."""
     sim, targets = _scored(spark, d)
     scored = S.score_targets(sim, targets, tolerance=0.05)
-    ranked = S.rank_cases(scored.withColumn("cost", F.round("cost", 12)))
+    ranked = S.rank_cases(scored)
     return _r(S.top_cases(ranked, scored, sim, 10), "composite", "cost", "sim", digits=6)
 
 
