@@ -16,7 +16,8 @@ def monthly_indices(observations: DataFrame, first_year: int) -> DataFrame:
 
 def resolved(targets: DataFrame, registry: DataFrame) -> DataFrame:
     """targets (target, key) with variable, level and factor of a registry of aliases; unknown keys drop out."""
-    return targets.join(registry.select(F.col("alias").alias("key"), "variable", "level", "factor"), "key")
+    # a registry is written by hand: it goes to the tasks, so that no task gets all rows of a frequent key
+    return targets.join(F.broadcast(registry.select(F.col("alias").alias("key"), "variable", "level", "factor")), "key")
 
 
 def group_series(history: DataFrame, keys: list[str], group: Column | None = None, value: str = "value") -> DataFrame:
@@ -30,7 +31,7 @@ def window_points(series: DataFrame, windows: DataFrame, factor: float = 1.0) ->
     A case's target that lacks any step of any of its windows is left out as a whole.
     """
     need = windows.groupBy("target").agg(F.count("*").alias("_need"))
-    per_point = windows.join(series, ["target", "index"]).groupBy("case_id", "target", "point").agg((F.avg("value") * factor).alias("sim"), F.count("value").alias("_n"))
+    per_point = F.broadcast(windows).join(series, ["target", "index"]).groupBy("case_id", "target", "point").agg((F.avg("value") * factor).alias("sim"), F.count("value").alias("_n"))
     whole = per_point.groupBy("case_id", "target").agg(F.sum("_n").alias("_n")).join(need, "target").where("_n = _need").select("case_id", "target")
     return per_point.join(whole, ["case_id", "target"]).drop("_n")
 

@@ -48,7 +48,7 @@ def p7_resolved_targets(spark, d):
     """Names resolved by a registry, unknown ones dropped."""
     registry = spark.createDataFrame([("A", "biomass", "group", 0.5), ("ECO", "carbon", "site", 2.0), ("R", "roots", "group", 1.0)], "alias string, variable string, level string, factor double")
     t = E.resolved(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("key"), "l_quantity"), registry)
-    return t.groupBy("key").agg(F.count("*").alias("n"), F.first("variable").alias("variable"), F.first("level").alias("level"), F.round(F.sum(F.col("l_quantity") * F.col("factor")), 2).alias("total"))
+    return t.groupBy("key", "variable", "level").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity") * F.col("factor")), 2).alias("total"))
 
 
 @query("WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, l_linenumber * 0.3 AS z, avg(CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_quantity END) AS v FROM lineitem GROUP BY ALL) SELECT k AS profile, max(v) FILTER (i = 2) AS by_index, arg_min_null(v, (abs(z - 1.0), i)) AS nearest, arg_min_null(v, CASE WHEN v IS NOT NULL THEN i END) AS first_known, arg_max_null(v, i) AS last FROM l GROUP BY 1")
