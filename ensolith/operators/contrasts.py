@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensolith.operators.budgets import correlation_test
-from ensolith.operators.ranks import kth_smallest, numbered
+from ensolith.lineage import cut
+from ensolith.operators.ranks import numbered, per_group, values_at
 
 _TINY = 1e-10
 
@@ -17,27 +18,32 @@ def _known(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def group_quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """(keys, n, and a column for each name): exact quantiles of each group's values, between their two nearest order statistics."""
+    at = {name: (F.col("n") - 1) * F.lit(level) for name, level in levels.items()}
+    places = {f"_{side}_{name}": F.least(F.floor(x) + step, F.col("n")) for name, x in at.items() for side, step in (("a", 1), ("b", 2))}
+    found = values_at(df, keys, value, places)
+    return found.select(*keys, "n", *((F.col(f"_a_{name}") + (x - F.floor(x)) * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))).alias(name) for name, x in at.items()))
+
+
 def group_quantile(df: DataFrame, keys: list[str], value: str, level: float, out: str) -> DataFrame:
-    """(keys, out): the exact quantile of each group's values, between its two nearest order statistics."""
-    at = (F.col("n") - 1) * F.lit(level)
-    low = kth_smallest(df, keys, value, F.floor(at) + 1).select(*keys, "n", F.col("kth").alias("_a"))
-    high = kth_smallest(df, keys, value, F.least(F.floor(at) + 2, F.col("n"))).select(*keys, F.col("kth").alias("_b"))
-    return low.join(high, keys).select(*keys, (F.col("_a") + (at - F.floor(at)) * (F.col("_b") - F.col("_a"))).alias(out))
+    """(keys, out): one exact quantile of each group's values."""
+    return group_quantiles(df, keys, value, {out: level}).select(*keys, out)
 
 
 def group_places(df: DataFrame, keys: list[str], value: str, tie: list[str], out: str) -> DataFrame:
     """df with places from 1 by value within each group; ``tie`` makes rows distinct. No task has to hold a group."""
     order = [F.col(c).asc_nulls_last() for c in (*keys, value, *tie)]
     rows = numbered(df, order, "_place")
-    first = rows.groupBy(*keys).agg((F.min("_place") - 1).alias("_before"))
-    return rows.join(first, keys).withColumn(out, F.col("_place") - F.col("_before")).drop("_place", "_before")
+    first = cut(rows.groupBy(*keys).agg((F.min("_place") - 1).alias("_before")))
+    return per_group(rows, first, keys).withColumn(out, F.col("_place") - F.col("_before")).drop("_place", "_before")
 
 
 def group_ranks(df: DataFrame, keys: list[str], value: str, tie: list[str], out: str) -> DataFrame:
     """df with ranks by value within each group, equal values sharing their mean rank."""
     rows = group_places(df, keys, value, tie, "_own")
-    shared = rows.groupBy(*keys, value).agg(((F.min("_own") + F.max("_own")) / 2).alias(out))
-    return rows.join(shared, [*keys, value]).drop("_own")
+    shared = cut(rows.groupBy(*keys, value).agg(((F.min("_own") + F.max("_own")) / 2).alias(out)))
+    return per_group(rows, shared, [*keys, value]).drop("_own")
 
 
 def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, tie: list[str], least: int = 20) -> DataFrame:
@@ -54,9 +60,9 @@ def quartile_contrast(df: DataFrame, keys: list[str], parameter: str, outcome: s
     Groups of fewer than ``least`` known pairs give no row.
     """
     known = _known(df, parameter, outcome)
-    ends = group_quantile(known, keys, parameter, 0.25, "_q1").join(group_quantile(known, keys, parameter, 0.75, "_q3"), keys)
+    ends = cut(group_quantiles(known, keys, parameter, {"_q1": 0.25, "_q3": 0.75}).drop("n"))
     mean = lambda c: F.coalesce(F.avg(F.when(c, F.col(outcome))), F.lit(0.0))
-    g = known.join(ends, keys).groupBy(*keys).agg(mean(F.col(parameter) <= F.col("_q1")).alias("low"), mean(F.col(parameter) >= F.col("_q3")).alias("high"))
+    g = per_group(known, ends, keys).groupBy(*keys).agg(mean(F.col(parameter) <= F.col("_q1")).alias("low"), mean(F.col(parameter) >= F.col("_q3")).alias("high"))
     both = g.join(rank_correlation(df, keys, parameter, outcome, tie, least), keys).withColumn("ratio", F.try_divide(F.col("low"), F.col("high") + _TINY))
     link = F.when((F.col("ratio") > 1.5) & (F.col("p") < 0.05), "strong").when(F.abs("rho") < 0.1, "weak")
     return both.select(*keys, "n", "rho", "p", "low", "high", "ratio", link.alias("link"))
@@ -70,7 +76,7 @@ def tail_contrast(df: DataFrame, keys: list[str], parameter: str, outcome: str,
     """
     known = _known(df, parameter, outcome)
     linked = correlation_test(known, parameter, outcome, keys).where(F.col("n") >= least).select(*keys, "n", "r")
-    rows = group_places(known, keys, parameter, tie, "_at").join(linked.select(*keys, "n"), keys)
+    rows = per_group(group_places(known, keys, parameter, tie, "_at"), cut(linked.select(*keys, "n")), keys)
     size = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))
     ends = rows.groupBy(*keys).agg(F.avg(F.when(F.col("_at") <= size, F.col(outcome))).alias("low"), F.avg(F.when(F.col("_at") > F.col("n") - size, F.col(outcome))).alias("high"))
     return linked.join(ends, keys).withColumn("ratio", F.try_divide(F.col("high"), F.col("low") + _TINY))
@@ -85,7 +91,7 @@ def failure_rates(df: DataFrame, keys: list[str], flagged: Column, outcome: str,
     known = _known(df.withColumn("_f", F.coalesce(flagged, F.lit(False))), outcome)
     failed = F.when(F.col(outcome) < F.col("_q"), 1.0).otherwise(0.0)
     rate = lambda c: F.coalesce(F.avg(F.when(c, failed)), F.lit(0.0))
-    g = known.join(group_quantile(known, keys, outcome, level, "_q"), keys).groupBy(*keys)
+    g = per_group(known, cut(group_quantile(known, keys, outcome, level, "_q")), keys).groupBy(*keys)
     out = g.agg(F.count("*").alias("n"), F.count_if("_f").alias("n_flagged"), rate(F.col("_f")).alias("rate_flagged"), rate(~F.col("_f")).alias("rate_rest"))
     return out.withColumn("raised", (F.col("rate_rest") > 0) & (F.col("rate_flagged") > times * F.col("rate_rest")))
 
