@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ensolith.functions.metrics import weighted
+from ensolith.lineage import cut
+from ensolith.operators.contrasts import group_quantile, group_quantiles
 
 
 def profile_costs(layers: DataFrame, keys: list[str], depth: str, s: Column, o: Column) -> DataFrame:
@@ -26,9 +28,11 @@ def boundary_profile(df: DataFrame, distance: str, error: str, bins: int = 4) ->
 
     A bin holds its lower edge, the last one its upper edge too; empty bins are left out.
     """
-    known = df.where(F.col(distance).isNotNull() & F.col(error).isNotNull())
-    edges = known.agg(F.percentile(distance, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("_q"))
+    known = df.where(F.col(distance).isNotNull() & F.col(error).isNotNull()).withColumn("_all", F.lit(0))
+    edges = group_quantiles(known, ["_all"], distance, {f"q{k}": k / bins for k in range(bins + 1)}).select(F.array(*(f"q{k}" for k in range(bins + 1))).alias("_q"))
+    edges = F.broadcast(cut(edges))  # one row of edges
     inner = sum(((F.col(distance) >= F.get("_q", F.lit(k))).cast("long") for k in range(1, bins)), F.lit(0).cast("long"))
-    binned = known.crossJoin(F.broadcast(edges)).withColumn("bin", inner)  # one row of edges
-    out = binned.groupBy("bin").agg(F.first("_q").alias("_q"), F.count("*").alias("n"), F.avg(error).alias("mean_error"), F.median(error).alias("median_error"))
+    binned = known.crossJoin(edges).select(inner.alias("bin"), F.col(error).alias("_e"))
+    medians = group_quantile(binned, ["bin"], "_e", 0.5, "median_error")
+    out = binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("_e").alias("mean_error")).join(medians, "bin").crossJoin(edges)  # a row for each bin
     return out.select("bin", F.get("_q", F.col("bin").cast("int")).alias("low"), F.get("_q", F.col("bin").cast("int") + 1).alias("high"), "n", "mean_error", "median_error")
