@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 
 def complete_years(history: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
     """History with columns year and complete: a year is complete unless the case's record begins in it after its first day or ends in it before its last."""
+    return _with_complete(history.withColumn("year", F.year(time)), history, keys, time)
+
+
+def _with_complete(rows: DataFrame, history: DataFrame, keys: list[str], time: str) -> DataFrame:
     span = history.groupBy(*keys).agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
-    begins = (F.year("_first") < F.year(time)) | (F.dayofyear("_first") == 1)
-    ends = (F.year("_last") > F.year(time)) | ((F.month("_last") == 12) & (F.dayofmonth("_last") == 31))
-    return history.join(span, keys).withColumn("year", F.year(time)).withColumn("complete", begins & ends).drop("_first", "_last")
+    begins = (F.year("_first") < F.col("year")) | (F.dayofyear("_first") == 1)
+    ends = (F.year("_last") > F.col("year")) | ((F.month("_last") == 12) & (F.dayofmonth("_last") == 31))
+    return rows.join(span, keys).withColumn("complete", begins & ends).drop("_first", "_last")
+
+
+def of_complete_years(rows: DataFrame, history: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
+    """Rows (keys, year, ...) grouped from the history, those of its complete years: so only grouped rows are joined."""
+    return _with_complete(rows, history, keys, time).where("complete").drop("complete")
 
 
 def by_year(history: DataFrame, keys: list[str], reduce: Column, time: str = "ts", where: Column | None = None) -> DataFrame:
     """One value for each case and complete year, over the rows that ``where`` picks."""
-    rows = complete_years(history, keys, time).where("complete")
-    return (rows if where is None else rows.where(where)).groupBy(*keys, "year").agg(reduce.alias("annual"))
+    annual = (history if where is None else history.where(where)).groupBy(*keys, F.year(time).alias("year")).agg(reduce.alias("annual"))
+    return of_complete_years(annual, history, keys, time)
 
 
 def mean_over_years(annual: DataFrame, keys: list[str], first: int | None = None, last: int | None = None) -> DataFrame:
@@ -34,8 +43,7 @@ def mean_over_years(annual: DataFrame, keys: list[str], first: int | None = None
 
 def peak_of_group_sum(history: DataFrame, keys: list[str], step: Column, value: str = "value", time: str = "ts") -> DataFrame:
     """Sum over groups at each step, the year's largest, its mean over years."""
-    rows = complete_years(history, keys, time).where("complete")
-    at_step = rows.groupBy(*keys, "year", step.alias("step")).agg(F.sum(value).alias("v"))
+    at_step = of_complete_years(history.groupBy(*keys, F.year(time).alias("year"), step.alias("step")).agg(F.sum(value).alias("v")), history, keys, time)
     return mean_over_years(at_step.groupBy(*keys, "year").agg(F.max("v").alias("annual")), keys)
 
 
@@ -68,8 +76,7 @@ def decumulate(history: DataFrame, keys: list[str], order: list[str], value: str
 def season_sums(history: DataFrame, keys: list[str], step: str = "value", time: str = "ts") -> DataFrame:
     """Seasonal sums; December counts to the winter of its own year."""
     season = F.element_at(F.array(*map(F.lit, ["DJF", "DJF", "MAM", "MAM", "MAM", "JJA", "JJA", "JJA", "SON", "SON", "SON", "DJF"])), F.month(time))
-    rows = complete_years(history, keys, time).where("complete")
-    per = rows.groupBy(*keys, "year", season.alias("season")).agg(F.sum(step).alias("s"))
+    per = of_complete_years(history.groupBy(*keys, F.year(time).alias("year"), season.alias("season")).agg(F.sum(step).alias("s")), history, keys, time)
     return per.groupBy(*keys, "season").agg(F.avg("s").alias("value"))
 
 
