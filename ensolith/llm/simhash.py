@@ -426,7 +426,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: i
     got = used.join(got, ["t", "t2"]).select("node", "keys")
     both = pairs.join(got.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a").join(got.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
     same, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return cut(both.where((same >= similarity * (total - same) - 1e-9) & (total > 0)).select("a", "b"))
+    out = cut(both.where((same >= similarity * (total - same) - 1e-9) & (total > 0)).select("a", "b"))
+    shared.destroy()  # else the driver holds it until it happens to collect its garbage
+    return out
 
 
 def _classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -448,21 +450,28 @@ def _classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataF
     return rows, texts.select("t", "t2", "text"), cut(own.withColumn("node", F.monotonically_increasing_id()))
 
 
+def _joined(reach: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) of the components so far and more links: their stars stand for the links they came from."""
+    if reach is None:
+        return components(links)
+    return reach if links.isEmpty() else components(links.unionByName(reach.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def _linked_classes(texts: DataFrame, classes: DataFrame, shingle: int, distance: int, similarity: float) -> DataFrame:
     """(node, component) of the classes that link to others."""
-    nodes, links = classes.select(*_NODE[:-1]), None
+    nodes, links, reach = classes.select(*_NODE[:-1]), None, None
     placed = nodes.select("*", F.col("node").alias("component"), F.lit(0).cast("long").alias("degree"))
     for turn in range(TURNS):
         found = _verified(neighbours(placed, distance, similarity, turn), texts, classes, shingle, similarity)
         links = found if links is None else links.unionByName(found)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        reach = components(links).join(degree, "node")
-        placed = cut(nodes.join(reach, "node", "left").select(*_NODE[:-1], F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        reach = _joined(reach, found)
+        placed = cut(nodes.join(reach.join(degree, "node"), "node", "left").select(*_NODE[:-1], F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")))
     # as many agreeing fields as keep the mean group small; this changes the cost alone
     count = nodes.count()
     agree = next((k for k in (2, 3) if count / 2 ** (64 * k / (distance + k)) <= 4096), 4)
     more = _verified(candidates(placed, distance, similarity, agree), texts, classes, shingle, similarity)
-    return components(links.unionByName(more))
+    return _joined(reach, more)
 
 
 def _text(text_col: str) -> Column:

@@ -232,9 +232,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2048, k: int = 1
                 counts = _counts(hashes, first, known_terms)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([t for t, _ in counts], pa.list_(pa.int32())), pa.array([c for _, c in counts], pa.list_(pa.int32()))], names=["id", "y", "t", "c"])
 
-    rows = sample.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<int>, c array<int>").toArrow().to_pylist()
-    examples = sorted(((r["id"], r["y"], np.array(r["t"], np.int64), np.array(r["c"], np.int64)) for r in rows), key=lambda e: e[:2])
-    return Model(terms, idf * contrast, examples, share, k, soften)
+    rows = sample.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<int>, c array<int>").toArrow()
+    # no Python number for each term of each example: the driver holds them all
+    lists = [[x.values.to_numpy().astype(np.int64) for b in rows[name].chunks for x in b] for name in ("t", "c")]
+    examples = sorted(zip(rows["id"].to_pylist(), rows["y"].to_pylist(), *lists), key=lambda e: e[:2])
+    del rows, lists, seen, got
+    model = Model(terms, idf * contrast, examples, share, k, soften)
+    del examples
+    X.give_back_memory()  # the driver's Python outlives the fit
+    return model
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
